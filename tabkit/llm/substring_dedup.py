@@ -102,7 +102,10 @@ def substring_dedup(docs: DataFrame, words: int = WORDS, digest: bool = False) -
 
 
 def cut_earlier_passages(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """The documents with such passages cut out; texts that lose nothing stay as they are, and texts that lose all go."""
+    """The documents with such passages cut out; texts that lose nothing stay as they are, and texts that lose all go.
+
+    A column n_chars (long) follows the text.
+    """
     names = docs.columns
     spans = repeated_spans(texts(docs), Unit(True, words, min(GRAM, max(1, words // 2))), earliest_windows, True)
 
@@ -110,7 +113,10 @@ def cut_earlier_passages(docs: DataFrame, words: int = WORDS) -> DataFrame:
         new = _remove(b, texts_, of)
         text = [old if not gone else kept for old, gone, kept in zip(b.column("text").to_pylist(), new.column("n_removed").to_pylist(), new.column("kept").to_pylist(), strict=True)]
         keep = [not (gone and not kept) for gone, kept in zip(new.column("n_removed").to_pylist(), new.column("kept").to_pylist(), strict=True)]
-        return b.set_column(b.schema.get_field_index("text"), "text", pa.array(text, pa.string())).filter(pa.array(keep))
+        if "n_chars" in names:
+            chars = [len(x) if gone else old for x, gone, old in zip(text, new.column("n_removed").to_pylist(), b.column("n_chars").to_pylist(), strict=True)]
+            b = b.set_column(names.index("n_chars"), "n_chars", pa.array(chars, pa.int64()))
+        return b.set_column(names.index("text"), "text", pa.array(text, pa.string())).filter(pa.array(keep))
 
     docs = docs.select(*(F.col(c) for c in names))
     return cut_documents(docs, spans, cut, docs.schema)
