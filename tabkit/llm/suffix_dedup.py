@@ -27,7 +27,7 @@ from .sais import permuted_common_prefixes, suffix_array
 from .textbytes import covered, runs
 
 LENGTH = 200
-GRAM = 32
+GRAM = 80
 
 
 def repeated_windows(contents: list[bytes], counts: np.ndarray, least: np.ndarray, unit: Unit):
@@ -80,7 +80,7 @@ def _digest(work):
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, digest: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the bytes kept (or their digest)."""
-    docs, unit = texts(docs), Unit(False, length, min(GRAM, max(1, length // 2)))
+    docs, unit = texts(docs), Unit(False, length, min(GRAM, max(1, 2 * length // 5)))
     spans = repeated_spans(docs, unit, repeated_windows, False)
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, "
     return cut_documents(docs, spans, _digest(_remove) if digest else _remove, out + ("kept_sha256 string" if digest else "kept binary"))
