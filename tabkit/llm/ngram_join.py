@@ -10,8 +10,10 @@ of the first shingles of a set, rare ones first, taken so many that two alike
 sets must share one.  Equal sets are one set from the start.  Links only have
 to tell components apart, so each key first checks its sets against the
 smallest (bounded by counts, then verified); only keys whose sets are still in
-different components build an R-tree, and it skips pairs of one component.
-A group of copies of any size thus costs a few pairs a member.
+different components build an R-tree, and pairs of one component are skipped.
+Its pairs are verified in rounds, each set's likeliest partners first, with
+components renewed between rounds, so a group of copies of any size costs a few
+pairs a member; the last round takes all pairs still open.
 
 Keys with more than ``BLOCK`` such sets are split into pairs of blocks.
 
@@ -38,9 +40,17 @@ from .textbytes import SPACE_WORD, Prefix, Texts, Words, mix, signed, texts_of
 
 WORDS = 5
 PERCENT = 80
-GROUPS = 32
+GROUPS = 128
+#: Sets of more than ``LARGE`` shingles have ``FINE`` groups for each group, as a bound by few groups is weak then.
+LARGE, FINE = 800, 8
+#: Partners of a set in a key that are verified in one round, the likeliest first; the last round has all others.
+ROUNDS = (8, 64, 1 << 40)
 BLOCK = 4096
 LEAF = 32
+#: Sets that walk an R-tree together.
+QUERIES = 32
+#: A count of so many or more; it bounds nothing.
+OPEN = 255
 #: Length of the list of frequent shingles, which only sets the order of keys.
 FREQUENT = 1 << 16
 
@@ -72,7 +82,15 @@ def _members(words: int):
         for b in batches:
             for t in texts_of(b.column("text")):
                 s = Sets(t, words)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(t.first, len(t)), pa.array(s.size), pa.array(s.mark)], ["doc_id", "n", "mark"])
+                fine = GROUPS * FINE
+                counts = np.bincount(s.doc * fine + (s.hash >> np.uint64(54)).astype(np.int64), minlength=len(t) * fine).reshape(len(t), fine)
+                few = np.minimum(counts.reshape(len(t), GROUPS, FINE).sum(axis=2), OPEN).astype(np.uint8)
+                many = np.minimum(counts, OPEN).astype(np.uint8)
+                points = [many[i] if s.size[i] > LARGE else few[i] for i in range(len(t))]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("doc_id").slice(t.first, len(t)), pa.array(s.size), pa.array(s.mark), pa.array([x.tobytes() for x in points], pa.binary())],
+                    ["doc_id", "n", "mark", "point"],
+                )
 
     return work
 
@@ -156,8 +174,8 @@ def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (*last, *leader[1:])], ["key", "n", "mark", "lead_n", "lead"])
 
 
-def _points(words: int):
-    """mark, n, the point of group counts, the sorted hashes."""
+def _hashes(words: int):
+    """mark and the sorted hashes of the set."""
 
     def work(batches):
         for b in batches:
@@ -165,18 +183,33 @@ def _points(words: int):
             for t in texts_of(b.column("text")):
                 s = Sets(t, words)
                 ok = np.flatnonzero(s.mark == want[t.first : t.first + len(t)])
-                counts = np.zeros((len(t), GROUPS), np.int32)
-                np.add.at(counts, (s.doc, (s.hash >> np.uint64(59)).astype(int)), 1)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(s.mark[ok]), pa.array(s.size[ok]), pa.array([counts[i].tobytes() for i in ok], pa.binary()), pa.array([s.hash[s.off[i] : s.off[i + 1]].tobytes() for i in ok], pa.binary())],
-                    ["mark", "n", "point", "hashes"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(s.mark[ok]), pa.array([s.hash[s.off[i] : s.off[i + 1]].tobytes() for i in ok], pa.binary())], ["mark", "hashes"])
 
     return work
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.int32).reshape(-1, GROUPS)
+def _opened(raw: np.ndarray) -> np.ndarray:
+    out = raw.astype(np.int32)
+    out[raw == OPEN] = 1 << 20
+    return out
+
+
+def _matrix(rows: list[bytes]) -> np.ndarray:
+    """Points by group; finer ones are summed."""
+    out = np.empty((len(rows), GROUPS), np.int32)
+    for i, r in enumerate(rows):
+        p = _opened(np.frombuffer(r, np.uint8))
+        out[i] = p if len(p) == GROUPS else p.reshape(GROUPS, FINE).sum(axis=1)
+    return out
+
+
+def _finely(rows: list[bytes], q: np.ndarray, p: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """Which pairs pass by finer groups too, where both have them."""
+    ok = np.ones(len(q), bool)
+    for k, (i, j) in enumerate(zip(q.tolist(), p.tolist(), strict=True)):
+        if len(rows[i]) > GROUPS and len(rows[j]) > GROUPS:
+            ok[k] = np.minimum(_opened(np.frombuffer(rows[i], np.uint8)), _opened(np.frombuffer(rows[j], np.uint8))).sum() >= need[k]
+    return ok
 
 
 def _needed(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
@@ -189,7 +222,10 @@ def _bounded(percent: int):
         for b in batches:
             if len(b):
                 n, m = b.column("n").to_numpy(), b.column("m").to_numpy()
-                ok = np.minimum(_matrix(b.column("p")), _matrix(b.column("q"))).sum(axis=1) >= _needed(n, m, percent)
+                rows = b.column("p").to_pylist() + b.column("q").to_pylist()
+                points, at, need = _matrix(rows), np.arange(len(b)), _needed(n, m, percent)
+                ok = np.minimum(points[: len(b)], points[len(b) :]).sum(axis=1) >= need
+                ok[ok] = _finely(rows, at[ok], at[ok] + len(b), need[ok])
                 yield b.select(["a", "b"]).filter(pa.array(ok))
 
     return work
@@ -210,40 +246,57 @@ class RTree:
             at = np.arange(0, len(upper), LEAF)
             self.levels.append((np.maximum.reduceat(upper, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)))
 
-    def near(self, points: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (query, point) whose summed minima allow an overlap that is large enough."""
+    def near(self, points: np.ndarray, n: np.ndarray, percent: int, wanted) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Wanted pairs (query, point) whose summed minima allow the overlap that is needed; both figures."""
         query, node = (x.ravel() for x in np.indices((len(n), len(self.levels[-1][0]))))
         for depth in range(len(self.levels) - 1, -1, -1):
             upper, low, high = self.levels[depth]
             own = n[query]
             ok = (100 * high[node] >= percent * own) & (percent * low[node] <= 100 * own)
+            if not depth:
+                ok &= wanted(query, self.by[node])
             query, node, own = query[ok], node[ok], own[ok]
-            ok = np.minimum(points[query], upper[node]).sum(axis=1) >= _needed(own, low[node], percent)
-            query, node = query[ok], node[ok]
+            bound, need = np.minimum(points[query], upper[node]).sum(axis=1), _needed(own, low[node], percent)
+            ok = bound >= need
+            query, node, bound, need = query[ok], node[ok], bound[ok], need[ok]
             if depth:
                 query = np.repeat(query, LEAF)
                 node = (node[:, None] * LEAF + np.arange(LEAF)).ravel()
                 inside = node < len(self.levels[depth - 1][0])
                 query, node = query[inside], node[inside]
-        return query, self.by[node]
+        return query, self.by[node], bound, need
 
 
-def _tree_pairs(percent: int):
-    """Rows sorted by group (key, low, high): pairs of sets of different components that may be alike."""
+def _tree_pairs(percent: int, first: int, last: int):
+    """Rows sorted by group (key, low, high): pairs of sets of different components that may be alike.
+
+    Of each set's partners in a group, likeliest first, those from place
+    ``first`` to ``last``; places do not depend on components.
+    """
 
     def pairs(t: pa.Table):
         n, mark, part, block = (t[k].to_numpy() for k in ("n", "mark", "part", "block"))
-        points = _matrix(t["point"].combine_chunks())
+        rows = t["point"].to_pylist()
+        points = _matrix(rows)
         tree = RTree(points, n)
         split = block.min() != block.max()
-        for i in range(0, len(n), 256):
-            q, p = tree.near(points[i : i + 256], n[i : i + 256], percent)
-            q = q + i
-            ok = (part[q] != part[p]) & (mark[q] < mark[p])
-            if split:
-                ok &= block[q] != block[p]
-            if ok.any():
-                yield pa.RecordBatch.from_arrays([pa.array(mark[q[ok]]), pa.array(mark[p[ok]])], ["a", "b"])
+        for i in range(0, len(n), QUERIES):
+
+            def wanted(q, p, i=i):
+                ok = mark[q + i] != mark[p]
+                return ok & (block[q + i] != block[p]) if split else ok
+
+            q, p, bound, need = tree.near(points[i : i + QUERIES], n[i : i + QUERIES], percent, wanted)
+            ok = _finely(rows, q + i, p, need)
+            q, p, bound, need = q[ok], p[ok], bound[ok], need[ok]
+            if len(q):
+                by = np.lexsort((mark[p], need - bound, q))
+                q, p = q[by], p[by]
+                head = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1])))
+                place = np.arange(len(q)) - np.repeat(head, np.diff(np.append(head, len(q))))
+                ok = (place >= first) & (place < last) & (part[q + i] != part[p])
+                a, b = mark[q[ok] + i], mark[p[ok]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     def work(batches):
         kept: list[pa.RecordBatch] = []
@@ -281,7 +334,7 @@ def _verified(percent: int):
 def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id, the least doc_id reachable by links, of each row."""
     spark, docs, shuffles = docs.sparkSession, texts(docs), partitions(docs)
-    members = written(docs.mapInArrow(_members(words), "doc_id long, n long, mark long"))
+    members = written(docs.mapInArrow(_members(words), "doc_id long, n long, mark long, point binary"))
 
     got = docs.mapInArrow(_frequent(words), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).where("n > 7").orderBy(F.desc("n"), "hash").limit(FREQUENT).toArrow()
     common, times = got["hash"].to_numpy().view(np.uint64), got["n"].to_numpy()
@@ -293,38 +346,56 @@ def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     shared = written(keys.mapInArrow(_shared_keys, "key long, n long, mark long, lead_n long, lead long"))
 
     chosen = shared.select("mark").distinct()
-    chosen = written(members.where("doc_id is not null").groupBy("mark").agg(F.min("doc_id").alias("doc_id")).join(chosen, "mark", "left_semi"))
-    holders = spark.sparkContext.broadcast(bloom(chosen, "doc_id"))
-
-    def holds(batches):
-        for b in batches:
-            ids = b.column("doc_id")
-            yield b.filter(pa.array(has(holders.value, ids.fill_null(0).to_numpy(zero_copy_only=False))))
-
-    sets = written(docs.mapInArrow(holds, docs.schema).join(chosen, "doc_id").mapInArrow(_points(words), "mark long, n long, point binary, hashes binary").dropDuplicates(["mark"]))
+    points = members.where("doc_id is not null").groupBy("mark", "n").agg(F.min("doc_id").alias("doc_id"), F.first("point").alias("point"))
+    chosen = written(points.join(chosen, "mark", "left_semi"))
+    points = chosen.select("mark", "n", "point")
 
     def verified(pairs: DataFrame) -> DataFrame:
+        """Pairs of a, b that are alike; the sets are made again, of the documents concerned only."""
+        pairs = written(pairs)
+        ends = pairs.select(F.col("a").alias("mark")).union(pairs.select(F.col("b").alias("mark"))).distinct()
+        concerned = written(chosen.select("mark", "doc_id").join(ends, "mark", "left_semi"))
+        holders = spark.sparkContext.broadcast(bloom(concerned, "doc_id"))
+
+        def holds(batches):
+            for b in batches:
+                yield b.filter(pa.array(has(holders.value, b.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False))))
+
+        sets = docs.mapInArrow(holds, docs.schema).join(concerned, "doc_id").mapInArrow(_hashes(words), "mark long, hashes binary")
+        sets = written(sets.groupBy("mark").agg(F.first("hashes").alias("hashes")))
         a = sets.select(F.col("mark").alias("a"), F.col("hashes").alias("x"))
         b = sets.select(F.col("mark").alias("b"), F.col("hashes").alias("y"))
         return written(pairs.join(b, "b").join(a, "a").mapInArrow(_verified(percent), "a long, b long"))
 
-    points = sets.select("mark", "n", "point")
     star = shared.where(f"mark <> lead and 100 * lead_n >= {percent} * n").select(F.col("lead").alias("a"), F.col("mark").alias("b")).distinct()
     star = star.join(points.toDF("a", "n", "p"), "a").join(points.toDF("b", "m", "q"), "b").mapInArrow(_bounded(percent), "a long, b long")
     edges = verified(star).union(_same_rows(members))
     labels = components(edges)
 
-    parted = shared.select("key", "n", "mark").join(labels.toDF("mark", "label"), "mark", "left").select("key", "n", "mark", F.coalesce("label", "mark").alias("part"))
-    parted = written(parted)
-    open_ = parted.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("rows")).where("p < q").select("key", F.ceil(F.col("rows") / BLOCK).cast("long").alias("blocks"))
-    left = parted.join(open_, "key").withColumn("block", F.pmod(F.xxhash64("mark"), F.col("blocks")))
+    first = 0
+    for width in ROUNDS:
+        near, some = _open_pairs(shared, labels, points, percent, first, first + width, shuffles)
+        if not some:
+            break
+        more = verified(near)
+        if not more.isEmpty():
+            edges = edges.union(more)
+            labels = components(edges)
+        first += width
+    return _with_components(members, labels)
+
+
+def _open_pairs(shared: DataFrame, labels: DataFrame, points: DataFrame, percent: int, first: int, last: int, shuffles: int) -> tuple[DataFrame, bool]:
+    """Candidate pairs of the keys whose sets are in several components, and whether there is such a key."""
+    parted = written(shared.select("key", "n", "mark").join(labels.toDF("mark", "label"), "mark", "left").select("key", "mark", F.coalesce("label", "mark").alias("part")))
+    # keys with one and the same sets (a passage has many) are one key
+    several = parted.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("rows"), F.expr("bit_xor(mark)").alias("x"), F.expr("bit_xor(xxhash64(mark))").alias("y")).where("p < q")
+    several = written(several.groupBy("rows", "x", "y").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("rows") / BLOCK).cast("long").alias("blocks")))
+    left = parted.join(several, "key").withColumn("block", F.pmod(F.xxhash64("mark"), F.col("blocks")))
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     left = left.select("key", "mark", "part", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).join(points, "mark")
-    near = left.repartition(shuffles, "key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(_tree_pairs(percent), "a long, b long").distinct()
-    more = verified(near)
-    if not more.isEmpty():
-        labels = components(edges.union(more))
-    return _with_components(members, labels)
+    near = left.repartition(shuffles, "key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(_tree_pairs(percent, first, last), "a long, b long").distinct()
+    return near, not several.isEmpty()
 
 
 def _same_rows(members: DataFrame) -> DataFrame:
