@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import texts
+from .frames import small_batches, texts
 from .textbytes import ALNUM_WORD, LOWER, Words, covered, texts_of
 
 WINDOW = 13
@@ -155,6 +155,7 @@ def _scan(block, window: int, names: list[str]):
 def scanned(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents with n_words and the starts, ends and items of all windows found."""
     spark, names = docs.sparkSession, docs.columns
+    small_batches(spark)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import in_training
+from .frames import in_training, small_batches
 
 #: Documents a language at most that profiles are learned from.
 BOUND = 4000
@@ -74,6 +74,7 @@ def _counts(batches):
 
 def profiles(docs: DataFrame, bound: int = BOUND, length: int = LENGTH) -> dict[str, np.ndarray]:
     """The profile of each language of the training rows."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where(in_training() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     many = rows.groupBy("lang").agg(F.count("*").alias("of"))

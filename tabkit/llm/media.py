@@ -28,7 +28,8 @@ BLOCK = 192
 FRAME, HOP, MELS = 256, 128, 24
 #: Frames of one tensor.
 SHAPE = 32
-HIGH_DB, LOW_DB = 3.0, 1.0
+#: Segments start and end at these parts of the way from the quiet to the loud tenth of frames, if those are RANGE_DB apart.
+HIGH, LOW, RANGE_DB = 0.6, 0.4, 3.0
 _HEADER = "<4sI4s4sIHHIIHH4sI"
 
 
@@ -105,8 +106,10 @@ def features(samples: bytes) -> tuple[np.ndarray, list[tuple[int, int]]]:
     x = (np.frombuffer(samples, np.uint8).astype(np.float32) - 128) / 128
     mel = log_mel(resampled(x))
     energy = mel.mean(axis=1)
-    middle = float(np.median(energy))
-    return mel, segments(energy, middle + HIGH_DB, middle + LOW_DB)
+    quiet, loud = (float(v) for v in np.percentile(energy, [10, 90]))
+    if loud - quiet < RANGE_DB:
+        return mel, []
+    return mel, segments(energy, quiet + HIGH * (loud - quiet), quiet + LOW * (loud - quiet))
 
 
 def payload_of(text: bytes) -> bytes:

@@ -197,9 +197,9 @@ def _opened(raw: np.ndarray) -> np.ndarray:
 def _matrix(rows: list[bytes]) -> np.ndarray:
     """Points by group; finer ones are summed."""
     out = np.empty((len(rows), GROUPS), np.int32)
-    for i, r in enumerate(rows):
-        p = _opened(np.frombuffer(r, np.uint8))
-        out[i] = p if len(p) == GROUPS else p.reshape(GROUPS, FINE).sum(axis=1)
+    wide = np.array([len(r) > GROUPS for r in rows], bool)
+    out[~wide] = _opened(np.frombuffer(b"".join(r for r in rows if len(r) == GROUPS), np.uint8)).reshape(-1, GROUPS)
+    out[wide] = _opened(np.frombuffer(b"".join(r for r in rows if len(r) > GROUPS), np.uint8)).reshape(-1, GROUPS, FINE).sum(axis=2)
     return out
 
 
@@ -287,16 +287,36 @@ def _tree_pairs(percent: int, first: int, last: int):
                 return ok & (block[q + i] != block[p]) if split else ok
 
             q, p, bound, need = tree.near(points[i : i + QUERIES], n[i : i + QUERIES], percent, wanted)
-            ok = _finely(rows, q + i, p, need)
-            q, p, bound, need = q[ok], p[ok], bound[ok], need[ok]
-            if len(q):
-                by = np.lexsort((mark[p], need - bound, q))
-                q, p = q[by], p[by]
-                head = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1])))
-                place = np.arange(len(q)) - np.repeat(head, np.diff(np.append(head, len(q))))
-                ok = (place >= first) & (place < last) & (part[q + i] != part[p])
-                a, b = mark[q[ok] + i], mark[p[ok]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            yield from placed(rows, mark, part, q + i, p, bound, need)
+
+    def placed(rows, mark, part, q, p, bound, need):
+        ok = _finely(rows, q, p, need)
+        q, p, bound, need = q[ok], p[ok], bound[ok], need[ok]
+        if len(q):
+            by = np.lexsort((mark[p], need - bound, q))
+            q, p = q[by], p[by]
+            head = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1])))
+            place = np.arange(len(q)) - np.repeat(head, np.diff(np.append(head, len(q))))
+            ok = (place >= first) & (place < last) & (part[q] != part[p])
+            a, b = mark[q[ok]], mark[p[ok]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    def leaves(b: pa.RecordBatch, start: np.ndarray, end: np.ndarray):
+        """Groups that one leaf holds need no tree: all of a batch are bounded together."""
+        n, mark, part = (b.column(k).to_numpy() for k in ("n", "mark", "part"))
+        rows = b.column("point").to_pylist()
+        points = _matrix(rows)
+        size = end - start
+        own = np.repeat(start, size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        many = np.repeat(size, size)
+        q = np.repeat(own, many)
+        p = np.repeat(np.repeat(start, size), many) + np.arange(len(q)) - np.repeat(np.cumsum(many) - many, many)
+        ok = (mark[q] != mark[p]) & (100 * n[p] >= percent * n[q]) & (percent * n[p] <= 100 * n[q])
+        q, p = q[ok], p[ok]
+        need = _needed(n[q], n[p], percent)
+        bound = np.concatenate([np.zeros(0, np.int64), *(np.minimum(points[q[i : i + 8192]], points[p[i : i + 8192]]).sum(axis=1) for i in range(0, len(q), 8192))])
+        ok = bound >= need
+        yield from placed(rows, mark, part, q[ok], p[ok], bound[ok], need[ok])
 
     def work(batches):
         kept: list[pa.RecordBatch] = []
@@ -304,7 +324,12 @@ def _tree_pairs(percent: int, first: int, last: int):
         for b in batches:
             group = np.stack([b.column(k).to_numpy() for k in ("key", "low", "high")])
             cuts = np.flatnonzero((group[:, 1:] != group[:, :-1]).any(axis=0)) + 1
-            for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), len(b)], strict=True):
+            start, end = np.concatenate(([0], cuts)), np.append(cuts, len(b))
+            # the first and last group of a batch may go on in others
+            inner = (start > 0) & (end < len(b)) & (end - start <= LEAF) & (group[1][start] == group[2][start])
+            if inner.any():
+                yield from leaves(b, start[inner], end[inner])
+            for a, z in zip(start[~inner].tolist(), end[~inner].tolist(), strict=True):
                 if z > a:
                     now = tuple(group[:, a])
                     if kept and now != last:
