@@ -25,6 +25,8 @@ from .frames import in_training, small_batches
 BOUND = 4000
 #: N-grams in a profile.
 LENGTH = 300
+#: Languages whose counts are broadcast at most; more are joined by a shuffle.
+LANGUAGES = 10_000
 UNKNOWN = "und"
 
 _EDGE = 0x1FFFFF
@@ -78,6 +80,9 @@ def profiles(docs: DataFrame, bound: int = BOUND, length: int = LENGTH) -> dict[
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where(in_training() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     many = rows.groupBy("lang").agg(F.count("*").alias("of"))
+    few = many.limit(LANGUAGES + 1).collect()
+    if len(few) <= LANGUAGES:  # so that no text is shuffled to be sampled
+        many = F.broadcast(docs.sparkSession.createDataFrame(few, many.schema))
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(1_000_000 * bound) / F.col("of")
     rows = rows.join(many, "lang").where(share).select("lang", "text") if bound else rows
     counted = rows.mapInArrow(_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
