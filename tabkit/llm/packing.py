@@ -1,9 +1,10 @@
 """Best-fit packing of tokenized documents into sequences of one length.
 
 Method: pieces are placed best fit, longest first, and a local search follows:
-documents of the emptiest bins are moved into others, exchanged one for one or
-one for two, wherever the fuller bin gets fuller (the sum of squared fills
-rises), until bins are empty.  A document longer than a sequence is cut, its
+documents of underfull bins, the emptiest first, are moved into others or
+exchanged one for one, one for two or two for one, wherever the fuller bin gets
+fuller (the sum of squared fills rises), until so many bins are empty that no
+packing needs fewer, or nothing more can be exchanged.  A document longer than a sequence is cut, its
 first piece being the short one.
 
 Pieces are dealt to shards of about ``SHARD`` pieces, which are packed on
@@ -17,6 +18,7 @@ every row is a document of its own; extra columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 import zlib
@@ -128,48 +130,116 @@ class Bins:
         self._enter(b)
 
 
-def pack(sizes: list[int], size: int, donors: int = 64, targets: int = 2000) -> list[list[int]]:
+def pack(sizes: list[int], size: int) -> list[list[int]]:
     """Items of each bin."""
     bins = Bins(size)
     for item in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
         bins.add(item, sizes[item], bins.best(sizes[item]))
-    order = sorted((b for b in range(len(bins.items)) if bins.free[b]), key=lambda b: -bins.free[b])
-    for donor in order[:donors]:
-        others = [b for b in order if b != donor and bins.items[b]][:targets]
-        for item in sorted(bins.items[donor], key=lambda i: -sizes[i]):
-            _move(bins, sizes, item, donor, others)
+    _search(bins, sizes, max(-(-sum(sizes) // size), sum(2 * s > size for s in sizes)))
     return [x for x in bins.items if x]
 
 
-def _move(bins: Bins, sizes: list[int], item: int, donor: int, others: list[int]) -> None:
-    """Move an item of the donor out, or else exchange it for less; a target only gets fuller."""
-    s = sizes[item]
-    to = bins.best(s, donor)
-    if to >= 0 and bins.free[to] < bins.free[donor]:
-        bins.take(item, s, donor)
-        bins.add(item, s, to)
+def _search(bins: Bins, sizes: list[int], least: int) -> None:
+    """Empty bins until only ``least`` are left, which no packing can beat, or nothing can be moved or exchanged.
+
+    Underfull bins with the same sizes in them are alike, so each kind is
+    looked at once, and what found no partner is not tried again before
+    something has changed.
+    """
+    kinds: dict[int, dict[tuple[int, ...], set[int]]] = {}  # free space, sorted sizes, bins
+    used = sum(map(bool, bins.items))
+
+    def held(b: int) -> tuple[int, ...]:
+        return tuple(sorted(sizes[i] for i in bins.items[b]))
+
+    def enter(b: int) -> None:
+        if bins.free[b] and bins.items[b]:
+            kinds.setdefault(bins.free[b], {}).setdefault(held(b), set()).add(b)
+
+    def leave(b: int) -> None:
+        if bins.free[b] and bins.items[b]:
+            own = kinds[bins.free[b]]
+            own[held(b)].discard(b)
+            if not own[held(b)]:
+                del own[held(b)]
+            if not own:
+                del kinds[bins.free[b]]
+
+    def exchange(given: tuple[int, ...], donor: int, to: int, back: tuple[int, ...]) -> None:
+        leave(donor)
+        leave(to)
+        returned = []
+        for wanted in back:
+            returned.append(next(i for i in bins.items[to] if sizes[i] == wanted and i not in returned))
+        for item in given:
+            bins.take(item, sizes[item], donor)
+        for item in returned:
+            bins.take(item, sizes[item], to)
+        for item in given:
+            bins.add(item, sizes[item], to)
+        for item in returned:
+            bins.add(item, sizes[item], donor)
+        enter(donor)
+        enter(to)
+
+    if used <= least:
         return
-    best = (0, -1, ())
-    for b in others:
-        f = bins.free[b]
-        if not f or f > bins.free[donor]:
-            continue
-        own = bins.items[b]
-        for k, y in enumerate(own):
-            gain = s - sizes[y]
-            if best[0] < gain <= f:
-                best = (gain, b, (y,))
-            for x in own[:k]:
-                if best[0] < gain - sizes[x] <= f:
-                    best = (gain - sizes[x], b, (y, x))
-    _, b, back = best
-    if b >= 0:
-        bins.take(item, s, donor)
-        for y in back:
-            bins.take(y, sizes[y], b)
-        bins.add(item, s, b)
-        for y in back:
-            bins.add(y, sizes[y], donor)
+    for b in range(len(bins.items)):
+        enter(b)
+    changed = True
+    while changed and used > least:
+        changed, stuck = False, set()
+        for donor in sorted((b for own in kinds.values() for x in own.values() for b in x), key=lambda b: -bins.free[b]):
+            offers = [(i,) for i in sorted(bins.items[donor], key=lambda i: -sizes[i])]
+            alike = {sizes[i]: (i, j) for (i,), (j,) in zip(offers, offers[1:], strict=False) if sizes[i] == sizes[j]}
+            one = {sizes[i]: i for (i,) in offers}
+            offers += [*alike.values(), *((i, j) for i in one.values() for j in one.values() if sizes[i] > sizes[j])]
+            for given in offers:
+                if not bins.free[donor] or any(i not in bins.items[donor] for i in given):
+                    continue
+                s = sum(sizes[i] for i in given)
+                if (what := (s, len(given), bins.free[donor])) in stuck:
+                    continue
+                to = bins.best(s, donor)
+                back: tuple[int, ...] = ()
+                if to < 0 or bins.free[to] > bins.free[donor]:
+                    to, back = _partner(kinds, s, donor, bins.free[donor], len(given) == 1)
+                if to < 0:
+                    stuck.add(what)
+                    continue
+                exchange(given, donor, to, back)
+                stuck.clear()
+                changed = True
+            if not bins.items[donor]:
+                used -= 1
+                if used <= least:
+                    return
+
+
+def _partner(kinds: dict[int, dict[tuple[int, ...], set[int]]], s: int, donor: int, free: int, two: bool) -> tuple[int, tuple[int, ...]]:
+    """The bin, at least as full as the donor, that ``s`` fills most when it gives back one size or two; else -1."""
+    gained, to, back = 0, -1, ()
+    for f in sorted((f for f in kinds if f <= free), reverse=True):
+        if f <= gained:
+            break
+        low = s - f
+        for have, own in kinds[f].items():
+            b = next((b for b in own if b != donor), -1)
+            if b < 0:
+                continue
+            k = bisect.bisect_left(have, low)
+            if k < len(have) and s - have[k] > gained:
+                gained, to, back = s - have[k], b, (have[k],)
+            i, j = 0, len(have) - 1
+            while two and i < j:
+                both = have[i] + have[j]
+                if both < low:
+                    i += 1
+                else:
+                    if s - both > gained:
+                        gained, to, back = s - both, b, (have[i], have[j])
+                    j -= 1
+    return to, back
 
 
 def _packed(length: int):

@@ -222,6 +222,27 @@ def test_packing(docs, empty):
     assert packing.best_fit_packing(empty).count() == 0
 
 
+def test_exchanges_empty_bins():
+    """Never worse than best fit alone, at the least number where exchanges lead there, and every item once."""
+    r = random.Random(5)
+    for low, high, size in ((1, 10, 20), (3, 11, 20), (6, 11, 20), (20, 60, 100), (51, 70, 100), (1, 1, 7)):
+        for n in (0, 1, 7, 200):
+            sizes = [r.randint(low, high) for _ in range(n)]
+            got = packing.pack(sizes, size)
+            assert sorted(i for b in got for i in b) == list(range(n)) and all(sum(sizes[i] for i in b) <= size for b in got)
+            plain = []
+            for s in sorted(sizes, reverse=True):
+                fits = [k for k, free in enumerate(plain) if free >= s]
+                k = min(fits, key=lambda k: plain[k], default=None)
+                if k is None:
+                    plain.append(size - s)
+                else:
+                    plain[k] -= s
+            assert len(got) <= len(plain)
+    # best fit needs three bins here
+    assert sorted(sorted([5, 4, 4, 3, 2, 2][i] for i in b) for b in packing.pack([5, 4, 4, 3, 2, 2], 10)) == [[2, 3, 5], [2, 4, 4]]
+
+
 def test_tokenizers_agree():
     from tokenizers import Tokenizer
 
