@@ -247,6 +247,12 @@ def key_split_counts(spark, d):
     return keyjoin.match_counts(keyjoin.flag_by_key(table(spark, d, "orders"), key, [("o_custkey", "c_custkey")]))
 
 
+@query("select o_orderkey, coalesce(o_custkey in (select c_custkey from customer where c_acctbal > 5000), false) as matched from orders")
+def key_split_flags(spark, d):
+    key = table(spark, d, "customer").where("c_acctbal > 5000")
+    return keyjoin.flag_by_key(table(spark, d, "orders"), key, [("o_custkey", "c_custkey")]).select("o_orderkey", "matched")
+
+
 @query("select l_orderkey, l_partkey, l_linenumber from lineitem l where exists (select 1 from lineitem k where k.l_quantity = 1 and k.l_partkey = l.l_partkey and k.l_returnflag = l.l_returnflag)")
 def key_semi_composite(spark, d):
     li = table(spark, d, "lineitem")
@@ -413,6 +419,33 @@ def normalize_currency(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", F.round(currency(text) * 100).cast("long").alias("cents"))
 
 
+@query("select s_suppkey, rpad(s_name, (select max(length(s_name))::integer from supplier), ' ') as s_name from supplier")
+def normalize_batch(spark, d):
+    """All cells are text, as wide as the longest of their column."""
+    s = table(spark, d, "supplier").select("s_suppkey", "s_name")
+    width = profile.lengths(s, ["s_name"]).first()["max_length"]
+    return normalize.normalize(s, Profile([FieldProfile("s_name", "str", width)]), "batch")
+
+
+@query("select count(*) as p_name, 0 as p_size from part")
+def normalize_warnings(spark, d):
+    """Names are no numbers, sizes are."""
+    return normalize.warnings(table(spark, d, "part"), Profile([FieldProfile("p_name", "float", 8), FieldProfile("p_size", "int", 4)]))
+
+
+@query("select 'amount' as field, max(length(cast(abs(cast(s_acctbal as decimal(18,2))) as varchar))) as max_length from supplier")
+def profile_amounts(spark, d):
+    v = F.col("s_acctbal").cast("decimal(18,2)")
+    amount = F.when(v < 0, F.concat(F.lit("($"), F.format_number(-v, 2), F.lit(")"))).otherwise(F.concat(F.lit("$"), F.format_number(v, 2)))
+    return profile.amount_lengths(table(spark, d, "supplier").select(amount.alias("amount")), ["amount"]).select("field", F.col("max_length").cast("long").alias("max_length"))
+
+
+@query("select upper(c_name) as c_name, upper(c_mktsegment) as c_mktsegment from customer")
+def normalize_rows_upper(spark, d):
+    padded = [F.concat(F.lit(" "), F.col(c), F.lit("  ")).alias(c) for c in ("c_name", "c_mktsegment")]
+    return ordering.normalize_rows(table(spark, d, "customer").select(*padded), upper=True)
+
+
 @query("select status, count(*) as n from (select unnest([case when length(n_name) >= 9 then 'same' else 'changed' end, case when n_regionkey >= 10 then 'same' else 'changed' end]) as status from nation) group by 1")
 def normalize_change_log(spark, d):
     p = Profile([FieldProfile("n_name", "str", 9), FieldProfile("n_regionkey", "int", 2, flag="strict")])
