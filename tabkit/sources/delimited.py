@@ -1,7 +1,7 @@
 """Delimited text: probing, reading with all-text columns, writing, and directories of files.
 
-Probes read a few KiB through Spark's own file access, so any store Spark
-reads will do.
+Probes read the first records through Spark's own file access, so any store
+Spark reads will do; the encoding is decided over the whole file.
 """
 
 from __future__ import annotations
@@ -34,10 +34,10 @@ def head_bytes(spark: SparkSession, path: str, n: int = PROBE) -> bytes:
         stream.close()
 
 
-def probe_encoding(data: bytes) -> str:
-    """UTF-8 if it decodes (a last character may be cut short), else cp1252, else latin-1."""
+def probe_encoding(data: bytes, whole: bool = False) -> str:
+    """UTF-8 if it decodes (a last character may be cut short, unless the data is whole), else cp1252, else latin-1."""
     try:
-        codecs.getincrementaldecoder("utf-8")().decode(data, final=False)
+        codecs.getincrementaldecoder("utf-8")().decode(data, final=whole)
         return "UTF-8"
     except UnicodeDecodeError:
         pass
@@ -48,8 +48,16 @@ def probe_encoding(data: bytes) -> str:
         return "ISO-8859-1"
 
 
-def decode(data: bytes) -> str:
-    name = probe_encoding(data)
+def file_encoding(spark: SparkSession, path: str) -> str:
+    """As ``probe_encoding``, over all lines of a file; no line end is part of a longer character."""
+    lines = spark.read.text(re.sub(r"([\\{}\[\]*?])", r"\\\1", path))
+    undefined = F.decode(F.col("value").cast("binary"), "ISO-8859-1").rlike("[\\x81\\x8d\\x8f\\x90\\x9d]")
+    invalid, latin = lines.agg(F.bool_or(~F.is_valid_utf8("value")), F.bool_or(undefined)).first()
+    return "UTF-8" if not invalid else "ISO-8859-1" if latin else "windows-1252"
+
+
+def decode(data: bytes, name: str | None = None) -> str:
+    name = name or probe_encoding(data)
     return data.decode({"UTF-8": "utf-8", "windows-1252": "cp1252", "ISO-8859-1": "latin-1"}[name], "ignore").removeprefix("﻿")
 
 
@@ -60,7 +68,10 @@ def sniff_delimiter(text: str, default: str = ",") -> str:
         return default
     best = (1, default)
     for d in DELIMITERS:
-        widths = [len(r) for r in csv.reader(io.StringIO("\n".join(lines)), delimiter=d)]
+        try:
+            widths = [len(r) for r in csv.reader(io.StringIO("\n".join(lines)), delimiter=d)]
+        except csv.Error:  # a cell beyond the csv module's limit
+            continue
         if widths and widths[0] > best[0] and sum(w == widths[0] for w in widths) >= 0.6 * len(widths):
             best = (widths[0], d)
     return best[1]
@@ -72,6 +83,19 @@ def quote_pattern(text: str, delimiter: str) -> list[bool]:
     return [len(x.strip()) > 1 and x.strip()[0] == x.strip()[-1] == '"' for x in lines[1].split(delimiter)] if len(lines) > 1 else []
 
 
+def first_record(text: str, delimiter: str) -> tuple[list[str], bool]:
+    """The first record that is not blank, and whether it and a line after it end within the text."""
+    source, ended = io.StringIO(text, newline=""), []
+
+    def lines():
+        for line in source:
+            yield line
+        ended.append(True)
+
+    row = next((r for r in csv.reader(lines(), delimiter=delimiter) if any(c.strip() for c in r)), [])
+    return row, not ended and any(x.strip() and x.endswith(("\n", "\r")) for x in io.StringIO(source.read(), newline=""))
+
+
 @dataclass
 class Preview:
     path: str
@@ -87,13 +111,22 @@ class Preview:
 
 
 def preview(spark: SparkSession, path: str, delimiter: str | None = None, has_header: bool = True) -> Preview:
-    data = head_bytes(spark, path)
-    text = decode(data)
-    d = delimiter or sniff_delimiter(text)
-    rows = (r for r in csv.reader(io.StringIO(text), delimiter=d) if any(c.strip() for c in r))
-    first = [c.strip() for c in next(rows, [])]
+    """Reads on until the first record and the line after it are whole."""
+    n, encoding = PROBE, None
+    while True:
+        data = head_bytes(spark, path, n)
+        whole = len(data) < n
+        encoding = encoding or (probe_encoding(data, True) if whole else file_encoding(spark, path))
+        text = decode(data, encoding)
+        lines = text if whole else text[: max(text.rfind("\n"), text.rfind("\r")) + 1] or text
+        d = delimiter or sniff_delimiter(lines)
+        record, enough = first_record(text, d)
+        if whole or enough:
+            break
+        n *= 2
+    first = [c.strip() for c in record]
     header = unique_header(first if has_header else synthetic_header(len(first))) if first else []
-    return Preview(path, header, d, probe_encoding(data), quote_pattern(text, d), len(data))
+    return Preview(path, header, d, encoding, quote_pattern(text, d), len(data))
 
 
 def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None, has_header: bool = True, corrupt: str | None = None, ordinal: str | None = None, multi_line: bool = True) -> DataFrame:
@@ -102,7 +135,7 @@ def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None,
     schema = T.StructType([T.StructField(n, T.StringType()) for n in p.header] + ([T.StructField(corrupt, T.StringType())] if corrupt else []))
     if p.encoding == "windows-1252":
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    reader = spark.read.schema(schema).options(sep=p.delimiter, quote='"', escape='"', header=str(has_header).lower(), encoding=p.encoding, mode="PERMISSIVE", enforceSchema="true", multiLine=str(multi_line).lower(), ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false")
+    reader = spark.read.schema(schema).options(sep=p.delimiter, quote='"', escape='"', header=str(has_header).lower(), encoding=p.encoding, mode="PERMISSIVE", enforceSchema="true", multiLine=str(multi_line).lower(), maxColumns=max(20480, len(p.header) + 1), ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false")
     if corrupt:
         reader = reader.option("columnNameOfCorruptRecord", corrupt)
     df = reader.csv(path)

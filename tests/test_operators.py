@@ -176,6 +176,31 @@ def test_delimited(spark, tmp_path):
     assert delimited.quote_pattern('a,b\n"1",2', ",") == [True, False]
 
 
+def test_delimited_beyond_the_first_probe(spark, tmp_path):
+    names = [f"column_{i:04d}" for i in range(400)]
+    (tmp_path / "wide.csv").write_text(";".join(names) + "\n" + ";".join(str(i) for i in range(400)) + "\n")
+    p = delimited.preview(spark, str(tmp_path / "wide.csv"))
+    assert p.header == names and p.delimiter == ";" and len(p.quoted) == 400
+    df = delimited.read_delimited(spark, str(tmp_path / "wide.csv"), corrupt="bad")
+    assert df.columns == [*names, "bad"] and list(df.first())[:-1] == [str(i) for i in range(400)] and df.first().bad is None
+    (tmp_path / "quoted.csv").write_text('k,"' + "x\n" * 3000 + 'y",z\n1,2,3\n')
+    assert [len(c) for c in delimited.preview(spark, str(tmp_path / "quoted.csv")).header] == [1, 6001, 1]
+    plain = "".join(f"{i},plain\n" for i in range(2000)).encode()
+    for name, tail, value, encoding in (("late[1].csv", b"9,caf\xe9 \x80\n", "caf\xe9 \u20ac", "windows-1252"), ("latin.csv", b"9,caf\xe9 \x81\n", "caf\xe9 \x81", "ISO-8859-1"), ("utf8.csv", "9,caf\xe9\n".encode(), "caf\xe9", "UTF-8"), ("cut.csv", b"9,caf\xc3", "caf\xc3", "windows-1252")):
+        (tmp_path / name).write_bytes(b"k,v\n" + plain + tail)
+        assert delimited.preview(spark, str(tmp_path / name)).encoding == encoding
+        if "[" not in name:
+            got = delimited.read_delimited(spark, str(tmp_path / name))
+            assert got.count() == 2001 and got.where("v <> 'plain'").first().v == value
+    used, _ = delimited.scan_directory(spark, str(tmp_path))
+    assert {u.path.rsplit("/", 1)[1]: u.encoding for u in used}["late[1].csv"] == "windows-1252"
+    assert max(len(u.header) for u in used) == 400
+    huge = [f"name_{i:09d}" for i in range(25000)]
+    (tmp_path / "huge.csv").write_text("|".join(huge) + "\n" + "|".join("1" * 25000) + "\n")
+    assert len(delimited.head_bytes(spark, str(tmp_path / "huge.csv"), 1 << 20)) > 131072
+    assert delimited.sniff_delimiter("|".join(huge)) == "|" and delimited.first_record("|".join(huge) + "\na\n", "|") == (huge, True)
+
+
 def out_file(folder):
     import glob
 
