@@ -3,7 +3,9 @@
 Method: samples are resampled by a polyphase filter, cut into overlapped
 frames, and turned into log-mel energies; segments start where the frame
 energy rises above a high mark and end where it falls below a low one.
-``audio_features`` gives fixed-shape Arrow tensors with their time spans.
+``tensors`` gives fixed-shape Arrow tensors with their time spans and those of
+the segments; ``audio_features`` stores them, as plain lists since Spark has no
+tensor type, and ``media_columns`` describes them.
 
 A text serves as payload: its UTF-8 bytes, padded by spaces to a positive
 multiple of 192, are the samples.  Defined results: a null or empty text is
@@ -116,15 +118,26 @@ def payload_of(text: bytes) -> bytes:
     return text + b" " * (-len(text) % BLOCK or (0 if text else BLOCK))
 
 
+#: The time spans of segments, in seconds.
+SPANS = pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))
+
+
 def tensors(samples: bytes) -> pa.RecordBatch:
-    """Fixed-shape tensors of log-mel frames with start and end in seconds; the last is padded by its floor."""
-    mel, _ = features(samples)
+    """Fixed-shape tensors of log-mel frames with start and end in seconds, their frames, and the segments that start in them; the last is padded by its floor."""
+    mel, spans = features(samples)
     n = -(-len(mel) // SHAPE)
     full = np.full((n * SHAPE, MELS), np.float32(-60))
     full[: len(mel)] = mel
     column = pa.FixedShapeTensorArray.from_numpy_ndarray(full.reshape(n, SHAPE, MELS))
-    start = np.arange(n) * SHAPE * HOP / LOW_RATE
-    return pa.RecordBatch.from_arrays([column, pa.array(start), pa.array(np.minimum(start + SHAPE * HOP / LOW_RATE, len(samples) / RATE))], ["log_mel", "start_s", "end_s"])
+    first = np.arange(n) * SHAPE
+    start = first * HOP / LOW_RATE
+    own: list[list] = [[] for _ in range(n)]
+    for a, z in spans:
+        own[a // SHAPE].append({"start_s": a * HOP / LOW_RATE, "end_s": z * HOP / LOW_RATE})
+    return pa.RecordBatch.from_arrays(
+        [column, pa.array(start), pa.array(np.minimum(start + SHAPE * HOP / LOW_RATE, len(samples) / RATE)), pa.array(np.minimum(len(mel) - first, SHAPE).astype(np.int32)), pa.array(own, SPANS)],
+        ["log_mel", "start_s", "end_s", "frames", "segments"],
+    )
 
 
 def _stored(batches):
@@ -145,12 +158,21 @@ def _tensor_rows(batches):
     for b in batches:
         for doc_id, media in zip(b.column("doc_id").to_pylist(), b.column("media").to_pylist(), strict=True):
             t = tensors(read_back(media))
-            yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(t), pa.int64()), pa.array(np.arange(len(t), dtype=np.int32)), t.column(0).storage.cast(pa.list_(pa.float32())), t.column(1), t.column(2)], ["doc_id", "part", "log_mel", "start_s", "end_s"])
+            yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(t), pa.int64()), pa.array(np.arange(len(t), dtype=np.int32)), t.column(0).storage.cast(pa.list_(pa.float32())), *t.columns[1:]], ["doc_id", "part", *t.schema.names])
 
 
 def audio_features(media: DataFrame) -> DataFrame:
-    """One row a tensor (SHAPE x MELS values, row-major) with its time span."""
-    return media.mapInArrow(_tensor_rows, "doc_id long, part int, log_mel array<float>, start_s double, end_s double")
+    """One row a tensor (SHAPE x MELS values, row-major) with its time span, its frames and the time spans of segments that start in it."""
+    return media.mapInArrow(_tensor_rows, "doc_id long, part int, log_mel array<float>, start_s double, end_s double, frames int, segments array<struct<start_s: double, end_s: double>>")
+
+
+def described(t: pa.RecordBatch) -> str:
+    """The feature string of a document's tensors."""
+    mel = t.column("log_mel").to_numpy_ndarray().reshape(-1, MELS)[: sum(t.column("frames").to_pylist())]
+    spans = [x for own in t.column("segments").to_pylist() for x in own]
+    voiced = sum(round(x["end_s"] * LOW_RATE / HOP) - round(x["start_s"] * LOW_RATE / HOP) for x in spans)
+    mean, dev = mel.mean(axis=0, dtype=np.float64), mel.std(axis=0, dtype=np.float64)
+    return f"frames={len(mel)};segments={len(spans)};voiced={voiced};mean=" + ",".join(f"{v:.1f}" for v in mean) + ";dev=" + ",".join(f"{v:.1f}" for v in dev)
 
 
 def _described(batches):
@@ -158,10 +180,7 @@ def _described(batches):
         rows = []
         for media in b.column("media").to_pylist():
             payload = read_back(media)
-            mel, spans = features(payload)
-            mean, dev = mel.mean(axis=0, dtype=np.float64), mel.std(axis=0, dtype=np.float64)
-            text = f"frames={len(mel)};segments={len(spans)};voiced={sum(z - a for a, z in spans)};mean=" + ",".join(f"{v:.1f}" for v in mean) + ";dev=" + ",".join(f"{v:.1f}" for v in dev)
-            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), text))
+            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), described(tensors(payload))))
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 

@@ -10,7 +10,7 @@ from .decontam import contamination
 from .frames import documents
 from .langid import language_id
 from .license_scan import license_scan
-from .media import media_columns
+from .media import as_media, audio_features, media_columns
 from .ngram_join import ngram_join
 from .packing import best_fit_packing
 from .quality import quality_scores
@@ -47,6 +47,10 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(documents(spark, sf_dir))
 
 
+def op7_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio_features(as_media(documents(spark, sf_dir)))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
 
@@ -60,7 +64,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = [op1_ngram_join, op2_suffix_dedup, op3_license_scan, op4_best_fit_packing, op5_quality, op6_language_id, op7_media, op8_decontamination, op9_token_counts, op10_substring_dedup]
+    ops = [op1_ngram_join, op2_suffix_dedup, op3_license_scan, op4_best_fit_packing, op5_quality, op6_language_id, op7_media, op7_audio_features, op8_decontamination, op9_token_counts, op10_substring_dedup]
     return {f.__name__: f for f in ops}
 
 

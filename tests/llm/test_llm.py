@@ -301,6 +301,22 @@ def test_media(docs, empty):
     assert np.abs(media.resampled(media.resampled(x), 2, 1)[200:-200] - x[200:-200]).max() < 0.02
 
 
+def test_media_tensors_and_spans(spark):
+    n = np.arange(40000)
+    sound = 100 * np.sin(n * 2 * np.pi * 1000 / 16000) * ((n > 8000) & (n < 16000) | (n > 30000))
+    payload = bytes((128 + sound).astype(np.uint8))[: 40000 // 192 * 192]
+    mel, spans = media.features(payload)
+    rows = media.audio_features(spark.createDataFrame([(1, len(payload), bytearray(media.stored(payload)))], "doc_id long, n_bytes long, media binary")).orderBy("part").collect()
+    stored = np.array([r.log_mel for r in rows], np.float32).reshape(-1, media.MELS)[: sum(r.frames for r in rows)]
+    assert np.array_equal(stored, mel) and rows[-1].end_s == len(payload) / media.RATE
+    found = [(x.start_s, x.end_s) for r in rows for x in r.segments]
+    assert found == [(a * media.HOP / media.LOW_RATE, z * media.HOP / media.LOW_RATE) for a, z in spans] and len(found) == 2
+    assert all(abs(x - y) < 0.05 for got, want in zip(found, [(0.5, 1.0), (1.875, 2.5)], strict=True) for x, y in zip(got, want, strict=True))
+    assert all(r.start_s <= x.start_s < r.end_s for r in rows for x in r.segments)
+    mean = ",".join(f"{v:.1f}" for v in mel.mean(axis=0, dtype=np.float64))
+    assert media.described(media.tensors(payload)).startswith(f"frames={len(mel)};segments=2;voiced={sum(z - a for a, z in spans)};mean={mean};dev=")
+
+
 def test_token_counts(docs, empty):
     path, pattern = token_counts.default_vocabulary()
     counter = token_counts.Counter(token_counts.vocabulary(path))
