@@ -6,7 +6,7 @@ to be small, and otherwise sorts and merges, splitting skewed keys at run time.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,7 +17,7 @@ from ..functions.text import clean_cell, col, is_digits, strip, zero_fill_digits
 
 @dataclass(frozen=True)
 class KeyStyle:
-    """How key cells are normalised.  widths: per key field, for digits; None learns them from the key side."""
+    """How key cells are normalised.  widths: per key field, for digits; None learns them from the key side, in lookups from both."""
 
     ignore_case: bool = True
     trim: bool = True
@@ -88,6 +88,9 @@ def lookup(main: DataFrame, table: DataFrame, on: list[tuple[str, str]], append:
     lookup row, unmatched rows stay with matched false.  fifo: the k-th row of
     a key takes the k-th lookup row of it, unmatched rows stay.
     """
+    if style.zero_pad and style.widths is None:
+        both = learn_widths(main, [k for k, _ in on], style), learn_widths(table, [k for _, k in on], style)
+        style = replace(style, widths=tuple(map(max, *both)))
     m, t, names = _sides(main, table, on, style)
     new = {a: unique_name(a, main.columns) for a in append}
     order = Window.partitionBy(*names).orderBy(*map(col, order_by))

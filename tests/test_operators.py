@@ -47,6 +47,17 @@ def test_lookup_modes(spark):
     assert sorted(values(fifo)) == [("1", "a", "x"), ("1", "b", "y"), ("2", "c", None)]
 
 
+def test_lookup_pads_to_the_wider_side(spark):
+    main = frame(spark, ["k", "amt"], [("0007", "a"), ("12", "b"), ("x", "c")])
+    style = keyjoin.KeyStyle(zero_pad=True)
+    for keys in (("7", "12"), ("7", "00012")):
+        table = frame(spark, ["k", "n"], [(keys[0], "1"), (keys[1], "2")])
+        got = {m: sorted(values(keyjoin.lookup(main, table, [("k", "k")], ["n"], ["n"], m, style, ["amt"]))) for m in ("first", "all", "fifo")}
+        assert got["first"] == [("0007", "a", "1"), ("12", "b", "2")]
+        assert got["all"] == [("0007", "a", "1", True), ("12", "b", "2", True), ("x", "c", None, False)]
+        assert got["fifo"] == [("0007", "a", "1"), ("12", "b", "2"), ("x", "c", None)]
+
+
 def test_sort_blank_number_text(spark):
     df = frame(spark, ["v"], [("10",), ("9",), ("2.5",), ("",), ("abc",)])
     assert [r.v for r in ordering.sort_records(df, ["v"]).collect()] == ["", "2.5", "9", "10", "abc"]
