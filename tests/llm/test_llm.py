@@ -199,6 +199,80 @@ def test_license_scan(spark, empty):
     assert license_scan.license_scan(empty).count() == 0
 
 
+CLASHES = ["kind", "first"]
+
+
+def brute_stages(rows, items):
+    """The documents each stage keeps, as (doc_id, text), by definition: a letter, least of its component, earlier windows cut, not contaminated."""
+    one = [(i, t) for i, t in rows if any(c.isalpha() for c in t or "")]
+    sets = []
+    for _, t in one:
+        w = words(t, True)
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)})
+    part = list(range(len(one)))
+    for i in range(len(one)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) or one[i][0] is not None and one[i][0] == one[j][0]:
+                old, new = part[i], part[j]
+                part = [new if p == old else p for p in part]
+    least = {p: min((i for (i, _), q in zip(one, part, strict=True) if q == p and i is not None), default=None) for p in set(part)}
+    gone = {i for (i, _), p in zip(one, part, strict=True) if i is not None and least[p] < i}
+    two = [(i, t) for i, t in one if i not in gone]
+    first = {}
+    for i, t in two:
+        w = words(t)
+        for k in range(len(w) - 49 if i is not None else 0):
+            key = tuple(w[k : k + 50])
+            first[key] = min(first.get(key, i), i)
+    three = []
+    for i, t in two:
+        w = words(t)
+        cut = {k + j for k in range(len(w) - 49 if i is not None else 0) if first[tuple(w[k : k + 50])] < i for j in range(50)}
+        if len(cut) < len(w) or not cut:
+            three.append((i, b" ".join(x for k, x in enumerate(w) if k not in cut).decode() if cut else t))
+    windows = {tuple(w[k : k + 13]) for w in map(alnum, items) for k in range(max(1, len(w) - 12) if w else 0)}
+    four = []
+    for i, t in three:
+        w = alnum(t)
+        hit = {k + j for n in {len(x) for x in windows} for k in range(len(w) - n + 1) if tuple(w[k : k + n]) in windows for j in range(n)}
+        if not (hit and 20 * len(hit) >= len(w)):
+            four.append((i, t))
+    return one, two, three, four
+
+
+def test_pipeline_stages(spark, tmp_path):
+    """Each stage and the final pieces against brute force, with columns whose names the helpers use."""
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+    import public_tokenizers
+
+    long = [r for r in corpus() if len((r[1] or "").split()) > 100]
+    rows = [(*r[:5], *(f"{c}{k}" for c in CLASHES)) for k, r in enumerate(corpus())]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHES)
+    items = [" ".join(long[3][1].split()[3:60]), "one, TWO"]
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    want = brute_stages([r[:2] for r in rows], items)
+    assert len({len(x) for x in (rows, *want)}) >= 4 and want[1] != want[2]
+    by_row = Counter(r[5:] + (r[0],) for r in rows)
+    docs = corpus_pipeline.documents(spark, str(tmp_path))
+    for (name, stage), kept in zip(corpus_pipeline.STAGES, want, strict=False):
+        stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        assert docs.columns == [f.split("`")[1] if "`" in f else f.split()[0] for f in schema.split(", ")], name
+        got = docs.collect()
+        assert sorted(((r[0], r[1]) for r in got), key=repr) == sorted(kept, key=repr), name
+        assert all(by_row[tuple(r[5:]) + (r[0],)] for r in got), name
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = Counter()
+    for i, text in want[3]:
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]
+        for k in range(0, len(ids), 2048):
+            pieces[i, len(ids[k : k + 2048]), zlib.crc32(np.array(ids[k : k + 2048], "<u4").tobytes())] += 1
+    assert Counter((r.doc_id, r.length, r.ids_crc32) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == pieces
+
+
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
