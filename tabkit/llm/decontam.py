@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import small_batches, texts
+from .frames import plain_names, small_batches, texts
 from .textbytes import ALNUM_WORD, LOWER, Words, covered, texts_of
 
 WINDOW = 13
@@ -185,8 +185,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cut: bool = False) -> DataFrame:
     """The documents without contaminated ones, or with ``cut`` without the words hit in those."""
-    names = docs.columns
-    schema = docs.schema
+    given, docs = docs.columns, plain_names(docs)
+    names, schema = docs.columns, docs.schema
 
     def clean(batches):
         for b in batches:
@@ -206,7 +206,4 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
             out = b.select(names)
             yield out.set_column(names.index("text"), "text", pa.array(text, pa.string())).filter(pa.array(keep, pa.bool_()))
 
-    clash = {"n_words", "starts", "ends", "items"} & {c.lower() for c in names}
-    if clash:
-        raise ValueError(f"rename the columns {sorted(clash)} first")
-    return scanned(docs, benchmark, window).mapInArrow(clean, schema)
+    return scanned(docs, benchmark, window).mapInArrow(clean, schema).toDF(*given)

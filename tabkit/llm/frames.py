@@ -50,6 +50,11 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def plain_names(docs: DataFrame, *known: str) -> DataFrame:
+    """The documents under names that clash with no helper's: all but doc_id, text and the known ones by their place."""
+    return docs.toDF(*(c if c in ("doc_id", "text", *known) else f"__c{i}" for i, c in enumerate(docs.columns)))
+
+
 def schema(ddl: str) -> T.StructType:
     return T._parse_datatype_string(ddl) if not isinstance(ddl, T.StructType) else ddl
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import in_training, small_batches
+from .frames import in_training, plain_names, small_batches
 
 #: Documents a language at most that profiles are learned from.
 BOUND = 4000
@@ -139,7 +139,5 @@ def language_id(docs: DataFrame, bound: int = BOUND, length: int = LENGTH) -> Da
 
 def with_language(docs: DataFrame, bound: int = BOUND, length: int = LENGTH) -> DataFrame:
     """The documents whose language can be told."""
-    clash = {"lang_pred", "score", "__text"} & {c.lower() for c in docs.columns}
-    if clash:
-        raise ValueError(f"rename the columns {sorted(clash)} first")
-    return identify(docs, profiles(docs, bound, length), length, docs.columns).where(F.col("lang_pred") != UNKNOWN).select(docs.columns)
+    own = plain_names(docs, "lang")
+    return identify(own, profiles(own, bound, length), length, own.columns).where(F.col("lang_pred") != UNKNOWN).select(own.columns).toDF(*docs.columns)

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import bloom, has
-from .frames import partitions, texts, written
+from .frames import partitions, plain_names, texts, written
 from .graph import components
 from .textbytes import SPACE_WORD, Prefix, Texts, Words, mix, signed, texts_of
 
@@ -440,4 +440,5 @@ def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     """The documents without all but the least doc_id of each component; rows without doc_id stay."""
     linked = ngram_join(docs, words, percent)
     gone = linked.where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    own = plain_names(docs)
+    return own.join(gone, "doc_id", "left_anti").select(own.columns).toDF(*docs.columns)

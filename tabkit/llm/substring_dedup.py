@@ -19,10 +19,9 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .fmindex import FMIndex
-from .frames import texts
+from .frames import plain_names, texts
 from .repeats import Unit, cut_documents, repeated_spans
 from .sais import permuted_common_prefixes, suffix_array
 from .textbytes import SPACE_WORD, Words, covered
@@ -106,6 +105,7 @@ def cut_earlier_passages(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
     A column n_chars (long) follows the text.
     """
+    given, docs = docs.columns, plain_names(docs, "n_chars")
     names = docs.columns
     spans = repeated_spans(texts(docs), Unit(True, words, min(GRAM, max(1, words // 2))), earliest_windows, True)
 
@@ -118,5 +118,4 @@ def cut_earlier_passages(docs: DataFrame, words: int = WORDS) -> DataFrame:
             b = b.set_column(names.index("n_chars"), "n_chars", pa.array(chars, pa.int64()))
         return b.set_column(names.index("text"), "text", pa.array(text, pa.string())).filter(pa.array(keep))
 
-    docs = docs.select(*(F.col(c) for c in names))
-    return cut_documents(docs, spans, cut, docs.schema)
+    return cut_documents(docs, spans, cut, docs.schema).toDF(*given)
