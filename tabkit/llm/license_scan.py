@@ -3,7 +3,8 @@
 Method: a template is wording with replaceable ``<<...>>`` and optional
 ``[[...]]`` regions.  It is compiled into a token automaton that accepts the
 texts whose mandatory words are all there, in order and next to each other;
-a replaceable region stands for a few words of any kind.  Short base phrases
+a replaceable region stands for words of any kind, as many as its markup says
+(``<<wording;200>>``: 200 at most) or REGION.  Short base phrases
 are the same without regions.
 
 Defined results: a null or empty text has no words, no labels and score 0.
@@ -30,11 +31,11 @@ BASE = {
     "mit license": "mit",
 }
 
-#: Longest replaceable region, in words.
+#: Longest replaceable region, in words, where its markup names no length.
 REGION = 12
 
 TEMPLATES = {
-    "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of <<this software>> to deal in the software without restriction",
+    "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of <<this software;200>> to deal in the software without restriction",
     "isc-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
     "bsd-grant": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "apache-2.0-notice": "licensed under the apache license version 2 0 [[the license]] [[you may not use this file except in compliance with the license]]",
@@ -55,7 +56,7 @@ class Template:
         self.items: list[tuple[str, str, int]] = []
         for part in re.findall(r"<<.*?>>|\[\[.*?\]\]|\S+", markup):
             if part.startswith("<<"):
-                self.items.append(("any", "", REGION))
+                self.items.append(("any", "", int(part[2:-2].partition(";")[2] or REGION)))
             elif part.startswith("[["):
                 words = part[2:-2].split()
                 self.items.append(("skip", "", len(self.items) + 1 + len(words)))

@@ -199,6 +199,13 @@ def test_license_scan(spark, empty):
     assert license_scan.license_scan(empty).count() == 0
 
 
+def test_license_regions_have_their_own_length(spark):
+    grant = "permission is hereby granted free of charge to any person obtaining a copy of {} to deal in the software without restriction"
+    rows = [(k, grant.format("word " * k)) for k in (0, 12, 13, 200, 201)]
+    got = license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert rows_of(got, "doc_id", "labels", "score") == sorted([(k, "mit-grant" if k <= 200 else "", 1.0 if k <= 200 else 0.0) for k, _ in rows], key=repr)
+
+
 CLASHES = ["n_words", "starts", "ends", "items", "lang_pred", "score", "__text", "tag", "spans", "mark", "first", "last", "anchor", "component_id", "a.b"]
 
 
