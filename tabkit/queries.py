@@ -346,6 +346,14 @@ def concat_union_all(spark, d):
     return concat.concat_frames(parts, source="origin").df
 
 
+@query("select c_custkey, c_name, 'a' as origin from customer where c_nationkey < 5 union all select c_custkey, c_name, 'b' from customer where c_nationkey >= 5 or c_nationkey is null")
+def concat_union_whole(spark, d):
+    """Parts that together hold every row."""
+    c = table(spark, d, "customer")
+    parts = [("a", c.where("c_nationkey < 5").select("c_custkey", "c_name")), ("b", c.where("c_nationkey >= 5 or c_nationkey is null").select("c_custkey", "c_name")), ("other", c.select("c_name", "c_custkey"))]
+    return concat.concat_frames(parts, source="origin").df
+
+
 @query("""select reason, count(*) as n from (select case when n_nationkey % 4 = 0 then 'blank row' when n_nationkey % 4 = 1 then 'number alone' when n_nationkey % 4 = 2 then 'too few cells' else 'kept' end as reason from nation) group by 1""")
 def concat_row_hygiene(spark, d):
     n = table(spark, d, "nation")

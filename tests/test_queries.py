@@ -40,3 +40,8 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_concat_over_the_whole_table(spark, duck):
+    got = core.queries()["concat_union_whole"](spark, DIR)
+    assert _rows([(r.c_custkey,) for r in got.collect()]) == _rows(duck.sql("select c_custkey from customer").fetchall())
