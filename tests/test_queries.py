@@ -1,6 +1,8 @@
 """Every registered query of the library against its SQL in DuckDB."""
 
+import hashlib
 import os
+import unicodedata
 
 import duckdb
 import pytest
@@ -45,3 +47,19 @@ def test_entry(spark):
 def test_concat_over_the_whole_table(spark, duck):
     got = core.queries()["concat_union_whole"](spark, DIR)
     assert _rows([(r.c_custkey,) for r in got.collect()]) == _rows(duck.sql("select c_custkey from customer").fetchall())
+
+
+def test_cleaning_with_the_normal_form(spark, duck, tmp_path):
+    import __spark_entry__
+
+    texts = [None, "", " \uff21\uff11\u3000x ", "\ufb01ne\u00a0\u200bprint", "\u3000\u2460\u3000", "e\u0301", "plain"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.cleaned for r in __spark_entry__.queries()["clean_cells_normal_form"](spark, str(tmp_path)).collect()}
+    clean = lambda t: unicodedata.normalize("NFKC", "".join(c for c in t or "" if c not in "\ufeff\u00a0\u200b\u200c\u200d")).strip()
+    assert got == {i: hashlib.md5(clean(t).encode()).hexdigest() for i, t in enumerate(texts)}
+    names = [(3, "  "), (7, "\uff2e\uff11"), (11, "\ufb01"), (1, "q"), (2, "q"), (4, "q")]
+    spark.createDataFrame(names, "n_nationkey int, n_name string").write.parquet(str(tmp_path / "nation.parquet"))
+    reasons = {r.reason: r.n for r in __spark_entry__.queries()["concat_row_hygiene_normal_form"](spark, str(tmp_path)).collect()}
+    assert reasons == {"too few cells": 2, "kept": 2, "number alone": 1, "blank row": 1}
+    rows = spark.createDataFrame([("\uff12\uff10\uff12\uff14", "")], "a string, b string")
+    assert core.concat.with_reason(rows).first().drop_reason == "number alone" and core.concat.with_reason(rows).first().a == "2024"
