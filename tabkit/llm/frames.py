@@ -8,7 +8,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -22,12 +21,44 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def _table(spark: SparkSession) -> str:
+    """A new path in this application's own part of the shared folder, which goes when the driver ends."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/tabkit-{spark.sparkContext.applicationId}")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return f"{folder.toString()}/{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame) -> DataFrame:
     """Write a frame once to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tabkit-{uuid.uuid4().hex}"
+    path = _table(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tabkit_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more."""
+    for df in tables:
+        where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._tabkit_path)
+        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
+#: A key that holds one part in so many of a table's rows is hot; no more keys than this can be.
+HOT = 1000
+
+
+def hot_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Inner join on a key that is unique in ``right``; rows of hot keys (at most ``HOT``) meet a broadcast row and are not moved."""
+    counts = left.groupBy(key).agg(F.count("*").alias("n"))
+    total = left.count()
+    hot = [r[0] for r in counts.where(F.col("n") >= max(total / HOT, 100)).select(key).collect() if r[0] is not None]
+    if not hot:
+        return left.join(right, key)
+    few = left.sparkSession.createDataFrame([(k,) for k in hot], f"{key} long")
+    some = right.join(F.broadcast(few), key)
+    return left.join(F.broadcast(few), key, "left_anti").join(right, key).unionByName(left.join(F.broadcast(some), key))
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -55,10 +86,6 @@ def plain_names(docs: DataFrame, *known: str) -> DataFrame:
     return docs.toDF(*(c if c in ("doc_id", "text", *known) else f"__c{i}" for i, c in enumerate(docs.columns)))
 
 
-def schema(ddl: str) -> T.StructType:
-    return T._parse_datatype_string(ddl) if not isinstance(ddl, T.StructType) else ddl
-
-
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

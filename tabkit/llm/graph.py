@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import written
+from .frames import discard, hot_join, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,17 +13,21 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round takes the least label among neighbours and then follows the
     label's own label, so paths halve at least; every round is written to the
-    shared folder, so lineage stays short.  Labels only fall, so the sum of
-    changes is a sound end.
+    shared folder, so lineage stays short.  Labels only fall, so a round
+    without change is the last.  Rows of a hub are not gathered in a task.
     """
-    both = written(edges.select("a", "b").where("a <> b").union(edges.select("b", "a").where("a <> b")).distinct())
+    one = edges.select("a", "b").where("a <> b")
+    both = written(one.union(one.select("b", "a")).distinct())
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("label")))
     while True:
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
-        low = labels.join(near, labels.node == near.a).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        to = labels.select(F.col("node").alias("at"), F.col("label").alias("next"))
-        new = written(low.join(to, low.label == to.at, "left").select("node", "old", F.least("label", "next").alias("label")))
+        near = hot_join(both, labels.toDF("b", "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
+        low = labels.join(near, labels.node == near.a).select("node", F.col("label").alias("old"), F.least("label", "near").alias("low"))
+        low = written(low)
+        new = written(hot_join(low, labels.toDF("low", "next"), "low").select("node", "old", F.least("low", "next").alias("label")))
         done = new.where("old <> label").isEmpty()
+        discard(labels, low)
         labels = new.select("node", "label")
+        labels._tabkit_path = new._tabkit_path
         if done:
+            discard(both)
             return labels

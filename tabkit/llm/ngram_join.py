@@ -2,26 +2,30 @@
 
 Method: shingles are hashed into groups and a set is a point of group counts.
 The sum over groups of the smaller of two counts bounds two sets' overlap, so
-an R-tree of points finds, for a set, those that could overlap enough; these
-pairs are then verified on the sets themselves.
-
-Spread over a cluster, the sets of one R-tree are those that share a key: one
-of the first shingles of a set, rare ones first, taken so many that two alike
-sets must share one.  Equal sets are one set from the start.  Links only have
-to tell components apart, so each key first checks its sets against the
-smallest (bounded by counts, then verified); only keys whose sets are still in
-different components build an R-tree, and pairs of one component are skipped.
-Its pairs are verified in rounds, each set's likeliest partners first, with
-components renewed between rounds, so a group of copies of any size costs a few
-pairs a member; the last round takes all pairs still open.
-
-Keys with more than ``BLOCK`` such sets are split into pairs of blocks.
+an R-tree of points, whose nodes keep upper corners and ranges of set sizes,
+finds for a set those that could overlap enough.  All candidate pairs come
+from such trees; they are then verified on the sets themselves.
+
+Spread over a cluster, alike sets are brought together by keys: the first
+shingles of a set, rare ones first, taken so many that two alike sets share
+one.  Sets that share a key and whose sizes allow a link are connected, and a
+component of them is dealt to one *unit*.  A task builds R-trees over its
+units, verifies in place, and gives only links that join what was apart, so
+its output is linear in the sets it reads, whatever the size of a group.
+
+A component of more than ``SETS`` sets is split, its keys' lists too if they
+are as large: either the component or the lists, whichever moves fewer sets,
+are cut into blocks; each block is a unit, and then the sets outside the
+commonest part found so far meet all the others, block by block.  Pairs of
+sets that are both in the commonest part are linked already.
 
 Defined results: a null text or one without words has an empty set, links to
 nothing and is its own component; a text of fewer words than a shingle has one
-shingle of all its words; rows that share a doc_id are one node; a row without
-doc_id has the component of its set's other rows, or null; extra columns are
-ignored.
+shingle of all its words; equal sets are one node, and so are rows that share a
+doc_id; a row without doc_id links as others do and has the component of what
+it links to, or null; a very long text is one row, so a task holds its hashes
+(8 bytes a word); ties and repeated rows cannot change components; an empty
+table gives an empty one; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -30,27 +34,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import bloom, has
-from .frames import partitions, plain_names, texts, written
+from .frames import discard, hot_join, partitions, plain_names, texts, written
 from .graph import components
 from .textbytes import SPACE_WORD, Prefix, Texts, Words, mix, signed, texts_of
 
 WORDS = 5
 PERCENT = 80
-GROUPS = 128
-#: Sets of more than ``LARGE`` shingles have ``FINE`` groups for each group, as a bound by few groups is weak then.
-LARGE, FINE = 800, 8
-#: Partners of a set in a key that are verified in one round, the likeliest first; the last round has all others.
-ROUNDS = (8, 64, 1 << 40)
-BLOCK = 4096
-LEAF = 32
-#: Sets that walk an R-tree together.
-QUERIES = 32
-#: A count of so many or more; it bounds nothing.
-OPEN = 255
+#: Groups of a point.
+GROUPS = 2048
+#: Children of a node of an R-tree.
+FAN = 8
+#: Sets and shingles of a unit at most, and about so many of an R-tree that holds several units.
+SETS, SHINGLES = 256, 1 << 22
 #: Length of the list of frequent shingles, which only sets the order of keys.
 FREQUENT = 1 << 16
 
@@ -82,15 +82,7 @@ def _members(words: int):
         for b in batches:
             for t in texts_of(b.column("text")):
                 s = Sets(t, words)
-                fine = GROUPS * FINE
-                counts = np.bincount(s.doc * fine + (s.hash >> np.uint64(54)).astype(np.int64), minlength=len(t) * fine).reshape(len(t), fine)
-                few = np.minimum(counts.reshape(len(t), GROUPS, FINE).sum(axis=2), OPEN).astype(np.uint8)
-                many = np.minimum(counts, OPEN).astype(np.uint8)
-                points = [many[i] if s.size[i] > LARGE else few[i] for i in range(len(t))]
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").slice(t.first, len(t)), pa.array(s.size), pa.array(s.mark), pa.array([x.tobytes() for x in points], pa.binary())],
-                    ["doc_id", "n", "mark", "point"],
-                )
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(t.first, len(t)), pa.array(s.size), pa.array(s.mark)], ["doc_id", "n", "mark"])
 
     return work
 
@@ -143,215 +135,161 @@ def _keys(words: int, percent: int, frequent):
     return work
 
 
-def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key, n, mark: those of keys with several sets, with the key's first set."""
-    last = leader = None  # the row held back, as it may be its key's only one, and the first row of its key
-    for b in batches:
-        rows = np.stack([b.column(k).to_numpy() for k in ("key", "n", "mark")])
-        if last is not None:
-            rows = np.concatenate((last[:, None], rows), axis=1)
-        new = np.ones(rows.shape[1], bool)
-        new[1:] = (rows[:, 1:] != rows[:, :-1]).any(axis=0)
-        rows = rows[:, new]
-        if not rows.shape[1]:
-            continue
-        key = rows[0]
-        head = np.concatenate(([True], key[1:] != key[:-1]))
-        at = np.maximum.accumulate(np.where(head, np.arange(len(key)), 0))
-        first = rows[1:, at]
-        carried = leader is not None and leader[0] == key[0]
-        if carried:
-            first[:, at == 0] = leader[1:, None]
-        alone = head & np.append(head[1:], True)
-        if carried:  # the row held back is its key's only one only if it leads it
-            alone[0] &= bool((leader[1:] == rows[1:, 0]).all())
-        out = ~alone
-        out[-1] = False
-        yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (*rows, *first)], ["key", "n", "mark", "lead_n", "lead"])
-        last = rows[:, -1]
-        leader = np.concatenate(([key[-1]], first[:, -1]))
-    if last is not None and (leader[1:] != last[1:]).any():
-        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (*last, *leader[1:])], ["key", "n", "mark", "lead_n", "lead"])
+def _shared_keys(percent: int):
+    """Of rows sorted by key, n, mark: those with others of the same key whose sizes allow a link, with the first of these.
 
+    Sizes allow a link of any two neighbours, so what a row's list leaves out it cannot link to.
+    """
+    names = ["key", "n", "mark", "lead"]
 
-def _hashes(words: int):
-    """mark and the sorted hashes of the set."""
-
-    def work(batches):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = lead = None  # the row held back, as it may be alone, and the first mark of its list
         for b in batches:
-            want = b.column("mark").to_numpy()
-            for t in texts_of(b.column("text")):
-                s = Sets(t, words)
-                ok = np.flatnonzero(s.mark == want[t.first : t.first + len(t)])
-                yield pa.RecordBatch.from_arrays([pa.array(s.mark[ok]), pa.array([s.hash[s.off[i] : s.off[i + 1]].tobytes() for i in ok], pa.binary())], ["mark", "hashes"])
+            rows = np.stack([b.column(k).to_numpy() for k in names[:3]])
+            if last is not None:
+                rows = np.concatenate((last[:, None], rows), axis=1)
+            new = np.ones(rows.shape[1], bool)
+            new[1:] = (rows[:, 1:] != rows[:, :-1]).any(axis=0)
+            rows = rows[:, new]
+            if not rows.shape[1]:
+                continue
+            key, n, mark = rows
+            head = np.concatenate(([True], (key[1:] != key[:-1]) | (percent * n[1:] > 100 * n[:-1])))
+            at = np.maximum.accumulate(np.where(head, np.arange(len(key)), 0))
+            first = mark[at]
+            alone = head & np.append(head[1:], True)
+            if last is not None:
+                first[at == 0] = lead
+                alone[0] &= lead == mark[0]
+            out = ~alone
+            out[-1] = False
+            yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (*rows, first)], names)
+            last, lead = rows[:, -1], first[-1]
+        if last is not None and lead != last[2]:
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (*last, lead)], names)
 
     return work
 
 
-def _opened(raw: np.ndarray) -> np.ndarray:
-    out = raw.astype(np.int32)
-    out[raw == OPEN] = 1 << 20
-    return out
-
-
-def _matrix(rows: list[bytes]) -> np.ndarray:
-    """Points by group; finer ones are summed."""
-    out = np.empty((len(rows), GROUPS), np.int32)
-    wide = np.array([len(r) > GROUPS for r in rows], bool)
-    out[~wide] = _opened(np.frombuffer(b"".join(r for r in rows if len(r) == GROUPS), np.uint8)).reshape(-1, GROUPS)
-    out[wide] = _opened(np.frombuffer(b"".join(r for r in rows if len(r) > GROUPS), np.uint8)).reshape(-1, GROUPS, FINE).sum(axis=2)
-    return out
-
-
-def _finely(rows: list[bytes], q: np.ndarray, p: np.ndarray, need: np.ndarray) -> np.ndarray:
-    """Which pairs pass by finer groups too, where both have them."""
-    ok = np.ones(len(q), bool)
-    for k, (i, j) in enumerate(zip(q.tolist(), p.tolist(), strict=True)):
-        if len(rows[i]) > GROUPS and len(rows[j]) > GROUPS:
-            ok[k] = np.minimum(_opened(np.frombuffer(rows[i], np.uint8)), _opened(np.frombuffer(rows[j], np.uint8))).sum() >= need[k]
-    return ok
-
-
-def _needed(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
-    """The least overlap of alike sets of n and m shingles."""
-    return -(-percent * (n + m) // (100 + percent))
-
+def _hashes(words: int):
+    """mark and the sorted hashes of each distinct set of a slice."""
 
-def _bounded(percent: int):
     def work(batches):
         for b in batches:
-            if len(b):
-                n, m = b.column("n").to_numpy(), b.column("m").to_numpy()
-                rows = b.column("p").to_pylist() + b.column("q").to_pylist()
-                points, at, need = _matrix(rows), np.arange(len(b)), _needed(n, m, percent)
-                ok = np.minimum(points[: len(b)], points[len(b) :]).sum(axis=1) >= need
-                ok[ok] = _finely(rows, at[ok], at[ok] + len(b), need[ok])
-                yield b.select(["a", "b"]).filter(pa.array(ok))
+            for t in texts_of(b.column("text")):
+                s = Sets(t, words)
+                ok = np.flatnonzero(_first_of_mark(s))
+                yield pa.RecordBatch.from_arrays([pa.array(s.mark[ok]), pa.array([s.hash[s.off[i] : s.off[i + 1]].tobytes() for i in ok], pa.binary())], ["mark", "hashes"])
 
     return work
 
 
 class RTree:
-    """A packed R-tree of points of counts; nodes keep upper corners and ranges of set sizes."""
+    """A packed R-tree of points of counts; nodes keep upper corners and ranges of set sizes.  ``visited`` counts nodes looked at, by level from the leaves."""
 
     def __init__(self, points: np.ndarray, n: np.ndarray):
-        by = np.argsort(n, kind="stable")
-        for tile in np.array_split(by, max(1, len(by) // (LEAF * LEAF))):
-            axis = int(points[tile].var(axis=0).argmax())
-            tile[:] = tile[np.argsort(points[tile, axis], kind="stable")]
-        self.by, self.points, self.n = by, points[by], n[by]
-        self.levels = [(self.points, self.n, self.n)]
-        while len(self.levels[-1][0]) > LEAF:
+        self.levels = [(points, n, n)]
+        while len(self.levels[-1][0]) > FAN:
             upper, low, high = self.levels[-1]
-            at = np.arange(0, len(upper), LEAF)
+            at = np.arange(0, len(upper), FAN)
             self.levels.append((np.maximum.reduceat(upper, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)))
-
-    def near(self, points: np.ndarray, n: np.ndarray, percent: int, wanted) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Wanted pairs (query, point) whose summed minima allow the overlap that is needed; both figures."""
-        query, node = (x.ravel() for x in np.indices((len(n), len(self.levels[-1][0]))))
+        self.visited = [0] * len(self.levels)
+
+    def before(self, q: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """The points before q whose summed minima with it allow the overlap that is needed, and how much they have to spare."""
+        points, n, _ = self.levels[0]
+        cells = np.flatnonzero(points[q])
+        own, size = points[q, cells].astype(np.int64), n[q]
+        node = np.arange(len(self.levels[-1][0]))
         for depth in range(len(self.levels) - 1, -1, -1):
             upper, low, high = self.levels[depth]
-            own = n[query]
-            ok = (100 * high[node] >= percent * own) & (percent * low[node] <= 100 * own)
-            if not depth:
-                ok &= wanted(query, self.by[node])
-            query, node, own = query[ok], node[ok], own[ok]
-            bound, need = np.minimum(points[query], upper[node]).sum(axis=1), _needed(own, low[node], percent)
-            ok = bound >= need
-            query, node, bound, need = query[ok], node[ok], bound[ok], need[ok]
+            node = node[node <= q // FAN**depth] if depth else node[node < q]
+            node = node[(100 * high[node] >= percent * size) & (percent * low[node] <= 100 * size)]
+            self.visited[depth] += len(node)
+            spare = np.minimum(upper[np.ix_(node, cells)], own).sum(axis=1) - _needed(size, np.maximum(low[node], -(-percent * size // 100)), percent)
+            node, spare = node[spare >= 0], spare[spare >= 0]
             if depth:
-                query = np.repeat(query, LEAF)
-                node = (node[:, None] * LEAF + np.arange(LEAF)).ravel()
-                inside = node < len(self.levels[depth - 1][0])
-                query, node = query[inside], node[inside]
-        return query, self.by[node], bound, need
+                node = (node[:, None] * FAN + np.arange(FAN)).ravel()
+                node = node[node < len(self.levels[depth - 1][0])]
+        return node, spare
 
 
-def _tree_pairs(percent: int, first: int, last: int):
-    """Rows sorted by group (key, low, high): pairs of sets of different components that may be alike.
+def _needed(n, m, percent: int):
+    """The least overlap of alike sets of n and m shingles."""
+    return -(-percent * (n + m) // (100 + percent))
 
-    Of each set's partners in a group, likeliest first, those from place
-    ``first`` to ``last``; places do not depend on components.
-    """
 
-    def pairs(t: pa.Table):
-        n, mark, part, block = (t[k].to_numpy() for k in ("n", "mark", "part", "block"))
-        rows = t["point"].to_pylist()
-        points = _matrix(rows)
-        tree = RTree(points, n)
-        split = block.min() != block.max()
-        for i in range(0, len(n), QUERIES):
-
-            def wanted(q, p, i=i):
-                ok = mark[q + i] != mark[p]
-                return ok & (block[q + i] != block[p]) if split else ok
-
-            q, p, bound, need = tree.near(points[i : i + QUERIES], n[i : i + QUERIES], percent, wanted)
-            yield from placed(rows, mark, part, q + i, p, bound, need)
-
-    def placed(rows, mark, part, q, p, bound, need):
-        ok = _finely(rows, q, p, need)
-        q, p, bound, need = q[ok], p[ok], bound[ok], need[ok]
-        if len(q):
-            by = np.lexsort((mark[p], need - bound, q))
-            q, p = q[by], p[by]
-            head = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1])))
-            place = np.arange(len(q)) - np.repeat(head, np.diff(np.append(head, len(q))))
-            ok = (place >= first) & (place < last) & (part[q] != part[p])
-            a, b = mark[q[ok]], mark[p[ok]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-    def leaves(b: pa.RecordBatch, start: np.ndarray, end: np.ndarray):
-        """Groups that one leaf holds need no tree: all of a batch are bounded together."""
-        n, mark, part = (b.column(k).to_numpy() for k in ("n", "mark", "part"))
-        rows = b.column("point").to_pylist()
-        points = _matrix(rows)
-        size = end - start
-        own = np.repeat(start, size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        many = np.repeat(size, size)
-        q = np.repeat(own, many)
-        p = np.repeat(np.repeat(start, size), many) + np.arange(len(q)) - np.repeat(np.cumsum(many) - many, many)
-        ok = (mark[q] != mark[p]) & (100 * n[p] >= percent * n[q]) & (percent * n[p] <= 100 * n[q])
-        q, p = q[ok], p[ok]
-        need = _needed(n[q], n[p], percent)
-        bound = np.concatenate([np.zeros(0, np.int64), *(np.minimum(points[q[i : i + 8192]], points[p[i : i + 8192]]).sum(axis=1) for i in range(0, len(q), 8192))])
-        ok = bound >= need
-        yield from placed(rows, mark, part, q[ok], p[ok], bound[ok], need[ok])
-
-    def work(batches):
-        kept: list[pa.RecordBatch] = []
-        last = None
-        for b in batches:
-            group = np.stack([b.column(k).to_numpy() for k in ("key", "low", "high")])
-            cuts = np.flatnonzero((group[:, 1:] != group[:, :-1]).any(axis=0)) + 1
-            start, end = np.concatenate(([0], cuts)), np.append(cuts, len(b))
-            # the first and last group of a batch may go on in others
-            inner = (start > 0) & (end < len(b)) & (end - start <= LEAF) & (group[1][start] == group[2][start])
-            if inner.any():
-                yield from leaves(b, start[inner], end[inner])
-            for a, z in zip(start[~inner].tolist(), end[~inner].tolist(), strict=True):
-                if z > a:
-                    now = tuple(group[:, a])
-                    if kept and now != last:
-                        yield from pairs(pa.Table.from_batches(kept))
-                        kept = []
-                    kept.append(b.slice(a, z - a))
-                    last = now
-        if kept:
-            yield from pairs(pa.Table.from_batches(kept))
-
-    return work
+def links(sets: list[np.ndarray], part: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+    """Pairs of alike sets that connect what is alike and was in different parts: at most one less than sets.
 
+    ``sets``: sorted distinct hashes, none empty; neighbours are likely alike.
+    """
+    n = np.array([len(x) for x in sets], np.int64)
+    flat = np.concatenate(sets)
+    counts = np.bincount(np.repeat(np.arange(len(sets)), n) * GROUPS + (flat >> np.uint64(53)).astype(np.int64), minlength=len(sets) * GROUPS).reshape(len(sets), GROUPS)
+    tree = RTree(counts.astype(np.uint16 if counts.max() < 1 << 16 else np.int64), n)
+    above = np.unique(part, return_index=True)[1][np.unique(part, return_inverse=True)[1]]  # a union-find forest
+
+    def root(i: int) -> int:
+        while above[i] != i:
+            above[i] = above[above[i]]
+            i = above[i]
+        return i
+
+    for q in range(1, len(sets)):
+        near, spare = tree.before(q, percent)
+        own = root(q)
+        near = near[np.argsort(-spare, kind="stable")]
+        near = near[[root(p) != own for p in near.tolist()]] if len(near) else near
+        for at in range(0, len(near), 16):  # the likeliest first, as they may settle the others
+            some = [p for p in near[at : at + 16].tolist() if root(p) != root(q)]
+            if not some:
+                continue
+            other = np.concatenate([sets[p] for p in some])
+            found = sets[q][np.minimum(np.searchsorted(sets[q], other), n[q] - 1)] == other
+            same = np.add.reduceat(found, np.cumsum([0, *n[some][:-1]]), dtype=np.int64)
+            for p, k in zip(some, same.tolist(), strict=True):
+                if 100 * k >= percent * (n[p] + n[q] - k) and root(p) != root(q):
+                    above[root(p)] = root(q)
+                    yield p, q
+
+
+def _linked(percent: int):
+    """Rows of unit, mark, part, hashes, sorted by unit: links between sets of different parts, of some units together."""
+
+    def block(kept: list[pa.RecordBatch]):
+        t = pa.Table.from_batches(kept)
+        mark = t["mark"].to_numpy()
+        one = np.sort(np.unique(mark, return_index=True)[1])
+        sets = [np.frombuffer(x, np.uint64) for x in t["hashes"].take(one).to_pylist()]
+        unit, part, mark = t["unit"].to_numpy()[one], t["part"].to_numpy()[one], mark[one]
+        by = np.lexsort(([x[0] for x in sets], unit))
+        found = list(links([sets[i] for i in by], part[by], percent))
+        if found:
+            a, b = mark[by][np.array(found).T]
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-def _verified(percent: int):
     def work(batches):
+        kept, rows, size = [], 0, 0
         for b in batches:
-            ok = []
-            for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
-                s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                same = len(np.intersect1d(s, t, assume_unique=True))
-                ok.append(100 * same >= percent * (len(s) + len(t) - same))
-            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            while len(b):
+                unit = b.column("unit").to_numpy()
+                cuts = np.concatenate(([0], np.flatnonzero(unit[1:] != unit[:-1]) + 1))
+                if kept and kept[-1].column("unit")[-1].as_py() == unit[0]:
+                    cuts = cuts[1:]
+                bytes_ = np.concatenate(([0], np.cumsum(pc.binary_length(b.column("hashes")).to_numpy())))
+                over = cuts[(rows + cuts >= SETS) | (size + bytes_[cuts] >= 8 * SHINGLES)] if len(cuts) else cuts
+                if len(over) and rows + over[0]:
+                    z = int(over[0])
+                    kept.append(b.slice(0, z))
+                    yield from block(kept)
+                    kept, rows, size, b = [], 0, 0, b.slice(z)
+                else:
+                    kept.append(b)
+                    rows, size = rows + len(b), size + int(bytes_[-1])
+                    break
+        if kept:
+            yield from block(kept)
 
     return work
 
@@ -359,7 +297,7 @@ def _verified(percent: int):
 def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id, the least doc_id reachable by links, of each row."""
     spark, docs, shuffles = docs.sparkSession, texts(docs), partitions(docs)
-    members = written(docs.mapInArrow(_members(words), "doc_id long, n long, mark long, point binary"))
+    members = written(docs.mapInArrow(_members(words), "doc_id long, n long, mark long"))
 
     got = docs.mapInArrow(_frequent(words), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).where("n > 7").orderBy(F.desc("n"), "hash").limit(FREQUENT).toArrow()
     common, times = got["hash"].to_numpy().view(np.uint64), got["n"].to_numpy()
@@ -368,59 +306,73 @@ def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     frequent = spark.sparkContext.broadcast((np.append(common[by], np.uint64(0)) if not len(by) else common[by], np.append(tier[by], 0) if not len(by) else tier[by]))
 
     keys = docs.mapInArrow(_keys(words, percent, frequent), "key long, n long, mark long").repartition(shuffles, "key").sortWithinPartitions("key", "n", "mark")
-    shared = written(keys.mapInArrow(_shared_keys, "key long, n long, mark long, lead_n long, lead long"))
-
-    chosen = shared.select("mark").distinct()
-    points = members.where("doc_id is not null").groupBy("mark", "n").agg(F.min("doc_id").alias("doc_id"), F.first("point").alias("point"))
-    chosen = written(points.join(chosen, "mark", "left_semi"))
-    points = chosen.select("mark", "n", "point")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Pairs of a, b that are alike; the sets are made again, of the documents concerned only."""
-        pairs = written(pairs)
-        ends = pairs.select(F.col("a").alias("mark")).union(pairs.select(F.col("b").alias("mark"))).distinct()
-        concerned = written(chosen.select("mark", "doc_id").join(ends, "mark", "left_semi"))
-        holders = spark.sparkContext.broadcast(bloom(concerned, "doc_id"))
-
-        def holds(batches):
-            for b in batches:
-                yield b.filter(pa.array(has(holders.value, b.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False))))
-
-        sets = docs.mapInArrow(holds, docs.schema).join(concerned, "doc_id").mapInArrow(_hashes(words), "mark long, hashes binary")
-        sets = written(sets.groupBy("mark").agg(F.first("hashes").alias("hashes")))
-        a = sets.select(F.col("mark").alias("a"), F.col("hashes").alias("x"))
-        b = sets.select(F.col("mark").alias("b"), F.col("hashes").alias("y"))
-        return written(pairs.join(b, "b").join(a, "a").mapInArrow(_verified(percent), "a long, b long"))
-
-    star = shared.where(f"mark <> lead and 100 * lead_n >= {percent} * n").select(F.col("lead").alias("a"), F.col("mark").alias("b")).distinct()
-    star = star.join(points.toDF("a", "n", "p"), "a").join(points.toDF("b", "m", "q"), "b").mapInArrow(_bounded(percent), "a long, b long")
-    edges = verified(star).union(_same_rows(members))
-    labels = components(edges)
+    shared = written(keys.mapInArrow(_shared_keys(percent), "key long, n long, mark long, lead long"))
+    del keys
 
-    first = 0
-    for width in ROUNDS:
-        near, some = _open_pairs(shared, labels, points, percent, first, first + width, shuffles)
-        if not some:
-            break
-        more = verified(near)
-        if not more.isEmpty():
-            edges = edges.union(more)
-            labels = components(edges)
-        first += width
+    near = components(shared.select(F.col("lead").alias("a"), F.col("mark").alias("b")))
+    nodes = written(shared.select("mark", "n").distinct().join(near.toDF("mark", "label"), "mark"))
+    discard(near)
+    groups = _groups(shared, nodes)
+
+    marks = members.where("n > 0").groupBy("mark").agg(F.min("doc_id").alias("doc_id"))
+    holders = written(nodes.select("mark").join(marks, "mark", "left"))
+    held = spark.sparkContext.broadcast(bloom(holders, "doc_id"))
+
+    def holds(batches):
+        for b in batches:
+            ids = b.column("doc_id")
+            yield b.filter(pa.array(has(held.value, ids.fill_null(0).to_numpy(zero_copy_only=False)) | ids.is_null().to_numpy(zero_copy_only=False)))
+
+    sets = docs.mapInArrow(holds, docs.schema).mapInArrow(_hashes(words), "mark long, hashes binary")
+    sets = sets.join(holders.select("mark"), "mark", "left_semi").groupBy("mark").agg(F.first("hashes").alias("hashes"))
+
+    def linked(units: DataFrame) -> DataFrame:
+        """Links between the sets of each unit (unit, mark, part)."""
+        rows = units.join(sets, "mark").select("unit", "mark", "part", "hashes")
+        return written(rows.repartition(shuffles, "unit").sortWithinPartitions("unit").mapInArrow(_linked(percent), "a long, b long"))
+
+    each = groups.select(F.when(F.col("blocks") > 1, F.xxhash64("group", "block")).otherwise(F.col("group")).alias("unit"), "mark", F.col("mark").alias("part"))
+    edges = linked(each).union(_same_rows(members))
+    labels = components(edges)
+    split = groups.where("blocks > 1")
+    if not split.isEmpty():
+        more = linked(_across(split, labels))
+        edges = edges.union(more)
+        labels = components(edges)
+    discard(shared, nodes, groups, holders)
     return _with_components(members, labels)
 
 
-def _open_pairs(shared: DataFrame, labels: DataFrame, points: DataFrame, percent: int, first: int, last: int, shuffles: int) -> tuple[DataFrame, bool]:
-    """Candidate pairs of the keys whose sets are in several components, and whether there is such a key."""
-    parted = written(shared.select("key", "n", "mark").join(labels.toDF("mark", "label"), "mark", "left").select("key", "mark", F.coalesce("label", "mark").alias("part")))
-    # keys with one and the same sets (a passage has many) are one key
-    several = parted.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("rows"), F.expr("bit_xor(mark)").alias("x"), F.expr("bit_xor(xxhash64(mark))").alias("y")).where("p < q")
-    several = written(several.groupBy("rows", "x", "y").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("rows") / BLOCK).cast("long").alias("blocks")))
-    left = parted.join(several, "key").withColumn("block", F.pmod(F.xxhash64("mark"), F.col("blocks")))
-    left = left.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    left = left.select("key", "mark", "part", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).join(points, "mark")
-    near = left.repartition(shuffles, "key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(_tree_pairs(percent, first, last), "a long, b long").distinct()
-    return near, not several.isEmpty()
+def _groups(shared: DataFrame, nodes: DataFrame) -> DataFrame:
+    """group, mark, blocks, block: every two sets that share a key and may be alike are in one group; one of several blocks is to be met by the others."""
+    enough = lambda n, size: F.ceil(F.greatest(n / SETS, size / SHINGLES)).cast("long")
+    sizes = written(nodes.groupBy("label").agg(F.count("*").alias("sets"), F.sum("n").alias("size")).withColumn("times", enough(F.col("sets"), F.col("size"))))
+    marks = hot_join(nodes, sizes.where("times > 1").select("label"), "label")
+    own = written(shared.select(F.xxhash64("key", "lead").alias("list"), "n", "mark").join(marks.select("mark", "label"), "mark"))
+    # lists of the same sets (a passage has many) are one
+    lists = own.groupBy("list").agg(F.min("label").alias("label"), F.count("*").alias("sets"), F.sum("n").alias("size"), F.expr("bit_xor(mark)").alias("x"), F.expr("bit_xor(xxhash64(mark))").alias("y"))
+    lists = written(lists.groupBy("sets", "x", "y").agg(F.min("list").alias("list"), F.first("label").alias("label"), F.first("size").alias("size")).withColumn("times", enough(F.col("sets"), F.col("size"))))
+    dearer = lists.groupBy("label").agg(F.sum(F.col("size") * F.col("times")).alias("by_list")).join(sizes, "label").where(F.col("by_list") > F.col("size") * F.col("times")).select("label")
+    by_list = hot_join(own.select("list", "mark"), lists.join(dearer, "label", "left_anti").select("list", "times"), "list").select(F.col("list").alias("group"), "mark", "times")
+    whole = sizes.where("times = 1").select("label", "times").union(sizes.join(dearer, "label").select("label", "times"))
+    whole = hot_join(nodes, whole, "label").select(F.col("label").alias("group"), "mark", "times")
+    out = whole.union(by_list).select("group", "mark", F.when(F.col("times") > 1, 2 * F.col("times")).otherwise(1).alias("blocks"))
+    out = written(out.withColumn("block", F.pmod(F.xxhash64("mark"), F.col("blocks"))))
+    discard(own, lists, sizes)
+    return out
+
+
+def _across(split: DataFrame, labels: DataFrame) -> DataFrame:
+    """Units of the groups in several parts: a block of the sets outside the commonest part with a block of all sets."""
+    rows = written(split.join(labels.toDF("mark", "label"), "mark", "left").withColumn("part", F.coalesce("label", "mark")).drop("label"))
+    most = rows.groupBy("group", "part").agg(F.count("*").alias("n")).groupBy("group").agg(F.max_by("part", F.struct("n", "part")).alias("most"), F.sum("n").alias("n"), F.max("n").alias("in_most"))
+    most = most.where("n > in_most").withColumn("others", (F.col("n") - F.col("in_most"))).select("group", "most", F.ceil(F.col("others") * 2 / SETS).cast("long").alias("others"))
+    rows = hot_join(rows, most, "group")
+    step = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    out = rows.where("part <> most").withColumn("i", F.pmod(F.xxhash64("mark"), F.col("others"))).withColumn("j", step(F.col("blocks").cast("long")))
+    all_ = rows.withColumn("j", F.col("block")).withColumn("i", step(F.col("others")))
+    pick = [F.xxhash64("group", "i", "j").alias("unit"), "mark", "part"]
+    return out.select(*pick).union(all_.select(*pick))
 
 
 def _same_rows(members: DataFrame) -> DataFrame:
@@ -430,14 +382,21 @@ def _same_rows(members: DataFrame) -> DataFrame:
 
 
 def _with_components(members: DataFrame, labels: DataFrame) -> DataFrame:
-    rows = members.join(labels.toDF("mark", "label"), "mark", "left").select("doc_id", "n", F.coalesce("label", "mark").alias("part"))
-    least = rows.where("n > 0").groupBy("part").agg(F.min("doc_id").alias("least"))
-    rows = rows.where("n > 0").join(least, "part").select("doc_id", F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
+    """Rows of marks or parts that hold a thousandth of all are joined by broadcast, so none gathers in a task."""
+    marks = members.where("n > 0").groupBy("mark").agg(F.min("doc_id").alias("least")).join(labels.toDF("mark", "label"), "mark", "left").select("mark", F.coalesce("label", "mark").alias("part"), "least")
+    marks = written(marks)
+    least = marks.groupBy("part").agg(F.min("least").alias("component_id"))
+    marks = written(hot_join(marks, least, "part").select("mark", "component_id"))
+    rows = hot_join(members.where("n > 0"), marks, "mark").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return rows.unionByName(members.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The documents without all but the least doc_id of each component; rows without doc_id stay."""
+    """The documents without all but the least doc_id of each component; all columns stay, whatever their names.
+
+    Rows without doc_id and rows without words stay; rows that share a doc_id
+    stay or go together; an empty table stays empty.
+    """
     linked = ngram_join(docs, words, percent)
     gone = linked.where("component_id < doc_id").select("doc_id").distinct()
     own = plain_names(docs)

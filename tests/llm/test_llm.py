@@ -80,8 +80,8 @@ def test_suffix_array_and_fm_index():
         assert high[0] - low[0] == sum(tuple(t[i : i + len(tail)]) == tail for i in range(len(t)))
 
 
-def test_ngram_join(docs, empty):
-    rows = docs.select("doc_id", "text").collect()
+def linked_by_force(rows):
+    """(doc_id, n_shingles, component_id) of each (doc_id, text)."""
     sets = []
     for r in rows:
         w = words(r.text, True)
@@ -102,23 +102,71 @@ def test_ngram_join(docs, empty):
     for i, r in enumerate(rows):
         if r.doc_id is not None:
             least[root(i)] = min(least.get(root(i), r.doc_id), r.doc_id)
-    want = sorted(((r.doc_id, len(sets[i]), least.get(root(i)) if sets[i] else r.doc_id) for i, r in enumerate(rows)), key=repr)
-    assert rows_of(ngram_join.ngram_join(docs), "doc_id", "n_shingles", "component_id") == want
+    return sorted(((r.doc_id, len(sets[i]), least.get(root(i)) if sets[i] else r.doc_id) for i, r in enumerate(rows)), key=repr)
+
+
+def test_ngram_join(docs, empty):
+    rows = docs.select("doc_id", "text").collect()
+    assert rows_of(ngram_join.ngram_join(docs), "doc_id", "n_shingles", "component_id") == linked_by_force(rows)
     assert ngram_join.ngram_join(empty).count() == 0
 
 
+def test_ngram_join_of_a_large_group(spark, monkeypatch):
+    """Components beyond a unit are cut into blocks, or their lists are; chains, rows without doc_id and null texts link as any."""
+    r = random.Random(4)
+    base = [f"w{i}" for i in range(60)]
+    texts, chain = [], list(base)
+    for k in range(90):
+        w = list(base)
+        for at in r.sample(range(60), r.randint(0, 2)):
+            w[at] = f"x{k}"
+        texts.append(" ".join(w))
+        chain[r.randrange(60)] = f"y{k}"
+        texts.append(" ".join(chain))
+        texts.append(" ".join([*base[:12], *(f"z{k}-{i}" for i in range(r.randint(1, 50)))]))
+    rows = [(i if i % 7 else None, t) for i, t in enumerate(texts)] + [(1000, None), (1001, texts[0]), (-5, texts[4])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = linked_by_force(df.collect())
+    monkeypatch.setattr(ngram_join, "SETS", 16)
+    assert rows_of(ngram_join.ngram_join(df), "doc_id", "n_shingles", "component_id") == want
+
+
+def alike_sets(r, n=40, size=60):
+    """Clusters of sets that differ in some hashes, in order of clusters."""
+    out = []
+    for _ in range(n):
+        base = r.integers(0, 1 << 63, size, dtype=np.uint64)
+        for _ in range(int(r.integers(1, 12))):
+            own = base.copy()
+            own[r.choice(size, int(r.integers(0, size // 4)), replace=False)] = r.integers(0, 1 << 63, 1, dtype=np.uint64)
+            out.append(np.unique(own))
+    return out
+
+
 def test_rtree_finds_every_pair():
     r = np.random.default_rng(0)
-    points = r.poisson(0.3, (400, ngram_join.GROUPS)).astype(np.int32)
-    points[200:] = points[:200]
-    points[200:, 0] += 1
-    n = points.sum(axis=1)
+    sets = alike_sets(r)
+    n = np.array([len(x) for x in sets])
+    points = np.stack([np.bincount((x >> np.uint64(53)).astype(int), minlength=ngram_join.GROUPS) for x in sets])
     tree = ngram_join.RTree(points, n)
-    q, p, _, _ = tree.near(points, n, 80, lambda q, p: q != p)
-    need = -(-80 * (n[:, None] + n) // 180)
-    ok = (np.minimum(points[:, None], points).sum(axis=2) >= need) & (100 * n[:, None] >= 80 * n) & (100 * n >= 80 * n[:, None])
-    np.fill_diagonal(ok, False)
-    assert set(zip(q.tolist(), p.tolist(), strict=True)) == set(zip(*(x.tolist() for x in np.nonzero(ok)), strict=True))
+    for q in range(len(sets)):
+        need = -(-80 * (n[q] + n[:q]) // 180)
+        bound = np.minimum(points[q], points[:q]).sum(axis=1)
+        ok = (bound >= need) & (100 * n[q] >= 80 * n[:q]) & (100 * n[:q] >= 80 * n[q])
+        assert sorted(tree.before(q, 80)[0].tolist()) == np.flatnonzero(ok).tolist()
+    # inner nodes prune: far fewer points are looked at than there are pairs
+    assert len(tree.levels) >= 3 and tree.visited[1] > 0 and tree.visited[0] < 0.5 * len(sets) * (len(sets) - 1) / 2
+
+
+def test_links_span_what_is_alike():
+    sets = alike_sets(np.random.default_rng(1), 25)
+    alike = lambda a, b: 100 * len(set(a) & set(b)) >= 80 * len(set(a) | set(b))
+    part = list(range(len(sets)))
+    for i, j in ((i, j) for i in range(len(sets)) for j in range(i) if alike(sets[i].tolist(), sets[j].tolist())):
+        part = [part[j] if p == part[i] else p for p in part]
+    found = list(ngram_join.links(sets, np.arange(len(sets)), 80))
+    assert len(found) == len(sets) - len(set(part)) and all(alike(sets[a].tolist(), sets[b].tolist()) for a, b in found)
+    assert not list(ngram_join.links(sets, np.array(part), 80))
 
 
 def test_suffix_dedup(docs, empty):
