@@ -49,11 +49,14 @@ def discard(*tables: DataFrame) -> None:
 HOT = 1000
 
 
-def hot_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+def hot_keys(df: DataFrame, key: str, rows: int) -> list[int]:
+    """The keys (of type long) that hold a thousandth of ``rows`` or more."""
+    return [r[0] for r in df.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") >= max(rows / HOT, 100)).select(key).collect() if r[0] is not None]
+
+
+def hot_join(left: DataFrame, right: DataFrame, key: str, hot: list[int] | None = None) -> DataFrame:
     """Inner join on a key that is unique in ``right``; rows of hot keys (at most ``HOT``) meet a broadcast row and are not moved."""
-    counts = left.groupBy(key).agg(F.count("*").alias("n"))
-    total = left.count()
-    hot = [r[0] for r in counts.where(F.col("n") >= max(total / HOT, 100)).select(key).collect() if r[0] is not None]
+    hot = hot_keys(left, key, left.count()) if hot is None else hot
     if not hot:
         return left.join(right, key)
     few = left.sparkSession.createDataFrame([(k,) for k in hot], f"{key} long")
