@@ -13,11 +13,13 @@ component of them is dealt to one *unit*.  A task builds R-trees over its
 units, verifies in place, and gives only links that join what was apart, so
 its output is linear in the sets it reads, whatever the size of a group.
 
-A component of more than ``SETS`` sets is split, its keys' lists too if they
-are as large: either the component or the lists, whichever moves fewer sets,
-are cut into blocks; each block is a unit, and then the sets outside the
-commonest part found so far meet all the others, block by block.  Pairs of
-sets that are both in the commonest part are linked already.
+A component of more than ``SETS`` sets, such as one that shared passages hold
+together, is first parted by points alone: R-trees over pairs of blocks of it,
+or over its keys' lists, whichever moves fewer points, give the pairs that
+could be alike, and their components take its place.  One that is still larger
+is cut into blocks, each a unit; then the sets outside the commonest part found
+so far meet all the others, block by block.  Pairs of sets that are both in
+the commonest part are linked already.
 
 Defined results: a null text or one without words has an empty set, links to
 nothing and is its own component; a text of fewer words than a shingle has one
@@ -34,7 +36,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,8 +50,10 @@ PERCENT = 80
 GROUPS = 2048
 #: Children of a node of an R-tree.
 FAN = 8
-#: Sets and shingles of a unit at most, and about so many of an R-tree that holds several units.
-SETS, SHINGLES = 256, 1 << 22
+#: Sets and shingles of a unit at most; an R-tree holds several units of fewer than ``SOME`` sets.
+SETS, SHINGLES, SOME = 1024, 1 << 22, 256
+#: Sets of a block of what is larger.
+BLOCK = 128
 #: Length of the list of frequent shingles, which only sets the order of keys.
 FREQUENT = 1 << 16
 
@@ -172,14 +175,48 @@ def _shared_keys(percent: int):
 
 
 def _hashes(words: int):
-    """mark and the sorted hashes of each distinct set of a slice."""
+    """mark, size and the sorted hashes of each distinct set of a slice."""
 
     def work(batches):
         for b in batches:
             for t in texts_of(b.column("text")):
                 s = Sets(t, words)
                 ok = np.flatnonzero(_first_of_mark(s))
-                yield pa.RecordBatch.from_arrays([pa.array(s.mark[ok]), pa.array([s.hash[s.off[i] : s.off[i + 1]].tobytes() for i in ok], pa.binary())], ["mark", "hashes"])
+                yield pa.RecordBatch.from_arrays([pa.array(s.mark[ok]), pa.array(s.size[ok]), pa.array([s.hash[s.off[i] : s.off[i + 1]].tobytes() for i in ok], pa.binary())], ["mark", "n", "body"])
+
+    return work
+
+
+def _counts(sets: list[np.ndarray]) -> np.ndarray:
+    """The points of sets of hashes."""
+    of = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    group = (np.concatenate(sets) >> np.uint64(53)).astype(np.int64)
+    counts = np.bincount(of * GROUPS + group, minlength=len(sets) * GROUPS).reshape(len(sets), GROUPS)
+    return counts.astype(np.uint16 if counts.max() < 1 << 16 else np.int64)
+
+
+def packed(counts: np.ndarray) -> bytes:
+    """A point in half a byte a group; what is above 15 adds up to one more coordinate, whose minimum bounds what it hides."""
+    low = np.minimum(counts, 15).astype(np.uint8)
+    return (low[::2] | low[1::2] << 4).tobytes() + int(counts.sum() - low.sum(dtype=np.int64)).to_bytes(8, "little")
+
+
+def unpacked(rows: list[bytes]) -> np.ndarray:
+    raw = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), GROUPS // 2 + 8)
+    above = np.ascontiguousarray(raw[:, GROUPS // 2 :]).view("<i8")
+    out = np.empty((len(rows), GROUPS + 1), np.uint16 if above.max(initial=0) < 1 << 16 else np.int64)
+    out[:, :GROUPS:2], out[:, 1:GROUPS:2] = raw[:, : GROUPS // 2] & 15, raw[:, : GROUPS // 2] >> 4
+    out[:, GROUPS:] = above
+    return out
+
+
+def _points(words: int):
+    """mark, size and packed point of each distinct set of a slice."""
+
+    def work(batches):
+        for b in _hashes(words)(batches):
+            bodies = [packed(_counts([np.frombuffer(x, np.uint64)])[0]) for x in b.column("body").to_pylist()]
+            yield b.set_column(2, "body", pa.array(bodies, pa.binary()))
 
     return work
 
@@ -219,15 +256,13 @@ def _needed(n, m, percent: int):
     return -(-percent * (n + m) // (100 + percent))
 
 
-def links(sets: list[np.ndarray], part: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
-    """Pairs of alike sets that connect what is alike and was in different parts: at most one less than sets.
+def links(points: np.ndarray, n: np.ndarray, part: np.ndarray, percent: int, sets: list[np.ndarray] | None = None) -> Iterator[tuple[int, int]]:
+    """Pairs that connect what is alike and was in different parts: at most one less than sets.
 
-    ``sets``: sorted distinct hashes, none empty; neighbours are likely alike.
+    Alike are sets whose points allow it and, if the sets are given, that are
+    so themselves.  Neighbours are likely alike.
     """
-    n = np.array([len(x) for x in sets], np.int64)
-    flat = np.concatenate(sets)
-    counts = np.bincount(np.repeat(np.arange(len(sets)), n) * GROUPS + (flat >> np.uint64(53)).astype(np.int64), minlength=len(sets) * GROUPS).reshape(len(sets), GROUPS)
-    tree = RTree(counts.astype(np.uint16 if counts.max() < 1 << 16 else np.int64), n)
+    tree = RTree(points, n)
     above = np.unique(part, return_index=True)[1][np.unique(part, return_inverse=True)[1]]  # a union-find forest
 
     def root(i: int) -> int:
@@ -236,35 +271,37 @@ def links(sets: list[np.ndarray], part: np.ndarray, percent: int) -> Iterator[tu
             i = above[i]
         return i
 
-    for q in range(1, len(sets)):
+    for q in range(1, len(n)):
         near, spare = tree.before(q, percent)
-        own = root(q)
         near = near[np.argsort(-spare, kind="stable")]
-        near = near[[root(p) != own for p in near.tolist()]] if len(near) else near
         for at in range(0, len(near), 16):  # the likeliest first, as they may settle the others
             some = [p for p in near[at : at + 16].tolist() if root(p) != root(q)]
             if not some:
                 continue
-            other = np.concatenate([sets[p] for p in some])
-            found = sets[q][np.minimum(np.searchsorted(sets[q], other), n[q] - 1)] == other
-            same = np.add.reduceat(found, np.cumsum([0, *n[some][:-1]]), dtype=np.int64)
-            for p, k in zip(some, same.tolist(), strict=True):
-                if 100 * k >= percent * (n[p] + n[q] - k) and root(p) != root(q):
+            if sets:
+                other = np.concatenate([sets[p] for p in some])
+                found = sets[q][np.minimum(np.searchsorted(sets[q], other), n[q] - 1)] == other
+                same = np.add.reduceat(found, np.cumsum([0, *n[some][:-1]]), dtype=np.int64)
+                some = [p for p, k in zip(some, same.tolist(), strict=True) if 100 * k >= percent * (n[p] + n[q] - k)]
+            for p in some:
+                if root(p) != root(q):
                     above[root(p)] = root(q)
                     yield p, q
 
 
-def _linked(percent: int):
-    """Rows of unit, mark, part, hashes, sorted by unit: links between sets of different parts, of some units together."""
+def _linked(percent: int, by_sets: bool):
+    """Rows of unit, mark, part, n, body (hashes of sets, or points), sorted by unit: links between different parts, of some units together."""
 
     def block(kept: list[pa.RecordBatch]):
         t = pa.Table.from_batches(kept)
-        mark = t["mark"].to_numpy()
-        one = np.sort(np.unique(mark, return_index=True)[1])
-        sets = [np.frombuffer(x, np.uint64) for x in t["hashes"].take(one).to_pylist()]
-        unit, part, mark = t["unit"].to_numpy()[one], t["part"].to_numpy()[one], mark[one]
-        by = np.lexsort(([x[0] for x in sets], unit))
-        found = list(links([sets[i] for i in by], part[by], percent))
+        one = np.sort(np.unique(t["mark"].to_numpy(), return_index=True)[1])
+        mark, unit, part, n = (t[k].to_numpy()[one] for k in ("mark", "unit", "part", "n"))
+        bodies = t["body"].take(one).to_pylist()
+        sets = [np.frombuffer(x, np.uint64) for x in bodies] if by_sets else None
+        by = np.lexsort(([int(x[0]) >> 1 for x in sets] if by_sets else n, unit))
+        sets = [sets[i] for i in by] if by_sets else None
+        points = _counts(sets) if by_sets else unpacked([bodies[i] for i in by])
+        found = list(links(points, n[by], part[by], percent, sets))
         if found:
             a, b = mark[by][np.array(found).T]
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
@@ -277,16 +314,15 @@ def _linked(percent: int):
                 cuts = np.concatenate(([0], np.flatnonzero(unit[1:] != unit[:-1]) + 1))
                 if kept and kept[-1].column("unit")[-1].as_py() == unit[0]:
                     cuts = cuts[1:]
-                bytes_ = np.concatenate(([0], np.cumsum(pc.binary_length(b.column("hashes")).to_numpy())))
-                over = cuts[(rows + cuts >= SETS) | (size + bytes_[cuts] >= 8 * SHINGLES)] if len(cuts) else cuts
+                total = np.concatenate(([0], np.cumsum(b.column("n").to_numpy())))
+                over = cuts[(rows + cuts >= SOME) | (size + total[cuts] >= SHINGLES)]
                 if len(over) and rows + over[0]:
                     z = int(over[0])
-                    kept.append(b.slice(0, z))
-                    yield from block(kept)
+                    yield from block([*kept, b.slice(0, z)])
                     kept, rows, size, b = [], 0, 0, b.slice(z)
                 else:
                     kept.append(b)
-                    rows, size = rows + len(b), size + int(bytes_[-1])
+                    rows, size = rows + len(b), size + int(total[-1])
                     break
         if kept:
             yield from block(kept)
@@ -312,61 +348,72 @@ def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     near = components(shared.select(F.col("lead").alias("a"), F.col("mark").alias("b")))
     nodes = written(shared.select("mark", "n").distinct().join(near.toDF("mark", "label"), "mark"))
     discard(near)
-    groups = _groups(shared, nodes)
-
-    marks = members.where("n > 0").groupBy("mark").agg(F.min("doc_id").alias("doc_id"))
-    holders = written(nodes.select("mark").join(marks, "mark", "left"))
-    held = spark.sparkContext.broadcast(bloom(holders, "doc_id"))
-
-    def holds(batches):
-        for b in batches:
-            ids = b.column("doc_id")
-            yield b.filter(pa.array(has(held.value, ids.fill_null(0).to_numpy(zero_copy_only=False)) | ids.is_null().to_numpy(zero_copy_only=False)))
-
-    sets = docs.mapInArrow(holds, docs.schema).mapInArrow(_hashes(words), "mark long, hashes binary")
-    sets = sets.join(holders.select("mark"), "mark", "left_semi").groupBy("mark").agg(F.first("hashes").alias("hashes"))
-
-    def linked(units: DataFrame) -> DataFrame:
-        """Links between the sets of each unit (unit, mark, part)."""
-        rows = units.join(sets, "mark").select("unit", "mark", "part", "hashes")
-        return written(rows.repartition(shuffles, "unit").sortWithinPartitions("unit").mapInArrow(_linked(percent), "a long, b long"))
-
+    holders = members.where("n > 0").groupBy("mark").agg(F.min("doc_id").alias("doc_id"))
+    holders = written(nodes.select("mark").join(holders, "mark", "left"))
+
+    def linked(units: DataFrame, by_sets: bool, whose: DataFrame) -> DataFrame:
+        """Links between the sets, or the points, of each unit (unit, mark, part); they are made of one row a set."""
+        held = spark.sparkContext.broadcast(bloom(whose, "doc_id"))
+
+        def holds(batches):
+            for b in batches:
+                ids = b.column("doc_id")
+                yield b.filter(pa.array(has(held.value, ids.fill_null(0).to_numpy(zero_copy_only=False)) | ids.is_null().to_numpy(zero_copy_only=False)))
+
+        bodies = docs.mapInArrow(holds, docs.schema).mapInArrow((_hashes if by_sets else _points)(words), "mark long, n long, body binary")
+        bodies = bodies.join(whose.select("mark"), "mark", "left_semi").groupBy("mark").agg(F.first("n").alias("n"), F.first("body").alias("body"))
+        rows = units.join(bodies, "mark").select("unit", "mark", "part", "n", "body")
+        return written(rows.repartition(shuffles, "unit").sortWithinPartitions("unit").mapInArrow(_linked(percent, by_sets), "a long, b long"))
+
+    sizes = written(_sized(nodes))
+    large = written(hot_join(nodes, sizes.where("times > 1").select("label"), "label"))
+    if not large.isEmpty():
+        near = components(linked(_pairs_of_blocks(shared, large, sizes), False, holders.join(large.select("mark"), "mark")))
+        parted = hot_join(nodes, sizes.where("times = 1").select("label"), "label").select("mark", "n", "label")
+        nodes = written(parted.union(large.select("mark", "n").join(near.toDF("mark", "label"), "mark").select("mark", "n", "label")))
+        sizes = written(_sized(nodes))
+        holders = written(holders.join(nodes.select("mark"), "mark", "left_semi"))
+    groups = hot_join(nodes, sizes, "label").select(F.col("label").alias("group"), "mark", F.when(F.col("times") > 1, F.col("blocks")).otherwise(1).alias("blocks"))
+    groups = written(groups.withColumn("block", F.pmod(F.xxhash64("mark"), F.col("blocks"))))
     each = groups.select(F.when(F.col("blocks") > 1, F.xxhash64("group", "block")).otherwise(F.col("group")).alias("unit"), "mark", F.col("mark").alias("part"))
-    edges = linked(each).union(_same_rows(members))
+    edges = linked(each, True, holders).union(_same_rows(members))
     labels = components(edges)
     split = groups.where("blocks > 1")
     if not split.isEmpty():
-        more = linked(_across(split, labels))
-        edges = edges.union(more)
+        across = written(_across(split, labels))
+        edges = edges.union(linked(across, True, holders.join(across.select("mark").distinct(), "mark", "left_semi")))
         labels = components(edges)
-    discard(shared, nodes, groups, holders)
     return _with_components(members, labels)
 
 
-def _groups(shared: DataFrame, nodes: DataFrame) -> DataFrame:
-    """group, mark, blocks, block: every two sets that share a key and may be alike are in one group; one of several blocks is to be met by the others."""
-    enough = lambda n, size: F.ceil(F.greatest(n / SETS, size / SHINGLES)).cast("long")
-    sizes = written(nodes.groupBy("label").agg(F.count("*").alias("sets"), F.sum("n").alias("size")).withColumn("times", enough(F.col("sets"), F.col("size"))))
-    marks = hot_join(nodes, sizes.where("times > 1").select("label"), "label")
-    own = written(shared.select(F.xxhash64("key", "lead").alias("list"), "n", "mark").join(marks.select("mark", "label"), "mark"))
+def _sized(nodes: DataFrame) -> DataFrame:
+    """label, sets, size, times (units needed) and blocks of each component of nodes (mark, n, label)."""
+    out = nodes.groupBy("label").agg(F.count("*").alias("sets"), F.sum("n").alias("size"))
+    out = out.withColumn("times", F.ceil(F.greatest(F.col("sets") / SETS, F.col("size") / SHINGLES)).cast("long"))
+    return out.withColumn("blocks", F.ceil(F.greatest(F.col("sets") / BLOCK, F.col("size") / (SHINGLES / 4))).cast("long"))
+
+
+def _pairs_of_blocks(shared: DataFrame, large: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Units (unit, mark, part) in which every two sets of a large component that share a key, and may be alike by size, meet."""
+    own = written(shared.select(F.xxhash64("key", "lead").alias("list"), "mark").join(large, "mark"))
     # lists of the same sets (a passage has many) are one
-    lists = own.groupBy("list").agg(F.min("label").alias("label"), F.count("*").alias("sets"), F.sum("n").alias("size"), F.expr("bit_xor(mark)").alias("x"), F.expr("bit_xor(xxhash64(mark))").alias("y"))
-    lists = written(lists.groupBy("sets", "x", "y").agg(F.min("list").alias("list"), F.first("label").alias("label"), F.first("size").alias("size")).withColumn("times", enough(F.col("sets"), F.col("size"))))
-    dearer = lists.groupBy("label").agg(F.sum(F.col("size") * F.col("times")).alias("by_list")).join(sizes, "label").where(F.col("by_list") > F.col("size") * F.col("times")).select("label")
-    by_list = hot_join(own.select("list", "mark"), lists.join(dearer, "label", "left_anti").select("list", "times"), "list").select(F.col("list").alias("group"), "mark", "times")
-    whole = sizes.where("times = 1").select("label", "times").union(sizes.join(dearer, "label").select("label", "times"))
-    whole = hot_join(nodes, whole, "label").select(F.col("label").alias("group"), "mark", "times")
-    out = whole.union(by_list).select("group", "mark", F.when(F.col("times") > 1, 2 * F.col("times")).otherwise(1).alias("blocks"))
-    out = written(out.withColumn("block", F.pmod(F.xxhash64("mark"), F.col("blocks"))))
-    discard(own, lists, sizes)
-    return out
+    lists = own.groupBy("list").agg(F.first("label").alias("label"), F.count("*").alias("sets"), F.expr("bit_xor(mark)").alias("x"), F.expr("bit_xor(xxhash64(mark))").alias("y"))
+    lists = lists.groupBy("sets", "x", "y").agg(F.min("list").alias("list"), F.first("label").alias("label")).withColumn("blocks", F.when(F.col("sets") > 2 * BLOCK, F.ceil(F.col("sets") / BLOCK)).otherwise(1).cast("long"))
+    lists = written(lists)
+    dearer = lists.groupBy("label").agg(F.sum(F.col("sets") * F.col("blocks")).alias("moved")).join(sizes, "label").where(F.col("moved") > F.col("sets") * F.col("blocks"))
+    dearer = written(dearer.select("label", "blocks"))
+    by_list = hot_join(own.select("list", "mark"), lists.join(dearer, "label", "left_anti").select("list", "blocks"), "list").select(F.col("list").alias("group"), "mark", "blocks")
+    whole = hot_join(large, dearer, "label").select(F.col("label").alias("group"), "mark", "blocks")
+    rows = whole.union(by_list).withColumn("block", F.pmod(F.xxhash64("mark"), F.col("blocks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return rows.select(F.xxhash64("group", F.least("block", "other"), F.greatest("block", "other")).alias("unit"), "mark", F.col("mark").alias("part"))
 
 
 def _across(split: DataFrame, labels: DataFrame) -> DataFrame:
     """Units of the groups in several parts: a block of the sets outside the commonest part with a block of all sets."""
     rows = written(split.join(labels.toDF("mark", "label"), "mark", "left").withColumn("part", F.coalesce("label", "mark")).drop("label"))
     most = rows.groupBy("group", "part").agg(F.count("*").alias("n")).groupBy("group").agg(F.max_by("part", F.struct("n", "part")).alias("most"), F.sum("n").alias("n"), F.max("n").alias("in_most"))
-    most = most.where("n > in_most").withColumn("others", (F.col("n") - F.col("in_most"))).select("group", "most", F.ceil(F.col("others") * 2 / SETS).cast("long").alias("others"))
+    most = most.where("n > in_most").withColumn("others", (F.col("n") - F.col("in_most"))).select("group", "most", F.ceil(F.col("others") / BLOCK).cast("long").alias("others"))
     rows = hot_join(rows, most, "group")
     step = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
     out = rows.where("part <> most").withColumn("i", F.pmod(F.xxhash64("mark"), F.col("others"))).withColumn("j", step(F.col("blocks").cast("long")))

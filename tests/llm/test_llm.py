@@ -127,7 +127,8 @@ def test_ngram_join_of_a_large_group(spark, monkeypatch):
     rows = [(i if i % 7 else None, t) for i, t in enumerate(texts)] + [(1000, None), (1001, texts[0]), (-5, texts[4])]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     want = linked_by_force(df.collect())
-    monkeypatch.setattr(ngram_join, "SETS", 16)
+    for name in ("SETS", "BLOCK", "SOME"):
+        monkeypatch.setattr(ngram_join, name, 16)
     assert rows_of(ngram_join.ngram_join(df), "doc_id", "n_shingles", "component_id") == want
 
 
@@ -164,9 +165,17 @@ def test_links_span_what_is_alike():
     part = list(range(len(sets)))
     for i, j in ((i, j) for i in range(len(sets)) for j in range(i) if alike(sets[i].tolist(), sets[j].tolist())):
         part = [part[j] if p == part[i] else p for p in part]
-    found = list(ngram_join.links(sets, np.arange(len(sets)), 80))
+    n, points = np.array([len(x) for x in sets]), ngram_join._counts(sets)
+    found = list(ngram_join.links(points, n, np.arange(len(sets)), 80, sets))
     assert len(found) == len(sets) - len(set(part)) and all(alike(sets[a].tolist(), sets[b].tolist()) for a, b in found)
-    assert not list(ngram_join.links(sets, np.array(part), 80))
+    assert not list(ngram_join.links(points, n, np.array(part), 80, sets))
+    # points alone connect at least as much, in half a byte a group too
+    points[:, 5] += 40
+    for some in (points, ngram_join.unpacked([ngram_join.packed(x) for x in points])):
+        above = {i: i for i in range(len(sets))}
+        for a, b in ngram_join.links(some, n, np.arange(len(sets)), 80):
+            above = {k: above[b] if v == above[a] else v for k, v in above.items()}
+        assert all(above[i] == above[j] for i in range(len(sets)) for j in range(i) if part[i] == part[j])
 
 
 def test_suffix_dedup(docs, empty):
