@@ -8,6 +8,12 @@ anchors that occur once in all the corpus drop out before any text is moved.
 Equal stretches are merged before the shuffle, so a third of all rows being
 copies of one text costs one row a slice and stretch.
 
+An anchor that more than ``HOT_ROWS`` distinct stretches have is hot: a common
+line is in it, or very many near copies.  Windows with a hot anchor are keyed by
+three more least hashes besides.  That cuts their stretches finer, at places
+that the content decides, so copies merge in between their differences, and
+windows that differ in any of the four k-grams part ways.
+
 The shards then hold distinct contents only, and an index over them (a suffix
 array or an FM-index) decides which windows repeat.
 """
@@ -21,16 +27,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .bloom import bloom, has
-from .frames import partitions, written
-from .textbytes import SPACE_WORD, Prefix, Texts, Words, byte_values, covered, signed, texts_of
+from .frames import discard, partitions, written
+from .textbytes import SPACE_WORD, Prefix, Texts, Words, byte_values, covered, mix, signed, texts_of
 
 #: Windows of one stretch at most, so that its length and a flag fit a byte.
 LONGEST = 127
-SHARD_BYTES = 1_000_000
+SHARD_BYTES = 2_000_000
+HOT_ROWS = 1000
 
 
 @dataclass(frozen=True)
@@ -48,10 +57,22 @@ class Unit:
         return byte_values(texts.data), texts.off, None
 
 
+def _least(grams: np.ndarray, width: int) -> np.ndarray:
+    """The least of each ``width`` neighbours."""
+    low, n, reach = grams, len(grams) - width + 1, 1
+    while 2 * reach <= width:
+        low = np.minimum(low[:-reach], low[reach:])
+        reach *= 2
+    return np.minimum(low[:n], low[width - reach : width - reach + n]) if reach < width else low
+
+
 class Stretches:
-    """The stretches of some texts: text ``doc``, ``start`` in units of the slice, ``windows``, ``anchor``, ``mark`` of the content."""
+    """The stretches of some texts: text ``doc``, ``start`` in units of the slice, ``windows``, ``anchor``, ``mark`` of the content.
 
-    def __init__(self, texts: Texts, unit: Unit):
+    ``hot``: a filter of hot anchors; ``only_hot``: leave out the others.
+    """
+
+    def __init__(self, texts: Texts, unit: Unit, hot: np.ndarray | None = None, only_hot: bool = False):
         values, self.off, self.words = unit.values(texts)
         n, size = len(values), unit.window
         lengths = np.diff(self.off)
@@ -62,14 +83,17 @@ class Stretches:
             self.twice = np.zeros(0, bool)
             return
         prefix = Prefix(values)
-        grams = low = prefix.grams(unit.gram)
-        reach, width = 1, size - unit.gram + 1
-        while 2 * reach <= width:
-            low = np.minimum(low[:-reach], low[reach:])
-            reach *= 2
-        if reach < width:
-            low = np.minimum(low[: n - size + 1], low[width - reach : width - reach + n - size + 1])
+        grams, width = prefix.grams(unit.gram), size - unit.gram + 1
+        low = _least(grams, width)
+        is_hot = has(hot, signed(low)) if hot is not None else np.zeros(len(low), bool)
+        if is_hot.any():
+            finer = low.copy()
+            for salt in (1, 2, 3):
+                finer = mix(finer ^ _least(mix(grams + np.uint64(salt)), width))
+            low = np.where(is_hot, finer, low)
         valid = covered(n - size + 1, self.off[full], self.off[full + 1] - size + 1)
+        if only_hot:
+            valid &= is_hot
         new = valid.copy()
         new[1:] &= (low[1:] != low[:-1]) | ~valid[:-1]
         last = valid.copy()
@@ -83,7 +107,7 @@ class Stretches:
         self.doc = np.searchsorted(self.off, self.start, "right") - 1
         # a stretch can hold equal windows only if its anchor leaves at the left and the stretch goes on
         left = np.zeros(len(low) + 1, np.int64)
-        np.cumsum((grams[: len(low)] == low)[:-1] & (low[1:] == low[:-1]), out=left[1:-1])
+        np.cumsum(((grams[: len(low)] == low) | is_hot)[:-1] & (low[1:] == low[:-1]), out=left[1:-1])
         self.twice = left[self.start + self.windows - 1] > left[self.start]
         self.mark = prefix.spans(self.start, self.start + self.windows + size - 1)
 
@@ -93,12 +117,14 @@ def text_tag(text: bytes) -> int:
     return zlib.crc32(text)
 
 
-def _found(unit: Unit) -> Callable:
+def _found(unit: Unit, hot=None) -> Callable:
+    """Distinct stretches of each slice; only those of hot anchors, if these are given."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column("doc_id").to_numpy(zero_copy_only=False)
             for texts in texts_of(b.column("text")):
-                s = Stretches(texts, unit)
+                s = Stretches(texts, unit, hot.value, True) if hot else Stretches(texts, unit)
                 if not len(s.start):
                     continue
                 own = ids[texts.first + s.doc]
@@ -149,15 +175,15 @@ def _shards(solve: Callable, unit: Unit) -> Callable:
         mark = t["mark"].to_numpy()
         head = np.sort(np.unique(mark, return_index=True)[1])
         t = t.take(head)
-        where, start, end, least = solve(t["content"].to_pylist(), t["n"].to_numpy(), t["least"].to_numpy(), unit)
-        return pa.RecordBatch.from_arrays([pa.array(mark[head][where]), pa.array(start), pa.array(end), pa.array(least)], ["mark", "first", "last", "least"])
+        where, start, end, in_least = solve(t["content"].to_pylist(), t["n"].to_numpy(), t["least"].to_numpy(), t["anchor"].to_numpy(), unit)
+        return pa.RecordBatch.from_arrays([pa.array(mark[head][where]), pa.array(start), pa.array(end), pa.array(t["least"].to_numpy()[where]), pa.array(in_least)], ["mark", "first", "last", "least", "in_least"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, size = [], 0
         for b in batches:
             while len(b):
                 anchors = b.column("anchor").to_numpy()
-                lengths = np.cumsum(np.diff(np.concatenate(([0], np.cumsum([len(x) for x in b.column("content").to_pylist()])))))
+                lengths = np.cumsum(pc.binary_length(b.column("content")).to_numpy())
                 over = int(np.searchsorted(lengths, max(0, SHARD_BYTES - size), "right"))
                 cut = np.flatnonzero(anchors[1:] != anchors[:-1]) + 1
                 cut = cut[cut >= max(over, 1)]
@@ -175,12 +201,12 @@ def _shards(solve: Callable, unit: Unit) -> Callable:
     return work
 
 
-def _places(unit: Unit, repeated) -> Callable:
+def _places(unit: Unit, repeated, hot) -> Callable:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column("doc_id").to_numpy(zero_copy_only=False)
             for texts in texts_of(b.column("text")):
-                s = Stretches(texts, unit)
+                s = Stretches(texts, unit, hot.value if hot else None)
                 mark = signed(s.mark)
                 at = np.flatnonzero(has(repeated.value, mark))
                 if len(at):
@@ -193,27 +219,39 @@ def _places(unit: Unit, repeated) -> Callable:
     return work
 
 
+def by_row(docs: DataFrame) -> F.Column:
+    """doc_id, or a hash of the text in its place; that it may be another's doc_id does no harm, as marks and tags tell."""
+    return F.coalesce("doc_id", F.xxhash64("text"))
+
+
 def repeated_spans(docs: DataFrame, unit: Unit, solve: Callable, earlier: bool) -> DataFrame:
-    """Runs of repeated windows: doc_id, tag, first, last (units from the text's start; last excluded).
+    """Runs of repeated windows: row, tag, first, last (units from the text's start; last excluded).
 
     ``solve`` gets the distinct contents of some anchors, how often each
-    stretch occurs and its least doc_id, and gives runs of windows of them.
-    ``earlier``: a run counts only in documents after its least one.
+    stretch occurs, its least doc_id and its anchor, and gives runs of windows
+    of them.  ``earlier``: a run counts only in documents after its least one,
+    or in that too if ``solve`` says so; rows without doc_id take no part.
     """
     spark, shuffles = docs.sparkSession, partitions(docs)
-    docs = docs.where("doc_id is not null and text is not null")
-    found = docs.mapInArrow(_found(unit), "anchor long, mark long, n long, doc_id long, place long")
-    from pyspark.sql import Window
-
-    each = (
-        found.repartition(shuffles, "anchor")
-        .groupBy("anchor", "mark")
-        .agg(F.sum("n").alias("n"), F.min(F.struct("doc_id", "place")).alias("rep"))
-        .withColumn("all", F.sum(F.col("n") + F.col("rep.place").bitwiseAND(128) / 128).over(Window.partitionBy("anchor")))
-        .where("all > 1")
-        .select("anchor", "mark", "n", F.col("rep.doc_id").alias("doc_id"), F.col("rep.place").alias("place"))
-    )
-    each = written(each)
+    docs = docs.where("text is not null and doc_id is not null" if earlier else "text is not null").select(by_row(docs).alias("doc_id"), "text")
+
+    def distinct(hot=None) -> DataFrame:
+        found = docs.mapInArrow(_found(unit, hot), "anchor long, mark long, n long, doc_id long, place long")
+        each = found.repartition(shuffles, "anchor").groupBy("anchor", "mark").agg(F.sum("n").alias("n"), F.min(F.struct("doc_id", "place")).alias("rep"))
+        own = Window.partitionBy("anchor")
+        each = each.withColumn("all", F.sum(F.col("n") + F.col("rep.place").bitwiseAND(128) / 128).over(own)).withColumn("stretches", F.count("*").over(own)).where("all > 1")
+        return written(each.select("anchor", "mark", "n", F.col("rep.doc_id").alias("doc_id"), F.col("rep.place").alias("place"), "stretches"))
+
+    each, hot = distinct(), None
+    many = each.where(F.col("stretches") > HOT_ROWS).select("anchor").distinct()
+    if not many.isEmpty():
+        hot = spark.sparkContext.broadcast(bloom(written(many), "anchor"))
+
+        def cool(batches):
+            for b in batches:
+                yield b.filter(pa.array(~has(hot.value, b.column("anchor").to_numpy())))
+
+        each = written(each.mapInArrow(cool, each.schema).unionByName(distinct(hot)))
     total = each.agg(F.sum(F.col("place") % 128 + unit.window)).first()[0] or 0
     holders = spark.sparkContext.broadcast(bloom(each, "doc_id"))
 
@@ -224,35 +262,36 @@ def repeated_spans(docs: DataFrame, unit: Unit, solve: Callable, earlier: bool)
     want = each.groupBy("doc_id").agg(F.collect_list(F.struct("place", "mark", "anchor", "n", F.col("doc_id").alias("least"))).alias("want"))
     contents = docs.mapInArrow(holds, docs.schema).join(want, "doc_id").select("text", "want").mapInArrow(_contents(unit), "anchor long, mark long, n long, least long, content binary")
     shards = max(1, min(100_000, math.ceil(total * (6 if unit.words else 1) / SHARD_BYTES)), min(shuffles, 12))
-    solved = contents.repartition(shards, "anchor").sortWithinPartitions("anchor").mapInArrow(_shards(solve, unit), "mark long, first int, last int, least long")
+    solved = contents.repartition(shards, "anchor").sortWithinPartitions("anchor").mapInArrow(_shards(solve, unit), "mark long, first int, last int, least long, in_least boolean")
     solved = written(solved)
+    discard(each)
     repeated = spark.sparkContext.broadcast(bloom(solved, "mark"))
-    places = docs.mapInArrow(_places(unit, repeated), "mark long, doc_id long, tag long, at long")
+    places = docs.mapInArrow(_places(unit, repeated, hot), "mark long, doc_id long, tag long, at long")
     hits = places.join(solved, "mark")
     if earlier:
-        hits = hits.where("least < doc_id")
-    return hits.select("doc_id", "tag", (F.col("at") + F.col("first")).alias("first"), (F.col("at") + F.col("last") + (unit.window - 1)).alias("last"))
+        hits = hits.where("least < doc_id or in_least and least = doc_id")
+    return hits.select(F.col("doc_id").alias("row"), "tag", (F.col("at") + F.col("first")).alias("first"), (F.col("at") + F.col("last") + (unit.window - 1)).alias("last"))
 
 
 def cut_documents(docs: DataFrame, spans: DataFrame, cut: Callable, out: str) -> DataFrame:
     """Give ``cut`` each text with the starts and ends of its spans; texts without spans skip the shuffle."""
     spark = docs.sparkSession
-    spans = written(spans.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("first", "last")).alias("spans")))
-    holders = spark.sparkContext.broadcast(bloom(spans, "doc_id"))
-    names = docs.columns
+    spans = written(spans.groupBy("row", "tag").agg(F.collect_list(F.struct("first", "last")).alias("spans")))
+    holders = spark.sparkContext.broadcast(bloom(spans, "row"))
+    names, schema = docs.columns, docs.schema
+    docs = docs.withColumn("row", by_row(docs))
 
     def part(with_spans: bool):
         def work(batches):
             for b in batches:
-                ids = b.column("doc_id")
-                some = has(holders.value, ids.fill_null(0).to_numpy(zero_copy_only=False)) & ids.is_valid().to_numpy(zero_copy_only=False)
+                some = has(holders.value, b.column("row").to_numpy())
                 b = b.filter(pa.array(some if with_spans else ~some))
                 if with_spans:
                     tags = [text_tag(t.bytes(i)) for t in texts_of(b.column("text")) for i in range(len(t))]
-                    b = pa.RecordBatch.from_arrays([*b.columns, pa.array(tags, pa.int64())], [*names, "tag"])
+                    b = pa.RecordBatch.from_arrays([*b.columns, pa.array(tags, pa.int64())], [*names, "row", "tag"])
                     yield b
                 else:
-                    yield from apply(b, None)
+                    yield from apply(b.select(names), None)
 
         return work
 
@@ -267,6 +306,6 @@ def cut_documents(docs: DataFrame, spans: DataFrame, cut: Callable, out: str) ->
             spans_of = [np.zeros((0, 2), np.int64) if not column[i].is_valid else np.array([(x["first"], x["last"]) for x in column[i].as_py()], np.int64).reshape(-1, 2) for i in range(len(b))]
             yield from apply(b.select(names), spans_of)
 
-    some = docs.mapInArrow(part(True), f"{docs._jdf.schema().toDDL()}, tag long")
-    some = some.join(spans, ["doc_id", "tag"], "left").select(*names, "spans").mapInArrow(joined, out)
+    some = docs.mapInArrow(part(True), T.StructType([*schema, T.StructField("row", T.LongType()), T.StructField("tag", T.LongType())]))
+    some = some.join(spans, ["row", "tag"], "left").select(*names, "spans").mapInArrow(joined, out)
     return docs.mapInArrow(part(False), out).unionByName(some)

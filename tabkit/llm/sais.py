@@ -2,38 +2,24 @@
 
 The passes are those of induced sorting: classify suffixes as smaller or
 larger than their right neighbour, sort the leftmost-smaller substrings by one
-induction, name them, solve the shortened string, and induce the rest.  Each
-induction walks the buckets once and treats a bucket's suffixes together, as a
-wave, in place of one at a time, so its work is linear and array-wise.  The
-shortened string, whose alphabet is as large as itself, is solved by rank
-doubling, since buckets of one or two suffixes leave nothing to do array-wise.
+induction, name them by comparing neighbours, solve the shortened string the
+same way, and induce the rest from its order.
+
+An induction orders the larger suffixes by their symbols down to the next
+leftmost-smaller suffix and by the place of that one, then the smaller ones
+likewise from the larger.  Over few symbols it walks the buckets and treats a
+bucket's suffixes together, as a wave, so it is linear; over many, as in
+shortened strings, buckets hold a suffix or two, and the runs are ordered
+together by doubling their length, in as many steps as the logarithm of the
+longest run.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-from .textbytes import Prefix
-
-LARGE_ALPHABET = 4096
-
-
-def _doubling(t: np.ndarray, depth: int | None = None) -> np.ndarray:
-    """Sorted suffixes by ranks of 1, 2, 4 ... symbols; to ``depth`` symbols if given."""
-    n = len(t)
-    rank = np.unique(t, return_inverse=True)[1].astype(np.int64)
-    k, order = 1, np.argsort(rank, kind="stable")
-    while k < n and (depth is None or k < depth):
-        key = (rank + 1) * (n + 1)
-        key[: n - k] += rank[k:] + 1
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        new = np.empty(n, np.int64)
-        new[order] = np.cumsum(np.concatenate(([0], key[1:] != key[:-1])))
-        rank, k = new, 2 * k
-        if rank[order[-1]] == n - 1:
-            break
-    return order
+#: Symbols from which runs are ordered together in place of bucket by bucket.
+MANY = 1024
 
 
 def _small_types(t: np.ndarray) -> np.ndarray:
@@ -47,15 +33,15 @@ def _small_types(t: np.ndarray) -> np.ndarray:
     return d[at] > 0
 
 
-def _induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """All suffixes in order, from the leftmost-smaller ones in order."""
+def _by_buckets(t: np.ndarray, small: np.ndarray, lms: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All suffixes in order, from the leftmost-smaller ones in order, bucket by bucket."""
     n, sigma = len(t), len(sizes)
     ends = np.cumsum(sizes)
     heads = ends - sizes
     symbols = np.flatnonzero(sizes)
 
     def place(sa, at, entries, up):
-        chars = t[entries]
+        chars = t[entries].astype(np.uint16)
         by = np.argsort(chars, kind="stable")
         entries, chars = entries[by], chars[by]
         starts = np.flatnonzero(np.concatenate(([True], chars[1:] != chars[:-1])))
@@ -105,33 +91,103 @@ def _induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray, sizes: np.ndarray
     return sa
 
 
-def suffix_array(t: np.ndarray) -> np.ndarray:
-    """The suffix array of integers from 1; a smallest end mark is added and left out again."""
-    if not len(t):
-        return np.zeros(0, np.int64)
-    if int(t.max()) >= LARGE_ALPHABET:
-        return _doubling(t)
-    t = np.concatenate((t.astype(np.int64), [0]))
+def _runs_in_order(t: np.ndarray, kind: np.ndarray, seed: np.ndarray, place: np.ndarray, last: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes of a kind in order, and the place of the first of those that are alike (only where seeds' places are).
+
+    ``place``: the places of the seeds, the suffixes that runs of the kind end
+    in.  Of equal symbols the kind comes after the seeds if ``last``.
+    """
+    own = np.flatnonzero(kind)
+    to = np.concatenate((own, seed))
+    # a symbol and whether it starts a seed, whose place tells seeds apart
+    is_seed = np.arange(len(to)) >= len(own)
+    key = (t[to] * 2 + (is_seed != last)) * (len(t) + 1)
+    key[len(own) :] += place + 1
+    rank = np.zeros(len(t) + 1, np.int64)
+    step = np.full(len(t) + 1, len(t), np.int64)  # the suffix so many symbols on, within the run; none after a seed
+    step[own] = own + 1
+    live, base, first = to, np.ones(len(to), np.int64), True
+    while len(live):
+        if not first:
+            after = rank[step[live]]
+            live, after = live[after > 0], after[after > 0]
+            base = rank[live]
+            key = base * (len(t) + 2) + after
+        by = np.argsort(key, kind="stable")
+        live, key, base = live[by], key[by], base[by]
+        at = np.arange(len(live))
+        group = np.maximum.accumulate(np.where(np.concatenate(([True], base[1:] != base[:-1])), at, 0)) if len(live) else at
+        new = np.concatenate(([True], key[1:] != key[:-1]))[: len(live)]
+        rank[live] = base + np.maximum.accumulate(np.where(new, at, 0)) - group if len(live) else base
+        if not first:
+            step[own] = step[step[own]]
+        # what is alone is in its place; what ends alike stays together
+        live = live[~(new & np.append(new[1:], True)) & kind[live]] if len(live) else live
+        first = False
+    by = np.argsort(rank[own], kind="stable")
+    return own[by], rank[own[by]]
+
+
+def _by_runs(t: np.ndarray, small: np.ndarray, lms: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The same from leftmost-smaller suffixes with places, all runs together."""
+    n = len(t)
+    larger, group = _runs_in_order(t, ~small, lms, place, False)
+    kind = small.copy()
+    kind[n - 1] = False
+    # the smaller suffixes' runs end in a larger one, or in the end mark
+    at = np.full(n, -1, np.int64)
+    at[larger] = group
+    ends = np.flatnonzero(~small & np.concatenate(([False], small[:-1])))
+    seed, of = np.append(ends, n - 1), np.append(at[ends], 0)
+    smaller, _ = _runs_in_order(t, kind, seed, of, True)
+    out = np.concatenate(([n - 1], larger, smaller))
+    return out[np.argsort(t[out] * 2 + small[out], kind="stable")]
+
+
+def _named(t: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Names of the leftmost-smaller substrings (in the order of ``lms``), equal where the substrings are."""
+    n = len(t)
+    to = np.empty(n, np.int64)
+    to[lms] = np.append(lms[1:] + 1, n)
+    size = to[ordered] - ordered
+    same = np.zeros(len(ordered), bool)
+    live = np.flatnonzero(size[1:] == size[:-1]) + 1
+    depth = 0
+    while len(live):
+        done = size[live] == depth
+        same[live[done]] = True
+        live = live[~done]
+        live = live[t[ordered[live] + depth] == t[ordered[live - 1] + depth]]
+        depth += 1
+    names = np.empty(n, np.int64)
+    names[ordered] = np.cumsum(~same) - 1
+    return names[lms]
+
+
+def _sorted(t: np.ndarray) -> np.ndarray:
+    """The suffix array of a string that ends in its only least symbol, 0."""
     n = len(t)
+    if n == 1:
+        return np.zeros(1, np.int64)
     small = _small_types(t)
     is_lms = small.copy()
     is_lms[0] = False
     is_lms[1:] &= ~small[:-1]
     lms = np.flatnonzero(is_lms)
-    sizes = np.bincount(t)
+    few = int(t.max()) < MANY
+    sizes = np.bincount(t) if few else None
     if len(lms) > 1:
         seed = lms[np.argsort(t[lms], kind="stable")]
-        sa = _induce(t, small, seed, sizes)
-        ordered = sa[is_lms[sa]]
-        to = np.empty(n, np.int64)
-        to[lms] = np.append(lms[1:] + 1, n)
-        mark = Prefix((t + 1).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)).spans(ordered, to[ordered])
-        names = np.empty(n, np.int64)
-        names[ordered] = np.cumsum(np.concatenate(([0], mark[1:] != mark[:-1])))
-        short = names[lms]
-        order = np.argsort(short) if int(short.max()) == len(lms) - 1 else _doubling(short)
-        lms = lms[order]
-    return _induce(t, small, lms, sizes)[1:]
+        symbol = np.unique(t[seed], return_inverse=True)[1]
+        sa = _by_buckets(t, small, seed, sizes) if few else _by_runs(t, small, seed, symbol)
+        short = _named(t, lms, sa[is_lms[sa]])
+        lms = lms[np.argsort(short) if int(short.max()) == len(lms) - 1 else _sorted(short)]
+    return _by_buckets(t, small, lms, sizes) if few else _by_runs(t, small, lms, np.arange(len(lms)))
+
+
+def suffix_array(t: np.ndarray) -> np.ndarray:
+    """The suffix array of integers from 1; a smallest end mark is added and left out again."""
+    return _sorted(np.concatenate((t.astype(np.int64), [0])))[1:]
 
 
 def permuted_common_prefixes(t: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:

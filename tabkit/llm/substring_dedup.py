@@ -1,15 +1,22 @@
 """Substring dedup: remove words of passages that an earlier document holds.
 
 Method: stretches of words whose 50-word windows may repeat are routed to
-shards (see ``repeats``).  Each shard builds a compressed FM-index over its
-distinct contents (see ``fmindex``) and streams the contents against it by
-backward search: the rows reached are widened to all rows that share 50 words,
-which are the places where that window occurs, and the least doc_id among
-them is reported for every interval of at least 50 words.
+shards (see ``repeats``).  A shard puts the contents of earlier documents into
+a compressed FM-index and streams those of later ones against it: backward
+search over the wavelet matrix gives matching statistics, and intervals of 50
+words or more that match are reported.  Which contents are indexed halves from
+pass to pass: of the contents that share an anchor, the half of smaller doc_ids
+is indexed and the other half streamed; then both halves are parted again, the
+second without what it was found to hold, until a part has one doc_id.  Equal
+contents are one, with their least doc_id; other documents that hold it lose it.
 
 Defined results: a null or empty text has no words; windows are judged on the
 input; only a smaller doc_id counts, so rows that share a doc_id keep what
-they share; rows without doc_id take no part; extra columns are ignored.
+they share; rows without doc_id have no smaller one and are no one's, so they
+take no part; a very long text is cut into stretches of 176 words at most, of
+which an anchor brings some together; ties and repeated rows cannot change
+results; an empty table gives an empty one; other columns, whatever their
+names, are ignored or carried along.
 """
 
 from __future__ import annotations
@@ -23,54 +30,74 @@ from pyspark.sql import DataFrame
 from .fmindex import FMIndex
 from .frames import plain_names, texts
 from .repeats import Unit, cut_documents, repeated_spans
-from .sais import permuted_common_prefixes, suffix_array
-from .textbytes import SPACE_WORD, Words, covered
+from .textbytes import SPACE_WORD, Words, covered, runs
 
 WORDS = 50
 GRAM = 10
 
 
-def earliest_windows(contents: list[bytes], counts: np.ndarray, least: np.ndarray, unit: Unit):
-    """Runs of windows (content, first, last, least doc_id) of which the least doc_id is that of another or of several places."""
+def _places(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """All places of some spans, one after another."""
+    size = end - start
+    return np.repeat(start, size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+
+
+def earlier_windows(contents: list[bytes], counts: np.ndarray, least: np.ndarray, anchor: np.ndarray, unit: Unit):
+    """Runs of windows (content, first, last, whether they count in the content's least document too).
+
+    A run counts in the least document if a document with a smaller doc_id
+    holds its windows, and in all others that hold the content.
+    """
     w = unit.window
     split = [c.split() for c in contents]
     sizes = np.array([len(x) for x in split], np.int64)
     known: dict[bytes, int] = {}
-    ids = [known.setdefault(x, len(known) + 2) for words in split for x in words]
-    start = np.cumsum(sizes + 1) - sizes - 1
+    # symbol 1 parts contents; one follows each
     text = np.ones(int(sizes.sum()) + len(sizes), np.int64)
+    base = np.cumsum(sizes + 1) - sizes - 1
+    text[_places(base, base + sizes)] = [known.setdefault(x, len(known) + 2) for words in split for x in words]
+    held = np.zeros(len(text), bool)
+    # pieces of contents, from where to where, and the group of each
+    own, start, end = np.arange(len(contents)), base, base + sizes
+    group = np.unique(anchor, return_inverse=True)[1]
+    while True:
+        by = np.lexsort((least[own], group))
+        own, start, end, group = own[by], start[by], end[by], group[by]
+        head = np.concatenate(([True], group[1:] != group[:-1]))[: len(group)]
+        step = np.concatenate(([False], (group[1:] == group[:-1]) & (least[own[1:]] != least[own[:-1]])))[: len(group)]
+        number = np.cumsum(step)
+        at = np.flatnonzero(head)
+        many = np.diff(np.append(at, len(group)))
+        number -= np.repeat(number[at], many)
+        top = np.repeat(np.maximum.reduceat(number, at) if len(at) else number, many)
+        go = top > 0
+        if not go.any():
+            break
+        own, start, end, group, later = own[go], start[go], end[go], group[go], (number > top // 2)[go]
+        index = FMIndex(text[_places(start[~later], end[~later] + 1) if len(start) else []], w)
+        a, z = start[later], end[later]
+        at = _places(a, z)
+        found = np.zeros(len(at), bool)
+        inner = np.cumsum(z - a) - (z - a)
+        found = index.matching(text[at], inner, inner + z - a) >= w
+        held[at[found]] = True
+        # what is left of the later ones: runs of windows that were not found
+        open_ = ~found & (at <= np.repeat(z - w, z - a))
+        edge = np.zeros(len(at) + 1, bool)
+        edge[inner] = True
+        whose = np.repeat(np.flatnonzero(later), z - a)
+        first = np.flatnonzero(open_ & (edge[:-1] | ~np.concatenate(([False], open_[:-1]))))
+        last = np.flatnonzero(open_ & (edge[1:] | ~np.append(open_[1:], False)))
+        own = np.concatenate((own[~later], own[whose[first]]))
+        start, end = np.concatenate((start[~later], at[first])), np.concatenate((end[~later], at[last] + w))
+        group = np.unique(np.concatenate((2 * group[~later], 2 * group[whose[first]] + 1)), return_inverse=True)[1]
     owner = np.repeat(np.arange(len(contents)), sizes + 1)
-    inside = np.arange(len(text)) - start[owner] < sizes[owner]
-    text[inside] = ids
-    order = suffix_array(text)
-    index = FMIndex(text, order)
-    shared = np.concatenate(([0], permuted_common_prefixes(text, order, w)[order]))
-    block = np.cumsum(shared < w) - 1
-    heads = np.flatnonzero(shared < w)
-    doc = np.concatenate(([np.iinfo(np.int64).max], least[owner[order]]))
-    times = np.concatenate(([0], counts[owner[order]]))
-    least_of, times_of = np.minimum.reduceat(doc, heads), np.add.reduceat(times, heads)
-
-    # backward search of all contents in step; one step takes one word of each
-    least_at, many_at = np.full(len(text), -1, np.int64), np.zeros(len(text), bool)
-    live = np.arange(len(contents))
-    low, high = np.zeros(len(live), np.int64), np.full(len(live), len(text) + 1, np.int64)
-    at = start + sizes - 1
-    while len(live):
-        low, high = index.back(low, high, text[at])
-        ready = start[live] + sizes[live] - at >= w
-        least_at[at[ready]] = least_of[block[low[ready]]]
-        many_at[at[ready]] = times_of[block[low[ready]]] > 1
-        at = at - 1
-        more = at >= start[live]
-        live, low, high, at = live[more], low[more], high[more], at[more]
-    value = np.where(many_at, least_at, -1)
-    new = np.concatenate(([True], (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])))
-    a = np.flatnonzero(new)
-    z = np.append(a[1:], len(text))
-    ok = value[a] >= 0
-    a, z = a[ok], z[ok]
-    return owner[a], (a - start[owner[a]]).astype(np.int32), (z - start[owner[a]]).astype(np.int32), value[a]
+    window = np.arange(len(text)) - base[owner] <= sizes[owner] - w
+    out = []
+    for flags, in_least in ((held & window, True), (~held & window & (counts[owner] > 1), False)):
+        a, z = runs(flags)
+        out.append((owner[a], (a - base[owner[a]]).astype(np.int32), (z - base[owner[a]]).astype(np.int32), np.full(len(a), in_least)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def _remove(b: pa.RecordBatch, texts_, spans) -> pa.RecordBatch:
@@ -93,29 +120,35 @@ def _digest(b, texts_, spans):
     return r.set_column(3, "kept_sha256", pa.array([hashlib.sha256(x.encode()).hexdigest() for x in r.column("kept").to_pylist()], pa.string()))
 
 
+def _spans(docs: DataFrame, words: int) -> DataFrame:
+    return repeated_spans(texts(docs), Unit(True, words, min(GRAM, max(1, words // 2))), earlier_windows, True)
+
+
 def substring_dedup(docs: DataFrame, words: int = WORDS, digest: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed and the words kept, joined by spaces (or their digest)."""
-    docs = texts(docs)
-    spans = repeated_spans(docs, Unit(True, words, min(GRAM, max(1, words // 2))), earliest_windows, True)
-    return cut_documents(docs, spans, _digest if digest else _remove, "doc_id long, n_words long, n_removed long, " + ("kept_sha256 string" if digest else "kept string"))
+    return cut_documents(texts(docs), _spans(docs, words), _digest if digest else _remove, "doc_id long, n_words long, n_removed long, " + ("kept_sha256 string" if digest else "kept string"))
 
 
 def cut_earlier_passages(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """The documents with such passages cut out; texts that lose nothing stay as they are, and texts that lose all go.
 
-    A column n_chars (long) follows the text.
+    The words kept of a text that loses some are joined by single spaces, so
+    line breaks go with the passage.  A column n_chars follows the text, in
+    whole numbers of its type.  All columns stay, whatever their names.
     """
     given, docs = docs.columns, plain_names(docs, "n_chars")
     names = docs.columns
-    spans = repeated_spans(texts(docs), Unit(True, words, min(GRAM, max(1, words // 2))), earliest_windows, True)
 
     def cut(b, texts_, of):
         new = _remove(b, texts_, of)
-        text = [old if not gone else kept for old, gone, kept in zip(b.column("text").to_pylist(), new.column("n_removed").to_pylist(), new.column("kept").to_pylist(), strict=True)]
-        keep = [not (gone and not kept) for gone, kept in zip(new.column("n_removed").to_pylist(), new.column("kept").to_pylist(), strict=True)]
+        gone, kept = new.column("n_removed").to_pylist(), new.column("kept").to_pylist()
+        text = [old if not n else k for old, n, k in zip(b.column("text").to_pylist(), gone, kept, strict=True)]
         if "n_chars" in names:
-            chars = [len(x) if gone else old for x, gone, old in zip(text, new.column("n_removed").to_pylist(), b.column("n_chars").to_pylist(), strict=True)]
-            b = b.set_column(names.index("n_chars"), "n_chars", pa.array(chars, pa.int64()))
-        return b.set_column(names.index("text"), "text", pa.array(text, pa.string())).filter(pa.array(keep))
-
-    return cut_documents(docs, spans, cut, docs.schema).toDF(*given)
+            i = names.index("n_chars")
+            chars = [len(x) if n else old for x, n, old in zip(text, gone, b.column(i).to_pylist(), strict=True)]
+            if pa.types.is_integer(kind := b.schema.field(i).type):
+                b = b.set_column(i, b.schema.field(i), pa.array(chars, kind))
+        i = names.index("text")
+        return b.set_column(i, b.schema.field(i), pa.array(text, b.schema.field(i).type)).filter(pa.array([not n or bool(k) for n, k in zip(gone, kept, strict=True)], pa.bool_()))
+
+    return cut_documents(docs, _spans(docs, words), cut, docs.schema).toDF(*given)

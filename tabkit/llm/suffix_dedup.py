@@ -9,8 +9,10 @@ array, or if its stretch itself occurs more than once.
 
 Defined results: a null or empty text has no bytes and loses none; strings
 are judged on the input, and the same document counts; rows that share a
-doc_id are documents of their own; rows without doc_id take no part and lose
-nothing; extra columns are ignored.
+doc_id doc_id are documents of their own, and so are rows without one; a very long
+text is cut into stretches of 326 bytes at most, of which an anchor brings some
+together; ties and repeated rows cannot change results; an empty table gives an
+empty one; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -30,24 +32,26 @@ LENGTH = 200
 GRAM = 80
 
 
-def repeated_windows(contents: list[bytes], counts: np.ndarray, least: np.ndarray, unit: Unit):
-    """Runs of windows (content, first, last, 0) that occur more than once in the corpus."""
+def repeated_windows(contents: list[bytes], counts: np.ndarray, least: np.ndarray, anchor: np.ndarray, unit: Unit):
+    """Runs of windows (content, first, last, True) that occur more than once in the corpus."""
     w = unit.window
     sizes = np.array([len(c) for c in contents], np.int64)
-    text = np.frombuffer(b"\0".join(contents) + b"\0", np.uint8).astype(np.int64) + 1
     start = np.cumsum(sizes + 1) - sizes - 1
-    text[start + sizes] = 1  # a byte 0 of a text shares this symbol; ends are told apart by the lengths left
-    text[:-1][text[:-1] == 1] = 1
+    ends = np.zeros(int(sizes.sum()) + len(sizes), bool)
+    ends[start + sizes] = True
+    text = np.ones(len(ends), np.int64)  # symbol 1 ends a content; no byte has it
+    text[~ends] = np.frombuffer(b"".join(contents), np.uint8).astype(np.int64) + 2
     order = suffix_array(text)
+    owner = np.repeat(np.arange(len(contents)), sizes + 1)
+    room = start[owner] + sizes[owner] - np.arange(len(text)) >= w
+    # a whole window is shared only by places with room for it, as the end is no byte
     shared = permuted_common_prefixes(text, order, w)
     repeated = shared >= w
     left = order[:-1][shared[order[1:]] >= w]
     repeated[left] = True
-    owner = np.repeat(np.arange(len(contents)), sizes + 1)
-    room = start[owner] + sizes[owner] - np.arange(len(text)) >= w
     repeated |= counts[owner] > 1
     a, z = runs(repeated & room)
-    return owner[a], (a - start[owner[a]]).astype(np.int32), (z - start[owner[a]]).astype(np.int32), np.zeros(len(a), np.int64)
+    return owner[a], (a - start[owner[a]]).astype(np.int32), (z - start[owner[a]]).astype(np.int32), np.ones(len(a), bool)
 
 
 def _remove(b: pa.RecordBatch, texts, spans) -> pa.RecordBatch:

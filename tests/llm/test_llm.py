@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tabkit.llm import decontam, langid, license_scan, media, ngram_join, packing, quality, sais, substring_dedup, suffix_dedup, token_counts
+from tabkit.llm import decontam, langid, license_scan, media, ngram_join, packing, quality, repeats, sais, substring_dedup, suffix_dedup, token_counts
 from tabkit.llm.fmindex import FMIndex
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, tag string, first string"
@@ -18,7 +18,7 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, ta
 def corpus(seed=1, n=60):
     """Null, empty, blank, short, long, repetitive, repeated and nearly repeated texts, under clashing column names."""
     r = random.Random(seed)
-    vocabulary = ["".join(r.choice("abcdeéÀ") for _ in range(r.randint(1, 7))) for _ in range(300)]
+    vocabulary = ["".join(r.choice("abcdeéÀ\0") for _ in range(r.randint(1, 7))) for _ in range(300)]
     some = lambda k: " ".join(r.choice(vocabulary) for _ in range(k))
     passage = some(70)
     texts = [None, "", "  \n", "one two", "ONE two", "a " * 400, "x" * 5000]
@@ -72,12 +72,50 @@ def test_suffix_array_and_fm_index():
             while max(a, c) + k < len(t) and t[a + k] == t[c + k]:
                 k += 1
             assert shared[c] == k
-        index = FMIndex(t, order)
-        low, high = np.array([0]), np.array([len(t) + 1])
-        for s in t[::-1][:3]:
-            low, high = index.back(low, high, np.array([s]))
-        tail = tuple(t[-3:])
-        assert high[0] - low[0] == sum(tuple(t[i : i + len(tail)]) == tail for i in range(len(t)))
+        index = FMIndex(t, 6)
+        pattern = np.concatenate((r.integers(1, 8, 40), t[: len(t) // 2]))
+        start, end = np.array([0, 15, 40]), np.array([15, 40, len(pattern)])
+        got, text = index.matching(pattern, start, end), [tuple(t[i : i + k]) for k in range(8) for i in range(len(t))]
+        for a, z in zip(start, end, strict=True):
+            for i in range(a, z):
+                longest = max(k for k in range(7) if i + k <= z and tuple(pattern[i : i + k]) in text)
+                assert min(got[i], 6) == longest
+
+
+def test_suffix_arrays_of_recursive_words(monkeypatch):
+    """Words that need many levels of shortened strings, with either order of runs."""
+    thue = np.array([bin(i).count("1") % 2 + 1 for i in range(2048)])
+    fibonacci = [1], [1, 2]
+    while len(fibonacci[1]) < 1500:
+        fibonacci = fibonacci[1], fibonacci[1] + fibonacci[0]
+    for many in (sais.MANY, 2):
+        monkeypatch.setattr(sais, "MANY", many)
+        for t in (thue, np.array(fibonacci[1]), np.ones(500, int), np.arange(900) % 450 + 1, np.zeros(0, int)):
+            own = t.astype(">u2").tobytes()
+            assert list(sais.suffix_array(t)) == sorted(range(len(t)), key=lambda i: own[2 * i :])
+
+
+def test_the_index_decides_what_is_removed(monkeypatch):
+    """Later contents are not in the index that they are streamed against; without it nothing is found."""
+    unit = substring_dedup.Unit(True, 3, 2)
+    contents = [b"a b c d e", b"x b c d y", b"q r s t", b"b c d", b"q r s"]
+    counts, least, anchor = np.array([1, 1, 2, 1, 1]), np.array([4, 7, 9, 5, 9]), np.zeros(5, np.int64)
+    asked = []
+    real = FMIndex.matching
+    monkeypatch.setattr(FMIndex, "matching", lambda self, pattern, a, z: (asked.append((self.rows, len(pattern))), real(self, pattern, a, z))[1])
+    got = {tuple(int(v) for v in x) for x in zip(*substring_dedup.earlier_windows(contents, counts, least, anchor, unit), strict=True)}
+    # b c d is in document 4; q r s t is in two documents, of which the least keeps it, as does q r s in the same document
+    assert got == {(1, 1, 2, 1), (3, 0, 1, 1), (2, 0, 2, 0)} and asked
+    monkeypatch.setattr(FMIndex, "matching", lambda self, pattern, a, z: np.zeros(len(pattern), np.int64))
+    assert {tuple(int(v) for v in x) for x in zip(*substring_dedup.earlier_windows(contents, counts, least, anchor, unit), strict=True)} == {(2, 0, 2, 0)}
+
+
+def test_windows_of_bytes_do_not_cross_contents():
+    """A byte 0 is no end of a content."""
+    unit = suffix_dedup.Unit(False, 5, 2)
+    run = lambda contents: list(zip(*(x.tolist() for x in suffix_dedup.repeated_windows(contents, np.ones(len(contents)), None, None, unit)), strict=True))
+    assert run([b"abcde", b"fghij", b"cde\0fg"]) == []
+    assert run([b"ab\0de", b"xab\0dey"]) == [(0, 0, 1, True), (1, 1, 2, True)]
 
 
 def linked_by_force(rows):
@@ -178,17 +216,18 @@ def test_links_span_what_is_alike():
         assert all(above[i] == above[j] for i in range(len(sets)) for j in range(i) if part[i] == part[j])
 
 
-def test_suffix_dedup(docs, empty):
+@pytest.mark.parametrize("hot", [repeats.HOT_ROWS, 2])
+def test_suffix_dedup(docs, empty, monkeypatch, hot):
+    monkeypatch.setattr(repeats, "HOT_ROWS", hot)
     rows = docs.select("doc_id", "text").collect()
     own = [(r.doc_id, (r.text or "").encode()) for r in rows]
-    starts = Counter(t[k : k + 200] for i, t in own if i is not None for k in range(len(t) - 199))
+    starts = Counter(t[k : k + 200] for _, t in own for k in range(len(t) - 199))
     want = []
     for i, t in own:
         gone = bytearray(len(t))
-        if i is not None:
-            for k in range(len(t) - 199):
-                if starts[t[k : k + 200]] > 1:
-                    gone[k : k + 200] = b"\1" * 200
+        for k in range(len(t) - 199):
+            if starts[t[k : k + 200]] > 1:
+                gone[k : k + 200] = b"\1" * 200
         kept = bytes(x for x, g in zip(t, gone, strict=True) if not g)
         want.append((i, len(t), sum(gone), len(re.findall(rb"\x01+", bytes(gone))), hashlib.sha256(kept).hexdigest()))
     got = rows_of(suffix_dedup.suffix_dedup(docs, digest=True), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -196,7 +235,9 @@ def test_suffix_dedup(docs, empty):
     assert suffix_dedup.suffix_dedup(empty).count() == 0
 
 
-def test_substring_dedup(docs, empty):
+@pytest.mark.parametrize("hot", [repeats.HOT_ROWS, 2])
+def test_substring_dedup(docs, empty, monkeypatch, hot):
+    monkeypatch.setattr(repeats, "HOT_ROWS", hot)
     rows = docs.select("doc_id", "text").collect()
     own = [(r.doc_id, words(r.text)) for r in rows]
     first = {}
