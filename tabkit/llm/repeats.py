@@ -38,7 +38,7 @@ from .textbytes import SPACE_WORD, Prefix, Texts, Words, byte_values, covered, m
 
 #: Windows of one stretch at most, so that its length and a flag fit a byte.
 LONGEST = 127
-SHARD_BYTES = 2_000_000
+SHARD_BYTES = 4_000_000
 HOT_ROWS = 1000
 
 
@@ -252,6 +252,9 @@ def repeated_spans(docs: DataFrame, unit: Unit, solve: Callable, earlier: bool)
                 yield b.filter(pa.array(~has(hot.value, b.column("anchor").to_numpy())))
 
         each = written(each.mapInArrow(cool, each.schema).unionByName(distinct(hot)))
+    # copies of one stretch that shares its anchor with no other are known to repeat as a whole, and nowhere else
+    sole = each.where("stretches = 1 and n > 1").select("mark", F.lit(0).alias("first"), (F.col("place") % 128).cast("int").alias("last"), F.col("doc_id").alias("least"), F.lit(not earlier).alias("in_least"))
+    kept, each = each, each.where("stretches > 1" if earlier else "stretches > 1 or n = 1")
     total = each.agg(F.sum(F.col("place") % 128 + unit.window)).first()[0] or 0
     holders = spark.sparkContext.broadcast(bloom(each, "doc_id"))
 
@@ -261,10 +264,10 @@ def repeated_spans(docs: DataFrame, unit: Unit, solve: Callable, earlier: bool)
 
     want = each.groupBy("doc_id").agg(F.collect_list(F.struct("place", "mark", "anchor", "n", F.col("doc_id").alias("least"))).alias("want"))
     contents = docs.mapInArrow(holds, docs.schema).join(want, "doc_id").select("text", "want").mapInArrow(_contents(unit), "anchor long, mark long, n long, least long, content binary")
-    shards = max(1, min(100_000, math.ceil(total * (6 if unit.words else 1) / SHARD_BYTES)), min(shuffles, 12))
+    shards = max(1, min(100_000, math.ceil(total * (6 if unit.words else 1) / SHARD_BYTES)), min(shuffles, 48))
     solved = contents.repartition(shards, "anchor").sortWithinPartitions("anchor").mapInArrow(_shards(solve, unit), "mark long, first int, last int, least long, in_least boolean")
-    solved = written(solved)
-    discard(each)
+    solved = written(solved.union(sole))
+    discard(kept)
     repeated = spark.sparkContext.broadcast(bloom(solved, "mark"))
     places = docs.mapInArrow(_places(unit, repeated, hot), "mark long, doc_id long, tag long, at long")
     hits = places.join(solved, "mark")

@@ -19,7 +19,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Symbols from which runs are ordered together in place of bucket by bucket.
-MANY = 1024
+MANY = 300
 
 
 def _small_types(t: np.ndarray) -> np.ndarray:
