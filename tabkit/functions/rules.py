@@ -1,4 +1,8 @@
-"""Filter rules as Spark predicates.  A rule that cannot be judged is false, never null."""
+"""Filter rules as Spark predicates.  A rule that cannot be judged is false, never null.
+
+On typed columns rules are plain comparisons with literals, which reach the
+scan; only text columns are parsed.
+"""
 
 from __future__ import annotations
 
@@ -11,7 +15,7 @@ from pyspark.sql import functions as F
 
 from . import dates
 from .fields import resolve
-from .text import col, number, strip, strip_quotes
+from .text import col, is_numeric, number, strip, strip_quotes
 
 
 @dataclass(frozen=True)
@@ -55,8 +59,12 @@ class NumericRule:
 
     def column(self, df: DataFrame, flags: Flags) -> Column:
         name = resolve(df.columns, self.field)
-        x = col(name) if dict(df.dtypes)[name] in ("double", "float", "int", "bigint") else number(col(name).cast("string"))
-        v, nan = F.lit(float(self.value)), F.isnan(x.cast("double"))
+        if is_numeric(dict(df.dtypes)[name]):
+            x, v = col(name), self.value
+            made = {"between": x.between(v, self.upper), "equals": x == v, "greater_than": x > v, "greater_than_or_equal": x >= v, "less_than": x < v, "less_than_or_equal": x <= v}
+            return made[self.operator]
+        x, v = number(col(name).cast("string")), F.lit(float(self.value))
+        nan = F.isnan(x)
         if self.operator == "between":
             return x.between(v, F.lit(float(self.upper))) & ~nan
         if self.operator == "equals":
@@ -78,19 +86,25 @@ class DateRule:
     def column(self, df: DataFrame, flags: Flags) -> Column:
         name = resolve(df.columns, self.field)
         kind = dict(df.dtypes)[name]
-        t = col(name).cast("timestamp_ntz") if kind in ("date", "timestamp", "timestamp_ntz") else dates.parsed(col(name).cast("string"), self.format)
-        at = self._literal(self.value)
+        typed = kind in ("date", "timestamp", "timestamp_ntz")
+        t = col(name) if typed else dates.parsed(col(name).cast("string"), self.format)
+        as_kind = "timestamp" if kind == "timestamp" else "timestamp_ntz"
+        at = self._literal(self.value).cast(as_kind)
         if self.operator == "exact":
-            return t.cast("date") == at.cast("date")
+            day = dates.parse_literal(self.value, self.format).replace(hour=0, minute=0, second=0, microsecond=0)
+            return (t >= _instant(day).cast(as_kind)) & (t < _instant(day + dt.timedelta(days=1)).cast(as_kind))
         if self.operator == "before":
             return t <= at
         if self.operator == "after":
             return t >= at
-        return (t >= at) & (t <= self._literal(self.upper))
+        return (t >= at) & (t <= self._literal(self.upper).cast(as_kind))
 
     def _literal(self, text: str) -> Column:
-        value: dt.datetime = dates.parse_literal(text, self.format)
-        return F.lit(value.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz")
+        return _instant(dates.parse_literal(text, self.format))
+
+
+def _instant(value: dt.datetime) -> Column:
+    return F.lit(value.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz")
 
 
 Rule = TextRule | NumericRule | DateRule
@@ -103,7 +117,12 @@ class RuleSet:
     rules: tuple[Rule, ...]
     flags: Flags = field(default_factory=Flags)
 
+    def condition(self, df: DataFrame) -> Column:
+        """The bare conjunction, for a filter, where null is as good as false."""
+        return reduce(lambda a, b: a & b, (r.column(df, self.flags) for r in self.rules))
+
     def column(self, df: DataFrame) -> Column:
+        """Never null, to be negated or kept."""
         return reduce(lambda a, b: a & b, (F.coalesce(r.column(df, self.flags), F.lit(False)) for r in self.rules), F.lit(True))
 
 

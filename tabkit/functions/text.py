@@ -17,6 +17,15 @@ def col(c: Column | str) -> Column:
     return F.col(f"`{c}`") if isinstance(c, str) else c
 
 
+def is_numeric(kind: str) -> bool:
+    """Whether a Spark type, by its short name, holds numbers."""
+    return kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal")
+
+
+def is_whole(kind: str) -> bool:
+    return kind in ("tinyint", "smallint", "int", "bigint")
+
+
 def strip(c: Column | str) -> Column:
     """Trim all Unicode white space, not spaces alone."""
     return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")

@@ -11,10 +11,16 @@ from ..functions.fields import UnknownField, resolve, unique_name
 from ..functions.text import clean_cell, col, number, replace_text, strip, strip_quotes
 
 
-def choose_columns(df: DataFrame, names: list[str | int], ignore_case: bool = True, clean: bool = False) -> tuple[DataFrame, list[str]]:
-    """An ordered choice, repeats allowed, and warnings; a choice of nothing raises."""
+def choose_columns(df: DataFrame, names: list[str | int], ignore_case: bool = True, clean: bool = False, from_one: bool = False) -> tuple[DataFrame, list[str]]:
+    """An ordered choice, repeats allowed, and warnings; a choice of nothing raises.
+
+    Whole numbers are places from 0.  ``from_one``: digits as text are places
+    from 1, as tables without a header have them.
+    """
     picked, warnings, taken = [], [], []
     for n in names:
+        if from_one and isinstance(n, str) and n.strip().isdigit():
+            n = int(n) - 1
         try:
             source = df.columns[n] if isinstance(n, int) and 0 <= n < len(df.columns) else resolve(df.columns, n, ignore_case)
         except UnknownField:
@@ -28,6 +34,17 @@ def choose_columns(df: DataFrame, names: list[str | int], ignore_case: bool = Tr
     return df.select(*picked), warnings
 
 
+def chosen_again(df: DataFrame, names: list[str | int], ignore_case: bool = True) -> int:
+    """How many of the fields chosen are repeats."""
+    found = []
+    for n in names:
+        try:
+            found.append(df.columns[n] if isinstance(n, int) and 0 <= n < len(df.columns) else resolve(df.columns, n, ignore_case))
+        except UnknownField:
+            continue
+    return len(found) - len(set(found))
+
+
 def drop_blank_rows(df: DataFrame) -> DataFrame:
     return df.filter(F.concat_ws("", *(strip(F.coalesce(col(c).cast("string"), F.lit(""))) for c in df.columns)) != "")
 
@@ -41,12 +58,23 @@ def clean_cells(df: DataFrame, normal_form: bool = True) -> DataFrame:
     return df.select(*(clean_cell(c, normal_form).alias(c) if t == "string" else col(c) for c, t in df.dtypes))
 
 
-def add_constant(df: DataFrame, values: dict[str, str]) -> DataFrame:
-    for name, v in values.items():
+#: The column that a constant without a name or value makes.
+FIXED = {"APPENDED": "Stub"}
+
+
+def add_constant(df: DataFrame, values: dict[str, str] | None = None) -> DataFrame:
+    for name, v in (values or FIXED).items():
         df = df.withColumn(unique_name(name, df.columns), F.lit(v))
     return df
 
 
+def add_fixed_row(df: DataFrame, values: dict[str, str]) -> DataFrame:
+    """One more row, with a value for each field named (case does not count) and none for others."""
+    own = {resolve(df.columns, k, True): v for k, v in values.items()}
+    row = df.sparkSession.range(1).select(*(F.lit(own.get(c)).cast(t).alias(c) for c, t in df.dtypes))
+    return df.unionAll(row)
+
+
 def text_condition(df: DataFrame, field: str, text: str) -> Column:
     return F.lower(col(resolve(df.columns, field)).cast("string")).contains(text.lower())
 
@@ -78,6 +106,14 @@ def add_range_label(df: DataFrame, name: str, field: str, ranges: list[tuple[flo
     return df.withColumn(unique_name(name, df.columns), out.otherwise(F.lit(otherwise)))
 
 
+def add_membership(df: DataFrame, name: str, field: str, values: list[str], label: str = "Y", otherwise: str = "", ignore_case: bool = True) -> DataFrame:
+    """A label where the trimmed cell is in a list."""
+    c = strip(col(resolve(df.columns, field)).cast("string"))
+    own = [v.strip().lower() if ignore_case else v.strip() for v in values]
+    hit = (F.lower(c) if ignore_case else c).isin(own)
+    return df.withColumn(unique_name(name, df.columns), F.when(hit, F.lit(label)).otherwise(F.lit(otherwise)))
+
+
 @dataclass(frozen=True)
 class Replacement:
     field: str

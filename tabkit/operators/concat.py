@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_cell, col
+from .columns import drop_blank_rows
 
 STRICT, COMPATIBLE, NONE = "strict", "compatible", "none"
 
@@ -46,31 +47,54 @@ def concat_frames(frames: list[tuple[str, DataFrame]], mode: str = STRICT, on_mi
     return out
 
 
-def drop_reason(cells: list[Column], min_populated: int = 2, header: list[str] | None = None) -> Column:
-    """Why a row is dropped, or null: blank, repeated header, too few cells, a year alone, a number alone."""
+def drop_reason(cells: list[Column], min_populated: int = 2, header: list[str] | None = None, width: Column | None = None) -> Column:
+    """Why a row is dropped, or null: blank, wrong width (given the row's number of cells), repeated header, too few cells, a year alone, a number alone."""
     cells = [F.coalesce(c, F.lit("")) for c in cells]
     filled = sum((F.when(c != "", 1).otherwise(0) for c in cells), F.lit(0))
     why = F.when(filled == 0, "blank row")
+    if width is not None:
+        why = why.when(width != len(cells), "wrong width")
     if header:
         why = why.when(reduce(lambda a, b: a & b, (c == F.lit(h) for c, h in zip(cells, header, strict=True))), "repeated header")
     if len(cells) > 1:
         if len(cells) == 4:
-            why = why.when((filled == 1) & cells[3].rlike(r"^\d{4}$"), "year alone")
+            why = why.when((filled == 1) & cells[3].rlike(r"^\d{4,}$"), "year alone")
         why = why.when((filled == 1) & F.concat(*cells).rlike(r"^\d{4}$"), "number alone")
         why = why.when(filled < min_populated, "too few cells")
     return why
 
 
-def with_reason(df: DataFrame, min_populated: int = 2, header: list[str] | None = None, name: str = "drop_reason", normal_form: bool = True) -> DataFrame:
+def with_reason(df: DataFrame, min_populated: int = 2, header: list[str] | None = None, name: str = "drop_reason", normal_form: bool = True, width: str | None = None) -> DataFrame:
+    """``width`` names a column with the number of cells that a row was read with."""
     clean = df.select(*(clean_cell(c, normal_form).alias(c) if t == "string" else col(c) for c, t in df.dtypes))
-    return clean.withColumn(name, drop_reason([col(c).cast("string") for c in df.columns], min_populated, header))
+    return clean.withColumn(name, drop_reason([col(c).cast("string") for c in df.columns if c != width], min_populated, header, col(width) if width else None))
 
 
-def hygiene(df: DataFrame, min_populated: int = 2, header: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+def hygiene(df: DataFrame, min_populated: int = 2, header: list[str] | None = None, width: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Rows to keep, and dropped rows with a reason."""
-    r = with_reason(df, min_populated, header)
+    r = with_reason(df, min_populated, header, width=width)
     return r.where("drop_reason is null").drop("drop_reason"), r.where("drop_reason is not null")
 
 
+def hygiene_counts(df: DataFrame, source: str, min_populated: int = 2, header: list[str] | None = None, normal_form: bool = True) -> DataFrame:
+    """Rows appended and dropped of each source; blank rows are neither."""
+    cells = [clean_cell(col(c).cast("string"), normal_form) for c in df.columns if c != source]
+    reasons = df.select(col(source).alias("source"), drop_reason(cells, min_populated, header).alias("why"))
+    return reasons.groupBy("source").agg(F.count_if(F.col("why").isNull()).alias("rows_appended"), F.count_if(F.col("why") != "blank row").alias("rows_dropped"))
+
+
+def concat_two(first: DataFrame, second: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Both tables' rows by place, without blank ones, and a warning if headers differ; then the second's header is a row of its own."""
+    if len(first.columns) != len(second.columns):
+        raise ValueError(f"{len(first.columns)} and {len(second.columns)} fields")
+    rows, warnings = second, []
+    if not same_header(first.columns, second.columns, COMPATIBLE):
+        warnings.append("headers differ: the second one is kept as a row")
+        head = second.sparkSession.range(1).select(*(F.lit(c).alias(c) for c in second.columns))
+        rows = head.unionAll(second.select(*(col(c).cast("string") for c in second.columns)))
+        first = first.select(*(col(c).cast("string").alias(c) for c in first.columns))
+    return drop_blank_rows(first.unionAll(rows)), warnings
+
+
 def source_counts(df: DataFrame, source: str) -> DataFrame:
     return df.groupBy(col(source).alias("source")).agg(F.count("*").alias("rows_appended"))

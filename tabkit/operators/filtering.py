@@ -10,7 +10,7 @@ from ..functions.rules import RuleSet
 
 def filter_select(df: DataFrame, rules: RuleSet) -> DataFrame:
     """Rows that all rules hold for; no rules keep every row."""
-    return df.filter(rules.column(df)) if rules.rules else df
+    return df.filter(rules.condition(df)) if rules.rules else df
 
 
 def filter_omit(df: DataFrame, rules: RuleSet) -> DataFrame:
@@ -18,7 +18,9 @@ def filter_omit(df: DataFrame, rules: RuleSet) -> DataFrame:
     return df.filter(~rules.column(df)) if rules.rules else df
 
 
-delete_by_condition = filter_omit
+def delete_by_condition(df: DataFrame, rules: RuleSet) -> DataFrame:
+    """The same under its other name; a deletion without rules deletes nothing."""
+    return filter_omit(df, rules)
 
 
 def flag_by_rules(df: DataFrame, rules: RuleSet, name: str = "matched") -> DataFrame:

@@ -11,8 +11,9 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.fields import unique_name
-from ..functions.text import clean_cell, col, is_digits, strip, zero_fill_digits
+from ..functions.fields import UnknownField, unique_name
+from ..functions.text import clean_cell, col, is_digits, is_whole, strip, zero_fill_digits
+from .columns import drop_blank_rows
 
 
 @dataclass(frozen=True)
@@ -26,8 +27,21 @@ class KeyStyle:
     widths: tuple[int, ...] | None = None
 
 
-def key_cell(c: Column | str, style: KeyStyle, width: int = 0) -> Column:
+#: Named styles: ``clean`` deletes invisible characters and takes compatibility forms; ``trim_pad`` trims and pads digits
+#: (both as splits and merges by key do); ``record`` and ``denorm`` take cells as they are but for edge blanks, with and without case.
+PROFILES = {
+    "key_clean": KeyStyle(clean=True, zero_pad=True),
+    "key_trim_pad": KeyStyle(zero_pad=True),
+    "key_record": KeyStyle(ignore_case=False),
+    "key_denorm": KeyStyle(),
+}
+
+
+def key_cell(c: Column | str, style: KeyStyle, width: int = 0, kind: str = "string") -> Column:
+    """``kind`` is the column's type; whole numbers need no cleaning."""
     t = F.coalesce(col(c).cast("string"), F.lit(""))
+    if is_whole(kind):
+        return zero_fill_digits(t, width) if style.zero_pad and width else t
     t = clean_cell(t) if style.clean else strip(t) if style.trim else t
     t = F.lower(t) if style.ignore_case else t
     return zero_fill_digits(t, width) if style.zero_pad and width else t
@@ -35,13 +49,15 @@ def key_cell(c: Column | str, style: KeyStyle, width: int = 0) -> Column:
 
 def learn_widths(key: DataFrame, fields: list[str], style: KeyStyle) -> tuple[int, ...]:
     """The longest digit cell of each key field, in one aggregate."""
-    cells = [key_cell(f, style) for f in fields]
+    kinds = dict(key.dtypes)
+    cells = [key_cell(f, style, kind=kinds[f]) for f in fields]
     row = key.agg(*(F.max(F.when(is_digits(c), F.length(c))).alias(f"w{i}") for i, c in enumerate(cells))).first()
     return tuple(row[i] or 0 for i in range(len(fields)))
 
 
 def keyed(df: DataFrame, fields: list[str], style: KeyStyle, widths: tuple[int, ...]) -> DataFrame:
-    return df.select("*", *(key_cell(f, style, w).alias(f"__k{i}") for i, (f, w) in enumerate(zip(fields, widths, strict=True))))
+    kinds = dict(df.dtypes)
+    return df.select("*", *(key_cell(f, style, w, kinds[f]).alias(f"__k{i}") for i, (f, w) in enumerate(zip(fields, widths, strict=True))))
 
 
 def _sides(main: DataFrame, key: DataFrame, on: list[tuple[str, str]], style: KeyStyle) -> tuple[DataFrame, DataFrame, list[str]]:
@@ -72,7 +88,9 @@ def flag_by_key(main: DataFrame, key: DataFrame, on: list[tuple[str, str]], styl
     return m.join(k, names, "left").select(*map(col, main.columns), F.coalesce("__hit", F.lit(False)).alias(name))
 
 
-def split_by_key(main: DataFrame, key: DataFrame, on: list[tuple[str, str]], style: KeyStyle = KeyStyle()) -> tuple[DataFrame, DataFrame]:
+def split_by_key(main: DataFrame, key: DataFrame, on: list[tuple[str, str]], style: KeyStyle = KeyStyle(), skip_blank: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Rows of main with and without their key; rows of blank cells alone are in neither, unless asked for."""
+    main = drop_blank_rows(main) if skip_blank else main
     return keep_matching(main, key, on, style), keep_nonmatching(main, key, on, style)
 
 
@@ -110,5 +128,30 @@ def lookup(main: DataFrame, table: DataFrame, on: list[tuple[str, str]], append:
     return m.join(t, [*names, "__n"], "left").select(*out, *added)
 
 
+def lookup_sorted(main: DataFrame, table: DataFrame, on: list[tuple[str, str]], append: list[str], order_by: list[str], mode: str = "first", style: KeyStyle = KeyStyle()) -> DataFrame:
+    """A lookup in the order of main's padded keys."""
+    widths = (0,) * len(on)
+    if style.zero_pad:
+        widths = style.widths or tuple(map(max, learn_widths(main, [m for m, _ in on], style), learn_widths(table, [k for _, k in on], style)))
+        style = replace(style, widths=widths)
+    out = lookup(main, table, on, append, order_by, mode, style)
+    kinds = dict(out.dtypes)
+    return out.orderBy(*(key_cell(m, style, w, kinds[m]) for (m, _), w in zip(on, widths, strict=True)))
+
+
+def lookup_counts(main: DataFrame, table: DataFrame, on: list[tuple[str, str]], style: KeyStyle = KeyStyle()) -> DataFrame:
+    """How many rows of main a lookup finds and misses."""
+    both = match_counts(flag_by_key(main, table, on, style))
+    return both.select("rows_read", F.col("rows_matched").alias("hits"), F.col("rows_nonmatched").alias("misses"))
+
+
+def lookup_table(df: DataFrame, keys: list[str], append: list[str]) -> DataFrame:
+    """A loaded table as a lookup table: its key and appended fields alone, trimmed; fields must exist, rows with a missing cell go."""
+    if missing := [f for f in (*keys, *append) if f not in df.columns]:
+        raise UnknownField(f"no fields {missing} in {df.columns}")
+    names = list(dict.fromkeys((*keys, *append)))
+    return df.select(*(strip(col(f).cast("string")).alias(f) for f in names)).na.drop()
+
+
 def match_counts(flagged: DataFrame, name: str = "matched") -> DataFrame:
     return flagged.agg(F.count("*").alias("rows_read"), F.count_if(col(name)).alias("rows_matched"), F.count_if(~col(name)).alias("rows_nonmatched"))

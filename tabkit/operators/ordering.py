@@ -2,27 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import col, number, strip
+from ..functions.text import col, is_numeric, number, strip
+from .checkpoints import written
 
 
-def sort_keys(fields: list[str], numeric_aware: bool = True) -> list[Column]:
-    """Blanks, then numbers by value, then text; or plain text with nulls last."""
+def sort_keys(fields: list[str], numeric_aware: bool = True, df: DataFrame | None = None) -> list[Column]:
+    """Blanks, then numbers by value, then text; or plain text with nulls last.  Numeric columns of ``df`` are their own keys."""
     if not numeric_aware:
         return [col(f).cast("string").asc_nulls_last() for f in fields]
+    kinds = dict(df.dtypes) if df is not None else {}
     out = []
     for f in fields:
+        if is_numeric(kinds.get(f, "string")):
+            out.append(col(f))
+            continue
         t = strip(F.coalesce(col(f).cast("string"), F.lit("")))
         n = number(t)
         out += [F.when(t == "", 0).when(n.isNotNull(), 1).otherwise(2), n, F.when(n.isNull(), t)]
     return out
 
 
-def sort_records(df: DataFrame, fields: list[str], numeric_aware: bool = True, ordinal: list[str] | None = None, descending: bool = False) -> DataFrame:
-    """A total order; ``ordinal`` fields keep the order of equal rows."""
-    keys = [k.desc() for k in sort_keys(fields)] if descending and numeric_aware else [col(f).desc() for f in fields] if descending else sort_keys(fields, numeric_aware)
+def sort_records(df: DataFrame, fields: list[str], numeric_aware: bool = True, ordinal: list[str] | None = None, descending: bool | list[bool] = False, nulls_first: bool | None = None) -> DataFrame:
+    """A total order; ``ordinal`` fields keep the order of equal rows.
+
+    ``descending`` is for all fields or one each.  ``nulls_first`` puts null
+    cells before or after all others, whatever the direction; without it blanks
+    come first in numeric-aware order and last in plain order.
+    """
+    down = descending if isinstance(descending, list) else [descending] * len(fields)
+    if len(down) != len(fields):
+        raise ValueError(f"{len(fields)} fields, {len(down)} directions")
+    keys = []
+    for f, turned in zip(fields, down, strict=True):
+        if nulls_first is not None:
+            keys.append(col(f).isNull().desc() if nulls_first else col(f).isNull().asc())
+        if numeric_aware:
+            keys += [k.desc() if turned else k for k in sort_keys([f], True, df)]
+        else:
+            keys.append(col(f).cast("string").desc_nulls_last() if turned else col(f).cast("string").asc_nulls_last())
     return df.orderBy(*keys, *map(col, ordinal or []))
 
 
@@ -56,6 +76,17 @@ def duplicates_only(df: DataFrame, fields: list[str], rewrite_keys: bool = False
     return keyed.join(many, names, "left_semi").select(*(kept.get(c, col(c)).alias(c) for c in df.columns))
 
 
+def dedupe(df: DataFrame, fields: list[str], mode: str = "dedupe", order_by: list[str] | None = None, rewrite_keys: bool = False) -> DataFrame:
+    """By mode: ``dedupe`` keeps the first row of each key, ``keep_duplicates_only`` all rows of keys that occur again, ``cancel`` leaves the table."""
+    if mode == "cancel":
+        return df
+    if mode == "keep_duplicates_only":
+        return duplicates_only(df, fields, rewrite_keys)
+    if mode != "dedupe":
+        raise ValueError(f"no dedupe mode {mode!r}")
+    return dedupe_first(df, fields, order_by or df.columns, rewrite_keys)
+
+
 def dedupe_counts(df: DataFrame, fields: list[str]) -> DataFrame:
     each = df.groupBy(*(dedupe_key(f).alias(f"__k{i}") for i, f in enumerate(fields))).agg(F.count("*").alias("n"))
     return each.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows_before"), F.count("*").alias("rows_after"), (F.coalesce(F.sum("n"), F.lit(0)) - F.count("*")).alias("rows_removed"))
@@ -71,13 +102,12 @@ def numbered(df: DataFrame, order_by: list[Column], name: str = "pos") -> DataFr
 
     Rows are range-partitioned and sorted; each part's count gives the next
     part's offset, so no task sees all rows.  Parts are few, and only their
-    counts reach the driver.
+    counts reach the driver.  The table is written, once, while the frame is
+    being made.
     """
     flat = df.select("*", *(c.alias(f"__o{i}") for i, c in enumerate(order_by)))
     names = [f"__o{i}" for i in range(len(order_by))]
     parts = flat.repartitionByRange(*names).sortWithinPartitions(*names).withColumn("__p", F.spark_partition_id())
-    from .checkpoints import written
-
     parts = written(parts.withColumn("__m", F.monotonically_increasing_id()))
     sizes = parts.groupBy("__p").agg(F.count("*").alias("n"), F.min("__m").alias("first")).collect()
     offset, rows = 0, []
@@ -87,7 +117,3 @@ def numbered(df: DataFrame, order_by: list[Column], name: str = "pos") -> DataFr
     table = df.sparkSession.createDataFrame(rows or [(-1, 0)], "__p int, __shift long")
     return parts.join(F.broadcast(table), "__p").select(*map(col, df.columns), (F.col("__m") + F.col("__shift") + 1).alias(name))
 
-
-def windowed_numbers(df: DataFrame, order_by: list[Column], name: str = "pos") -> DataFrame:
-    """The same for tables that fit one task."""
-    return df.withColumn(name, F.row_number().over(Window.orderBy(*order_by)))

@@ -2,27 +2,38 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
-from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import col, currency, decimals, guessed_type, sign_style, strip
 
-# Words in a field's name and the type they tell.
-NAME_HINTS = {
-    "str": ["zip", "postal", "state", "province", "abbr", "code"],
-    "int": ["year"],
-    "float": ["amount", "amt", "total", "balance", "bpi"],
-}
+# Words in a field's name and the type they tell, in the order in which they are looked for.
+POSTAL = ["zip", "postal", "postcode"]
+YEAR = "year"
+MONEY = ["amount", "amt", "total", "balance", "bpi"]
+CODES = ["state", "province", "abbr", "code"]
 
 STRICT, PAD_ONLY, SKIP, NULLABLE_INT = "strict", "pad_only", "skip", "nullable_int"
 
 
+def hint(name: str) -> tuple[str, str] | None:
+    """Type and flag that a field's name tells: postal codes, years (as last or later word; blanks allowed), money, codes."""
+    lower = name.strip().lower()
+    if any(w in lower for w in POSTAL):
+        return "str", PAD_ONLY
+    if lower.endswith(YEAR) or f" {YEAR}" in lower:
+        return "int", NULLABLE_INT
+    if any(w in lower for w in MONEY):
+        return "float", ""
+    return ("str", "") if any(w in lower for w in CODES) else None
+
+
 def hinted_type(name: str) -> str | None:
-    lower = name.lower()
-    return next((kind for kind, words in NAME_HINTS.items() if any(w in lower for w in words)), None)
+    known = hint(name)
+    return known and known[0]
 
 
 def default_flag(kind: str, precision: int = 0) -> str:
@@ -52,47 +63,88 @@ class Profile:
         return next((f for f in self.fields if f.name == name), None)
 
 
-def _long(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row a cell, in one scan: field and value."""
-    cells = F.array(*(F.struct(F.lit(c).alias("field"), F.coalesce(col(c).cast("string"), F.lit("")).alias("value")) for c in columns))
-    return df.select(F.inline(cells))
+def _in_one(df: DataFrame, columns: list[str], measures: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """field and measures of each column: one aggregate over all columns, turned into rows afterwards."""
+    text = {c: F.coalesce(col(c).cast("string"), F.lit("")) for c in columns}
+    row = df.agg(*(made(text[c]).alias(f"{i} {name}") for i, c in enumerate(columns) for name, made in measures.items()))
+    each = (F.struct(F.lit(c).alias("field"), *(F.col(f"`{i} {name}`").alias(name) for name in measures)) for i, c in enumerate(columns))
+    return row.select(F.inline(F.array(*each)))
+
+
+_LENGTHS = {"max_length": lambda c: F.max(F.length(strip(c))), "max_decimals": lambda c: F.max(decimals(c))}
 
 
 def lengths(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """field, max_length and max_decimals over all rows."""
-    return _long(df, columns or df.columns).groupBy("field").agg(F.max(F.length(strip("value"))).alias("max_length"), F.max(decimals("value")).alias("max_decimals"))
+    return _in_one(df, columns or df.columns, _LENGTHS)
 
 
 def amount_lengths(df: DataFrame, columns: list[str]) -> DataFrame:
     """Lengths of amounts without $, commas and parentheses."""
-    bare = F.regexp_replace(strip("value"), r"[$,() ]", "")
-    return _long(df, columns).groupBy("field").agg(F.max(F.length(bare)).alias("max_length"), F.max(F.when(currency("value").isNotNull(), decimals(bare)).otherwise(0)).alias("max_decimals"))
+    bare = lambda c: F.regexp_replace(strip(c), r"[$,() ]", "")
+    return _in_one(df, columns, {"max_length": lambda c: F.max(F.length(bare(c))), "max_decimals": lambda c: F.max(F.when(currency(c).isNotNull(), decimals(bare(c))).otherwise(0))})
+
+
+TYPES, SIGNS = ["float", "int", "str"], ["leading", "none", "paren", "str", "trailing"]
+
+
+def _votes(what: Callable[[Column], Column], kinds: list[str]) -> dict[str, Callable[[Column], Column]]:
+    return {k: lambda c, k=k: F.count_if((what(c) == k) & (strip(c) != "")) for k in kinds}
 
 
-def _votes(df: DataFrame, columns: list[str], what, name: str) -> DataFrame:
-    """The most frequent kind of each field's cells that are not blank; ties go to the first in order."""
-    each = _long(df, columns).where(strip("value") != "").groupBy("field", what("value").alias(name)).agg(F.count("*").alias("n"))
-    return each.groupBy("field").agg(F.min_by(name, F.struct(-F.col("n"), F.col(name))).alias(name))
+def _elected(df: DataFrame, columns: list[str], what: Callable[[Column], Column], kinds: list[str], name: str) -> DataFrame:
+    """The most frequent kind of each field's cells that are not blank, of fields that have any; ties go to the first in order."""
+    votes = _in_one(df, columns, _votes(what, kinds))
+    most = F.greatest(*(F.col(k) for k in kinds))
+    first = F.coalesce(*(F.when(F.col(k) == most, F.lit(k)) for k in kinds))
+    return votes.where(most > 0).select("field", first.alias(name))
 
 
 def types(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    return _votes(df, columns or df.columns, guessed_type, "kind")
+    return _elected(df, columns or df.columns, guessed_type, TYPES, "kind")
 
 
 def sign_styles(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    return _votes(df, columns or df.columns, sign_style, "sign")
+    return _elected(df, columns or df.columns, sign_style, SIGNS, "sign")
 
 
-def build_profile(df: DataFrame, sample_rows: int | None = None, columns: list[str] | None = None) -> Profile:
-    """A profile of every field, by majority over all rows or a head of them (1: the first row alone)."""
+def sample_head(df: DataFrame, rows: int, order_by: list[str] | None = None) -> DataFrame:
+    """The first rows in an order, all columns' by default, so that every reading gives the same."""
+    return df.orderBy(*map(col, order_by or df.columns)).limit(rows)
+
+
+def build_profile(df: DataFrame, sample_rows: int | None = None, columns: list[str] | None = None, order_by: list[str] | None = None, strict: bool = False) -> Profile:
+    """A profile of every field, by majority over all rows or a head of them (1: the first row alone), in one aggregate.
+
+    Floats are only padded, as integers of a name that hints at a year may be
+    blank; ``strict`` formats floats to the precision found.
+    """
     columns = columns or df.columns
-    rows = df.limit(sample_rows) if sample_rows else df
-    by_field = reduce(lambda a, b: a.join(b, "field", "left"), [lengths(rows, columns), types(rows, columns), sign_styles(rows, columns)])
-    got = {r["field"]: r for r in by_field.collect()}
+    rows = sample_head(df, sample_rows, order_by) if sample_rows else df
+    votes = {f"t {k}": v for k, v in _votes(guessed_type, TYPES).items()} | {f"s {k}": v for k, v in _votes(sign_style, SIGNS).items()}
+    got = {r["field"]: r for r in _in_one(rows, columns, _LENGTHS | votes).collect()}
     out = []
     for c in columns:
-        r = got.get(c)
-        kind = hinted_type(c) or (r and r["kind"]) or "str"
-        precision = (r and r["max_decimals"]) or 0
-        out.append(FieldProfile(c, kind, (r and r["max_length"]) or 0, precision, (r and r["sign"]) or "none", default_flag(kind, 0)))
+        r = got[c]
+        kind = max(TYPES, key=lambda k: r[f"t {k}"]) if any(r[f"t {k}"] for k in TYPES) else "str"
+        sign = max(SIGNS, key=lambda k: r[f"s {k}"]) if any(r[f"s {k}"] for k in SIGNS) else "none"
+        known = hint(c)
+        kind = known[0] if known else kind
+        precision = r["max_decimals"] or 0
+        flag = known[1] if known and known[1] else default_flag(kind, precision if strict else 0)
+        out.append(FieldProfile(c, kind, r["max_length"] or 0, precision, sign, flag))
     return Profile(out)
+
+
+def blank_profile(columns: list[str]) -> Profile:
+    """A template to be filled in: every field is text that is left as it is."""
+    return Profile([FieldProfile(c, flag=SKIP) for c in columns])
+
+
+def problems(profile: Profile, columns: list[str]) -> list[str]:
+    """What is wrong with a profile for a table: unknown, missing or repeated fields, and widths that hold nothing."""
+    names = [f.name for f in profile.fields]
+    out = [f"no field {n!r}" for n in names if n not in columns]
+    out += [f"field {c!r} has no profile" for c in columns if c not in names]
+    out += [f"field {n!r} is repeated" for n in dict.fromkeys(names) if names.count(n) > 1]
+    return out + [f"field {f.name!r}: length {f.length}, precision {f.precision}" for f in profile.fields if f.length < 0 or f.precision < 0 or f.precision > 0 and f.kind != "float"]

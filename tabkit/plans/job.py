@@ -6,10 +6,12 @@ import json
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.rules import Flags, RuleSet, rule
-from ..operators import columns, filtering, keyjoin, normalize, ordering, profile
+from ..operators import columns, compare, concat, filtering, keyjoin, normalize, ordering, profile
 
 STEPS: dict[str, Callable] = {}
 
@@ -22,6 +24,23 @@ def step(name: str):
     return add
 
 
+class JobError(ValueError):
+    """A job that cannot run; ``errors`` says why, one by one."""
+
+    def __init__(self, errors: list[str]):
+        super().__init__("; ".join(errors))
+        self.errors = errors
+
+
+@dataclass
+class Outcome:
+    """What a job made: a frame, or none, and what went wrong."""
+
+    df: DataFrame | None
+    warnings: list[str]
+    errors: list[str]
+
+
 @dataclass
 class JobSpec:
     """steps: dicts with ``op`` and its options, run in order; each step sees what the one before made."""
@@ -43,7 +62,7 @@ class JobSpec:
     def apply(self, df: DataFrame, tables: dict[str, DataFrame] | None = None) -> tuple[DataFrame, list[str]]:
         """The composed frame and warnings; nothing runs yet but what learns widths and profiles."""
         if bad := self.check():
-            raise ValueError("; ".join(bad))
+            raise JobError(bad)
         warnings: list[str] = []
         for s in self.steps:
             options = {k: v for k, v in s.items() if k != "op"}
@@ -52,6 +71,23 @@ class JobSpec:
             warnings += new
         return df, warnings
 
+    def run(self, df: DataFrame, tables: dict[str, DataFrame] | None = None) -> Outcome:
+        """The same without raising: a step that fails is left out and named among the errors."""
+        out = Outcome(df, [], self.check())
+        for k, s in enumerate(self.steps):
+            if s.get("op") not in STEPS:
+                continue
+            try:
+                out.df, new = JobSpec([s]).apply(out.df, tables)
+                out.warnings += new
+            except (ValueError, KeyError, TypeError, AnalysisException) as e:
+                out.errors.append(f"step {k + 1}, {s['op']}: {e}")
+        return out
+
+    def preview(self, df: DataFrame, tables: dict[str, DataFrame] | None = None, rows: int = 10) -> list[dict]:
+        """Some rows of the result."""
+        return [r.asDict() for r in self.apply(df, tables)[0].limit(rows).collect()]
+
 
 def _rules(rules: list[dict], flags: dict | None) -> RuleSet:
     return RuleSet(tuple(rule(**r) for r in rules), Flags(**(flags or {})))
@@ -108,5 +144,95 @@ def _lookup(df, tables, table, on, append, order_by, mode="first", style=None):
 
 
 @step("normalize")
-def _normalize(df, tables, mode="stream", sample_rows=None):
-    return normalize.normalize(df, profile.build_profile(df, sample_rows), mode)
+def _normalize(df, tables, mode="stream", sample_rows=None, strict=False, fields=None):
+    """By a profile that is built, or given as a list of its fields' values."""
+    p = profile.Profile([profile.FieldProfile(**f) for f in fields]) if fields else profile.build_profile(df, sample_rows, strict=strict)
+    return normalize.normalize(df, p, mode), profile.problems(p, df.columns) if fields else []
+
+
+@step("delete_by_condition")
+def _delete(df, tables, rules, flags=None):
+    return filtering.delete_by_condition(df, _rules(rules, flags))
+
+
+@step("flag_by_rules")
+def _flag(df, tables, rules, flags=None, name="matched"):
+    return filtering.flag_by_rules(df, _rules(rules, flags), name)
+
+
+@step("split_by_key")
+def _split(df, tables, table, on, style=None, name="matched"):
+    """Both sides in one frame, by a flag."""
+    return keyjoin.flag_by_key(columns.drop_blank_rows(df), tables[table], [tuple(p) for p in on], keyjoin.KeyStyle(**(style or {})), name)
+
+
+@step("dedupe_by_mode")
+def _by_mode(df, tables, fields, mode="dedupe", order_by=None, rewrite_keys=False):
+    return ordering.dedupe(df, fields, mode, order_by, rewrite_keys)
+
+
+@step("top")
+def _top(df, tables, fields, n, numeric_aware=True, ordinal=None):
+    return ordering.top_records(df, fields, n, numeric_aware, ordinal)
+
+
+@step("add_conditional")
+def _conditional(df, tables, values, rules, flags=None, otherwise=""):
+    return columns.add_conditional(df, values, _rules(rules, flags).column(df), otherwise)
+
+
+@step("add_date_part")
+def _date_part(df, tables, name, field, part):
+    return columns.add_date_part(df, name, field, part)
+
+
+@step("add_range_label")
+def _range_label(df, tables, name, field, ranges, otherwise=""):
+    return columns.add_range_label(df, name, field, [tuple(r) for r in ranges], otherwise)
+
+
+@step("add_membership")
+def _membership(df, tables, name, field, values, label="Y", otherwise=""):
+    return columns.add_membership(df, name, field, values, label, otherwise)
+
+
+@step("add_fixed_row")
+def _fixed_row(df, tables, values):
+    return columns.add_fixed_row(df, values)
+
+
+@step("clean")
+def _clean(df, tables, normal_form=True):
+    return columns.clean_cells(df, normal_form)
+
+
+@step("trim")
+def _trim(df, tables, upper=False):
+    return ordering.normalize_rows(df, upper)
+
+
+@step("drop_blank")
+def _drop_blank(df, tables):
+    return columns.drop_blank_rows(df)
+
+
+@step("fill_missing")
+def _fill(df, tables):
+    return columns.fill_missing(df)
+
+
+@step("concat")
+def _concat(df, tables, names, mode="strict", on_mismatch="skip", source=None):
+    out = concat.concat_frames([("main", df), *((n, tables[n]) for n in names)], mode, on_mismatch, source)
+    return out.df, [f"{n}: {why}" for n, why in out.skipped]
+
+
+@step("hygiene")
+def _hygiene(df, tables, min_populated=2, header=None):
+    return concat.hygiene(df, min_populated, header)[0]
+
+
+@step("compare")
+def _compare(df, tables, table, order_by, omit=()):
+    keys = [F.col(f"`{c}`") for c in order_by]
+    return compare.paired(df, tables[table], keys, keys, omit=list(omit))

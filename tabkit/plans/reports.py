@@ -2,6 +2,24 @@
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+
+@contextmanager
+def run_log(path: str, name: str = "tabkit") -> Iterator[logging.Logger]:
+    """A logger whose file is written anew for each run."""
+    log, file = logging.getLogger(name), logging.FileHandler(path, mode="w", encoding="utf-8")
+    file.setFormatter(logging.Formatter("%(asctime)s %(levelname)s %(message)s"))
+    log.addHandler(file)
+    log.setLevel(logging.INFO)
+    try:
+        yield log
+    finally:
+        log.removeHandler(file)
+        file.close()
+
 
 def control_report(title: str, paths: dict[str, str], totals: dict[str, int], fields: list[str] | None = None, warnings: list[str] | None = None) -> str:
     width = max([len(k) for k in (*paths, *totals)], default=0) + 2

@@ -12,7 +12,9 @@ from .functions.rules import DateRule, Flags, NumericRule, RuleSet, TextRule
 from .functions.text import clean_cell, collapse_spaces, currency, is_digits, left_fill, strip_quotes
 from .operators import columns as C
 from .operators import compare, concat, filtering, keyjoin, normalize, ordering, profile
+from .operators.checkpoints import new_path
 from .operators.profile import FieldProfile, Profile
+from .sources import delimited
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -488,6 +490,239 @@ def normalize_change_log(spark, d):
     return normalize.change_log(table(spark, d, "nation"), p, "n_nationkey").groupBy("status").agg(F.count("*").alias("n"))
 
 
+@query("select s_suppkey, lpad(format('{:,.1f}', s_acctbal), 12, ' ') as s_acctbal from (select s_suppkey, round(cast(s_acctbal as decimal(18,2)), 1) as s_acctbal from supplier)")
+def normalize_float(spark, d):
+    """A strict float field has its precision, thousands and width."""
+    s = table(spark, d, "supplier").select("s_suppkey", F.round(F.col("s_acctbal").cast("decimal(18,2)"), 1).cast("string").alias("s_acctbal"))
+    return normalize.normalize(s, Profile([FieldProfile("s_acctbal", "float", 12, 1, flag="strict")]))
+
+
+@query("select p_partkey, case when p_size % 3 = 0 then '' else lpad(cast(p_size as varchar), 4, ' ') end as model_year from part")
+def normalize_nullable_int(spark, d):
+    p = table(spark, d, "part").select("p_partkey", F.when(F.col("p_size") % 3 != 0, F.col("p_size").cast("string")).otherwise("").alias("model_year"))
+    kind, flag = profile.hint("model_year")
+    return normalize.normalize(p, Profile([FieldProfile("model_year", kind, 4, flag=flag)]))
+
+
+@query("select s_suppkey, case when s_suppkey % 4 = 0 then '[ERROR: none]' else lpad(cast(cast(s_acctbal as decimal(18,2)) as varchar), 14, '0') end as amount from supplier where s_acctbal >= 0")
+def normalize_record_float(spark, d):
+    s = table(spark, d, "supplier").where("s_acctbal >= 0")
+    s = s.select("s_suppkey", F.when(F.col("s_suppkey") % 4 == 0, "none").otherwise(F.col("s_acctbal").cast("decimal(18,2)").cast("string")).alias("amount"))
+    return normalize.normalize(s, Profile([FieldProfile("amount", "float", 14, 2, flag="strict")]), "record")
+
+
+@query("select * from (values ('state_total', 'float', 'pad_only'), ('yearly_amount', 'float', 'pad_only'), ('model_year', 'int', 'nullable_int'), ('zip_year', 'str', 'pad_only'), ('abbr', 'str', 'pad_only'), ('n_nationkey', 'int', 'strict')) t(field, kind, flag)")
+def profile_hints(spark, d):
+    n = F.col("n_nationkey").cast("string")
+    names = ["state_total", "yearly_amount", "model_year", "zip_year", "abbr", "n_nationkey"]
+    got = profile.build_profile(table(spark, d, "nation").select(*(n.alias(c) for c in names)))
+    return spark.createDataFrame([(f.name, f.kind, f.flag) for f in got.fields], "field string, kind string, flag string")
+
+
+@query("select 'p_retailprice' as field, 'float' as kind, max(length(p)) as length, max(length(rtrim(split_part(p, '.', 2), '0'))) as \"precision\" from (select cast(cast(p_retailprice as decimal(18,2)) as varchar) as p from part) union all select 'p_type', 'str', max(length(p_type)), 0 from part")
+def profile_built(spark, d):
+    """A strict profile: type, length and precision of each field, in one aggregate."""
+    p = table(spark, d, "part").select(F.col("p_retailprice").cast("decimal(18,2)").cast("string").alias("p_retailprice"), "p_type")
+    got = profile.build_profile(p, strict=True)
+    return spark.createDataFrame([(f.name, f.kind, f.length, f.precision) for f in got.fields], "field string, kind string, length long, precision long")
+
+
+# more of keys, order and columns
+
+
+@query("select o_orderkey from orders where not (o_orderstatus = 'F')")
+def delete_by_condition(spark, d):
+    return filtering.delete_by_condition(table(spark, d, "orders"), RuleSet((TextRule("o_orderstatus", "equals", ("f",)),))).select("o_orderkey")
+
+
+@query("select o.o_orderkey, c.c_name from orders o join customer c on o.o_custkey = c.c_custkey")
+def lookup_zero_pad_both(spark, d):
+    """Main keys are padded wider than the lookup's."""
+    main = table(spark, d, "orders").select("o_orderkey", left_fill(F.col("o_custkey").cast("string"), 9).alias("cust"))
+    return keyjoin.lookup(main, table(spark, d, "customer"), [("cust", "c_custkey")], ["c_name"], ["c_custkey"], style=keyjoin.KeyStyle(zero_pad=True)).select("o_orderkey", "c_name")
+
+
+@query("select count(*) filter (where n_nationkey % 3 <> 0 and n_regionkey = 1) as matched, count(*) filter (where n_nationkey % 3 <> 0 and n_regionkey <> 1) as nonmatched from nation")
+def split_skips_blank(spark, d):
+    """Rows of blank cells are on neither side, though a blank key would match a blank key."""
+    n = table(spark, d, "nation")
+    blank = F.col("n_nationkey") % 3 == 0
+    main = n.select(F.when(blank, " ").otherwise(F.col("n_regionkey").cast("string")).alias("k"), F.when(~blank, F.col("n_name")).alias("name"))
+    key = spark.range(1).select(F.lit("1").alias("k")).union(spark.range(1).select(F.lit("")))
+    hit, miss = keyjoin.split_by_key(main, key, [("k", "k")])
+    return hit.agg(F.count("*").alias("matched")).crossJoin(miss.agg(F.count("*").alias("nonmatched")))
+
+
+@query("select c_custkey from customer where c_mktsegment = 'BUILDING'")
+def key_profile_clean(spark, d):
+    """Invisible characters and full-width letters in keys do not matter to the style ``key_clean``."""
+    main = table(spark, d, "customer").select("c_custkey", F.concat(F.lit("\ufeff"), F.translate("c_mktsegment", "BU", "\uff22\uff35"), F.lit("\u00a0")).alias("seg"))
+    key = spark.range(1).select(F.lit(" building").alias("seg"))
+    return keyjoin.keep_matching(main, key, [("seg", "seg")], keyjoin.PROFILES["key_clean"]).select("c_custkey")
+
+
+@query("select count(*) as rows_read, count(*) filter (where s_nationkey is not null) as hits, count(*) filter (where s_nationkey is null) as misses from nation left join (select distinct s_nationkey from supplier where s_acctbal > 0) on n_nationkey = s_nationkey")
+def lookup_hits(spark, d):
+    return keyjoin.lookup_counts(table(spark, d, "nation"), table(spark, d, "supplier").where("s_acctbal > 0"), [("n_nationkey", "s_nationkey")])
+
+
+@query("select n.n_nationkey, k.c_name from nation n join (select c_nationkey, c_name, row_number() over (partition by c_nationkey order by c_custkey) as rn from customer) k on k.rn = 1 and k.c_nationkey = n.n_nationkey")
+def lookup_in_key_order(spark, d):
+    return keyjoin.lookup_sorted(table(spark, d, "nation").select("n_nationkey"), table(spark, d, "customer"), [("n_nationkey", "c_nationkey")], ["c_name"], ["c_custkey"], style=keyjoin.KeyStyle(zero_pad=True))
+
+
+@query("select p_partkey, p_brand, p_size from part order by p_brand desc, p_size, p_partkey limit 40")
+def sort_directions(spark, d):
+    p = table(spark, d, "part").select("p_partkey", "p_brand", "p_size")
+    return ordering.sort_records(p, ["p_brand", "p_size", "p_partkey"], descending=[True, False, False]).limit(40)
+
+
+@query("select doc_id from documents where lower(trim(text)) in (select lower(trim(text)) from documents group by 1 having count(*) > 1)")
+def dedupe_mode_duplicates(spark, d):
+    return ordering.dedupe(table(spark, d, "documents"), ["text"], "keep_duplicates_only").select("doc_id")
+
+
+@query("select n_name, n_nationkey from nation")
+def choose_columns_from_one(spark, d):
+    return C.choose_columns(table(spark, d, "nation"), ["2", "1", "9"], from_one=True)[0]
+
+
+@query("select c_custkey, case when c_mktsegment in ('BUILDING', 'MACHINERY') then 'Y' else '' end as trade from customer")
+def add_membership(spark, d):
+    return C.add_membership(table(spark, d, "customer").select("c_custkey", "c_mktsegment"), "trade", "c_mktsegment", ["building", " Machinery "]).drop("c_mktsegment")
+
+
+@query("select r_regionkey, r_name from region union all select 99, 'NOWHERE'")
+def add_fixed_row(spark, d):
+    return C.add_fixed_row(table(spark, d, "region"), {"R_REGIONKEY": "99", "r_name": "NOWHERE"})
+
+
+@query("select n_nationkey, 'Stub' as \"APPENDED\" from nation")
+def add_default_constant(spark, d):
+    return C.add_constant(table(spark, d, "nation").select("n_nationkey"))
+
+
+@query("select p_partkey, replace(p_type, 'ECON', 'iron') as p_type from part")
+def replace_substring_mixed_case(spark, d):
+    """Old text and cells differ in case."""
+    p = table(spark, d, "part").select("p_partkey", "p_type")
+    return C.replace_values(p, [C.Replacement("p_type", "eCoN", "iron", False)])[0]
+
+
+@query("select cast(n_regionkey as varchar) as source, count(*) filter (where n_nationkey % 3 = 0) as rows_appended, count(*) filter (where n_nationkey % 3 = 1) as rows_dropped from nation group by 1")
+def concat_file_counts(spark, d):
+    n = table(spark, d, "nation")
+    k = F.col("n_nationkey") % 3
+    rows = n.select(F.col("n_regionkey").cast("string").alias("file"), F.when(k == 0, F.col("n_name")).otherwise("").alias("a"), F.when(k == 0, "x").when(k == 1, "2024").otherwise("").alias("b"))
+    return concat.hygiene_counts(rows, "file", normal_form=False)
+
+
+@query("select case when n_nationkey % 5 = 0 then 'year alone' when n_nationkey % 5 = 1 then 'wrong width' when n_nationkey % 5 = 2 then 'blank row' when n_nationkey % 5 = 3 then 'too few cells' else 'kept' end as reason, count(*) as n from nation group by 1")
+def concat_wrong_width(spark, d):
+    k = F.col("n_nationkey") % 5
+    cell = lambda *of: F.when(k.isin(*of), F.col("n_name")).otherwise("")
+    rows = table(spark, d, "nation").select(cell(1, 3, 4).alias("a"), cell(1, 4).alias("b"), cell(1, 4).alias("c"), F.when(k == 0, "2025").otherwise("").alias("d"), F.when(k == 1, 5).otherwise(4).alias("cells"))
+    return _reasons(concat.with_reason(rows, normal_form=False, width="cells"))
+
+
+@query("select cast(r_regionkey as varchar) as a, r_name as b from region union all select 'n_nationkey', 'n_name' union all select cast(n_nationkey as varchar), n_name from nation")
+def concat_two_headers(spark, d):
+    r = table(spark, d, "region").select(F.col("r_regionkey").cast("string").alias("a"), F.col("r_name").alias("b"))
+    return concat.concat_two(r, table(spark, d, "nation").select("n_nationkey", "n_name"))[0]
+
+
+# files
+
+
+def _odd(spark, d):
+    """Cells with delimiters, quotes, line breaks, blanks at the ends and none at all."""
+    c = table(spark, d, "customer")
+    k = F.col("c_custkey") % 5
+    odd = F.when(k == 0, F.concat(F.col("c_name"), F.lit(', "x"'))).when(k == 1, F.concat(F.lit(" "), F.col("c_name"), F.lit("  "))).when(k == 2, F.concat(F.lit("a;|b\t"), F.col("c_name"))).when(k == 3, F.lit("")).otherwise(F.col("c_name"))
+    return c.select(F.col("c_custkey").cast("string").alias("id"), odd.alias("note"), F.col("c_mktsegment").alias("segment"))
+
+
+_ODD = """select cast(c_custkey as varchar) as id, case c_custkey % 5 when 0 then c_name || ', "x"' when 1 then ' ' || c_name || '  ' when 2 then 'a;|b' || chr(9) || c_name when 3 then '' else c_name end as note, c_mktsegment as segment from customer"""
+
+
+@query(_ODD)
+def csv_round_trip(spark, d):
+    """Written as delimited text and read again, probed from the files."""
+    path = new_path(spark)
+    delimited.write_delimited(_odd(spark, d), path, single_file=True)
+    return delimited.read_delimited(spark, _only_file(spark, path))
+
+
+@query(_ODD)
+def csv_quoted_columns(spark, d):
+    """Chosen columns always quoted; every file has its header."""
+    path = new_path(spark)
+    delimited.write_delimited(_odd(spark, d).repartition(3), path, delimiter="|", quoted_columns=["segment"])
+    return delimited.read_delimited(spark, _only_file(spark, path, every=True), "|", multi_line=False)
+
+
+@query(_ODD.replace("from customer", "from customer union all select cast(c_custkey as varchar) || 'b', c_name || chr(10) || 'second line', c_mktsegment from customer"))
+def csv_line_breaks(spark, d):
+    """A file whose cells have line breaks is found to be one."""
+    more = table(spark, d, "customer").select(F.concat(F.col("c_custkey").cast("string"), F.lit("b")), F.concat("c_name", F.lit("\nsecond line")), "c_mktsegment")
+    path = new_path(spark)
+    delimited.write_file(_odd(spark, d).unionAll(more), f"{path}/x.csv")
+    return delimited.read_delimited(spark, f"{path}/x.csv")
+
+
+@query("select 'kept' as what, count(*) as n from nation where n_nationkey % 4 <> 0 union all select 'rejected', count(*) from nation where n_nationkey % 4 = 0")
+def csv_rejects(spark, d):
+    """Lines of a wrong width are written apart; a reading that skips them has the rest."""
+    path = new_path(spark)
+    line = F.concat_ws(",", F.col("n_nationkey").cast("string"), "n_name", F.when(F.col("n_nationkey") % 4 == 0, "too much"))
+    head = spark.range(1).select(F.lit("key,name").alias("value"))
+    head.unionAll(table(spark, d, "nation").select(line.alias("value"))).coalesce(1).write.text(path)
+    name = _only_file(spark, path)
+    rejects = delimited.write_rejects(delimited.read_delimited(spark, name, corrupt="bad"), name, "bad")
+    kept = delimited.read_delimited(spark, name, skip_malformed=True).select(F.lit("kept").alias("what"))
+    return kept.unionAll(spark.read.text(rejects).select(F.lit("rejected"))).groupBy("what").agg(F.count("*").alias("n"))
+
+
+@query("select n_nationkey % 3 as part, count(*) as n from nation group by 1")
+def csv_folder(spark, d):
+    """The files of a folder, in natural order, as one table; one of another header is left out."""
+    path, n = new_path(spark), table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("key"), "n_name")
+    for k in range(3):
+        delimited.write_file(n.where(F.col("key").cast("int") % 3 == k), f"{path}/file{k * 5}.csv")
+    delimited.write_file(n.withColumnRenamed("key", "id"), f"{path}/file99.csv")
+    used, _ = delimited.scan_directory(spark, path, "csv")
+    out = concat.concat_frames([(p.path.rsplit("/", 1)[-1], delimited.read_delimited(spark, p.path)) for p in used], source="file").df
+    place = F.regexp_extract("file", "([0-9]+)", 1).cast("int") / 5
+    return out.groupBy(place.cast("int").alias("part")).agg(F.count("*").alias("n"))
+
+
+@query("select n_nationkey, c.c_name from nation join (select c_nationkey, min_by(c_name, c_custkey) as c_name from customer group by 1) c on c.c_nationkey = n_nationkey")
+def csv_lookup(spark, d):
+    """A lookup table loaded from a file."""
+    path = new_path(spark)
+    firsts = table(spark, d, "customer").groupBy("c_nationkey").agg(F.min_by("c_name", "c_custkey").alias("c_name"), F.count("*").alias("n"))
+    delimited.write_file(firsts, f"{path}/lookup.csv")
+    lookup = delimited.load_lookup(spark, f"{path}/lookup.csv", ["c_nationkey"], ["c_name"])
+    return keyjoin.lookup(table(spark, d, "nation").select("n_nationkey"), lookup, [("n_nationkey", "c_nationkey")], ["c_name"], ["c_name"])
+
+
+@query("select c_custkey, 'x' as \"APPENDED\", case when c_acctbal between 0 and 1000 then 'low' else 'other' end as class, case when c_mktsegment = 'BUILDING' then 'Y' else '' end as trade, case when c_acctbal > 5000 then 'rich' else '' end as kind from customer where c_mktsegment <> 'AUTOMOBILE'")
+def job_steps(spark, d):
+    """More steps of a declarative job."""
+    from .plans.job import JobSpec
+
+    over = [{"kind": "numeric", "field": "c_acctbal", "operator": "greater_than", "value": 5000}]
+    steps = [{"op": "drop_blank"}, {"op": "trim"}, {"op": "delete_by_condition", "rules": [{"kind": "text", "field": "c_mktsegment", "operator": "equals", "values": "automobile"}]}, {"op": "add_constant", "values": {"APPENDED": "x"}}, {"op": "add_range_label", "name": "class", "field": "c_acctbal", "ranges": [[0, 1000, "low"]], "otherwise": "other"}, {"op": "add_membership", "name": "trade", "field": "c_mktsegment", "values": ["building"]}, {"op": "add_conditional", "values": {"kind": "rich"}, "rules": over}, {"op": "choose", "fields": ["c_custkey", "APPENDED", "class", "trade", "kind"]}]
+    return JobSpec.from_json(JobSpec(steps).to_json()).apply(table(spark, d, "customer"))[0]
+
+
+def _only_file(spark, path, every=False):
+    """The one file that a writer left in a folder, or with ``every`` a pattern of all."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    names = [s.getPath().toString() for s in where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where) if s.getPath().getName().startswith("part-")]
+    return f"{path}/part-*" if every else names[0]
+
+
 # dates
 
 

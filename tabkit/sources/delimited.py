@@ -13,12 +13,14 @@ import io
 import re
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.fields import natural_key, synthetic_header, unique_header
 from ..functions.text import col
+from ..operators.keyjoin import lookup_table
 
 DELIMITERS = [",", ";", "\t", "|"]
 PROBE = 4096
@@ -80,7 +82,12 @@ def sniff_delimiter(text: str, default: str = ",") -> str:
 def quote_pattern(text: str, delimiter: str) -> list[bool]:
     """Which cells of the second line are quoted."""
     lines = [x for x in text.splitlines() if x.strip()]
-    return [len(x.strip()) > 1 and x.strip()[0] == x.strip()[-1] == '"' for x in lines[1].split(delimiter)] if len(lines) > 1 else []
+    if len(lines) < 2:
+        return []
+    cell = r'(\s*"(?:[^"]|"")*"\s*|[^{0}]*)(?:{0}|$)'.format(re.escape(delimiter))
+    found = re.findall(cell, lines[1])
+    found = found[:-1] if lines[1] and not lines[1].endswith(delimiter) else found  # the empty match at the end
+    return [len(x.strip()) > 1 and x.strip()[0] == x.strip()[-1] == '"' for x in found]
 
 
 def first_record(text: str, delimiter: str) -> tuple[list[str], bool]:
@@ -129,13 +136,27 @@ def preview(spark: SparkSession, path: str, delimiter: str | None = None, has_he
     return Preview(path, header, d, encoding, quote_pattern(text, d), len(data))
 
 
-def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None, has_header: bool = True, corrupt: str | None = None, ordinal: str | None = None, multi_line: bool = True) -> DataFrame:
-    """All columns as text, missing cells empty.  ``corrupt`` names a column for rows of a wrong width; ``ordinal`` one that follows file order."""
+def breaks_in_cells(spark: SparkSession, path: str) -> bool:
+    """Whether a line of a file has an odd number of quotes, so that a cell may go on in the next."""
+    lines = spark.read.text(re.sub(r"([\\{}\[\]*?])", r"\\\1", path))
+    odd = F.bool_or((F.length("value") - F.length(F.replace("value", F.lit('"')))) % 2 == 1)
+    return bool(lines.agg(odd).first()[0])
+
+
+def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None, has_header: bool = True, corrupt: str | None = None, ordinal: str | None = None, multi_line: bool | None = None, skip_malformed: bool = False) -> DataFrame:
+    """All columns as text, missing cells empty.
+
+    ``corrupt`` names a column for rows of a wrong width, ``skip_malformed``
+    leaves them out; ``ordinal`` names a column that follows file order.  A
+    file is read in parts unless a cell of it has line breaks (``multi_line``,
+    looked up where it is not given).
+    """
     p = preview(spark, path, delimiter, has_header)
+    multi_line = breaks_in_cells(spark, path) if multi_line is None else multi_line
     schema = T.StructType([T.StructField(n, T.StringType()) for n in p.header] + ([T.StructField(corrupt, T.StringType())] if corrupt else []))
     if p.encoding == "windows-1252":
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    reader = spark.read.schema(schema).options(sep=p.delimiter, quote='"', escape='"', header=str(has_header).lower(), encoding=p.encoding, mode="PERMISSIVE", enforceSchema="true", multiLine=str(multi_line).lower(), maxColumns=max(20480, len(p.header) + 1), ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false")
+    reader = spark.read.schema(schema).options(sep=p.delimiter, quote='"', escape='"', header=str(has_header).lower(), encoding=p.encoding, mode="DROPMALFORMED" if skip_malformed else "PERMISSIVE", enforceSchema="true", multiLine=str(multi_line).lower(), maxColumns=max(20480, len(p.header) + 1), ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false")
     if corrupt:
         reader = reader.option("columnNameOfCorruptRecord", corrupt)
     df = reader.csv(path)
@@ -210,11 +231,76 @@ def write_delimited(df: DataFrame, path: str, delimiter: str = ",", header: bool
     line = F.concat_ws(delimiter, *map(cell, out.columns)).alias("value")
     lines = out.select(line)
     if header:
-        lines = df.sparkSession.createDataFrame([(delimiter.join(out.columns),)], "value string").unionAll(lines)
-        lines = lines.coalesce(1)  # one file, so that its header comes first
+        head = pa.RecordBatch.from_pydict({"value": pa.array([delimiter.join(out.columns)], pa.string())})
+
+        def headed(batches):
+            yield head
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([b.column(0)], ["value"])
+
+        lines = lines.mapInArrow(headed, "value string")  # each file has its header
     lines.write.mode("overwrite").text(path)
 
 
+def write_file(df: DataFrame, path: str, **options) -> None:
+    """One delimited file of that very name, by one task."""
+    folder = f"{path}.parts"
+    write_delimited(df, folder, single_file=True, **options)
+    jvm, spark = df.sparkSession._jvm, df.sparkSession
+    where, to = jvm.org.apache.hadoop.fs.Path(folder), jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    part = next(s.getPath() for s in fs.listStatus(where) if s.getPath().getName().startswith("part-"))
+    fs.delete(to, True)
+    fs.rename(part, to)
+    fs.delete(where, True)
+
+
+def write_like(df: DataFrame, path: str, source: Preview) -> None:
+    """With a source's delimiter, and its quotes around the columns that have them there."""
+    quoted = [c for c, q in zip(source.header, source.quoted, strict=False) if q and c in df.columns]
+    write_delimited(df, path, source.delimiter, quoted_columns=quoted)
+
+
+def write_deduped(df: DataFrame, source: str, delimiter: str = ",") -> str:
+    path = output_name(source, "deduped")
+    write_delimited(df, path, delimiter)
+    return path
+
+
+def write_rejects(df: DataFrame, source: str, corrupt: str) -> str:
+    """The lines that a read has flagged, as they were."""
+    path = output_name(source, "rejects")
+    other = next(c for c in df.columns if c != corrupt)  # a scan of the flagged column alone is refused
+    line = F.concat(col(corrupt), F.coalesce(F.substring(col(other), 1, 0), F.lit("")))
+    df.where(col(corrupt).isNotNull()).select(line.alias("value")).write.mode("overwrite").text(path)
+    return path
+
+
+def write_dropped(dropped: DataFrame, source: str, delimiter: str = ",") -> str:
+    """Dropped rows with their reason."""
+    path = output_name(source, "dropped")
+    write_delimited(dropped, path, delimiter)
+    return path
+
+
+def load_lookup(spark: SparkSession, path: str, keys: list[str], append: list[str], delimiter: str | None = None) -> DataFrame:
+    """A file as a lookup table, whatever its size; its fields must exist, rows with a missing cell go."""
+    return lookup_table(read_delimited(spark, path, delimiter), keys, append)
+
+
+def path_problems(spark: SparkSession, reads: list[str] = (), writes: list[str] = ()) -> list[str]:
+    """What a run would fail on: inputs that do not exist, outputs whose folder does not."""
+    jvm, out = spark._jvm, []
+    for path, what in [*((p, "input") for p in reads), *((p, "output") for p in writes)]:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        if what == "input" and not fs.exists(where):
+            out.append(f"no input {path!r}")
+        if what == "output" and where.getParent() is not None and not fs.exists(where.getParent()):
+            out.append(f"no folder for output {path!r}")
+    return out
+
+
 def output_name(source: str, kind: str) -> str:
     """The default name beside a source: results, deduped, matched, nonmatched, rejects or counts."""
     base = re.sub(r"\.[^./]+$", "", source)
