@@ -8,8 +8,10 @@ Profiles are learned from at most ``BOUND`` documents a language, chosen by a
 hash of doc_id; counts are summed before any shuffle.
 
 Defined results: ``und`` with score 0 where a text is null or has no letter,
-or nothing was learned; ties go to the language first in order; extra columns
-are ignored.
+or nothing was learned; ties go to the language first in order; rows that share
+a doc_id are predicted each; a very long text is one row, whose n-grams a task
+holds; an empty table gives an empty one; other columns, whatever their names,
+are ignored or carried along.
 """
 
 from __future__ import annotations

@@ -9,7 +9,9 @@ tensor type, and ``media_columns`` describes them.
 
 A text serves as payload: its UTF-8 bytes, padded by spaces to a positive
 multiple of 192, are the samples.  Defined results: a null or empty text is
-192 spaces; equal texts have equal values; extra columns are ignored.
+192 spaces; equal texts have equal values; a very long text is one row, whose
+samples and tensors a task holds; an empty table gives an empty one; other
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

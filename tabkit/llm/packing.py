@@ -13,7 +13,9 @@ their own: a shard wastes a bin or so of some twenty thousand.
 Tokens are those of a public byte-pair vocabulary.  They are computed by a
 second reader of the same vocabulary which is faster; that both give the same
 ids is tested.  Defined results: a null or empty text is the end mark alone;
-every row is a document of its own; extra columns are ignored.
+every row is a document of its own, and equal rows may go anywhere; a very long
+text is one row, cut into pieces; an empty table gives an empty one; other
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -38,11 +40,11 @@ SHARD = 50_000
 _DOUBLE_SPACE = re.compile(r"\s\s")
 
 
-def encoder(path: str, pattern: str, special: dict[str, int]):
-    """Text to ids.  Where no two blanks meet, the pattern needs no look-ahead and a faster one does."""
+def encoder(pieces: list[bytes], pattern: str, special: dict[str, int]):
+    """Text to ids, of the vocabulary's pieces by rank.  Where no two blanks meet, the pattern needs no look-ahead and a faster one does."""
     import tiktoken
 
-    ranks = {piece: r for r, piece in enumerate(vocabulary(path))}
+    ranks = {piece: r for r, piece in enumerate(pieces)}
     plain = pattern.replace(r"|\s+(?!\S)|\s+", r"|\s")
     slow = tiktoken.Encoding("full", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
     fast = tiktoken.Encoding("plain", pat_str=plain, mergeable_ranks=ranks, special_tokens=special)
@@ -59,9 +61,9 @@ def encoder(path: str, pattern: str, special: dict[str, int]):
     return encode
 
 
-def _pieces(path: str, pattern: str, special: dict[str, int], length: int, with_ids: bool):
+def _pieces(vocabulary_, pattern: str, special: dict[str, int], length: int, with_ids: bool):
     def work(batches):
-        encode = encoder(path, pattern, special)
+        encode = encoder(vocabulary_.value, pattern, special)
         for b in batches:
             ids = b.column("doc_id").to_pylist()
             for t in texts_of(b.column("text")):
@@ -269,9 +271,11 @@ def best_fit_packing(docs: DataFrame, length: int = LENGTH, path: str | None = N
     path, pattern = path or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN
     special = {"<|endoftext|>": 50256} if special is None else special
     out = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    pieces = texts(docs).mapInArrow(_pieces(path, pattern, special, length, with_ids), f"{out}, ids array<long>")
+    known = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
+    pieces = texts(docs).mapInArrow(_pieces(known, pattern, special, length, with_ids), f"{out}, ids array<long>")
     pieces = written(pieces if with_ids else pieces.drop("ids"))
-    shards = max(1, math.ceil(pieces.where(F.col("length") < length).count() / SHARD))
-    # dealt in the order of a hash, so that a task run again gets the same rows
-    packed = pieces.repartition(shards, F.xxhash64("doc_id", "piece", "start", "ids_crc32"))
+    shards = max(1, math.ceil(pieces.count() / SHARD))
+    # pieces are written, so each has a number; dealt by its hash, a task run again gets the same rows, and equal rows part
+    number = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
+    packed = pieces.withColumn("number", F.xxhash64("doc_id", "piece", "start", "ids_crc32", number)).repartition(shards, "number").drop("number")
     return packed.mapInArrow(_packed(length), f"{out}, ids array<long>, sequence_id long, offset long" if with_ids else f"{out}, sequence_id long, offset long")

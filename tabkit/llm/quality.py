@@ -10,7 +10,9 @@ labels are read only of training rows (crc32 of doc_id modulo 5 is not 0).
 
 Defined results: a null text has the statistics of an empty one; with no
 labels, or one class only, the score is the mean label (0.5 without labels);
-documents with several labels count by their mean; extra columns are ignored.
+documents with several labels count by their mean, and rows that share a doc_id
+are learned from each; a very long text is one row, which a task holds; an empty
+table gives an empty one; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -172,7 +174,7 @@ def learned(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> tuple[flo
     rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < 1_000_000 * bound / max(of, 1))
     rows = rows.groupBy("doc_id").agg(F.avg("y").alias("y"))
     own = texts(docs).join(F.broadcast(rows), "doc_id")  # bounded by the sample
-    got = with_statistics(own).join(F.broadcast(rows), "doc_id").toArrow().sort_by("doc_id")
+    got = with_statistics(own).join(F.broadcast(rows), "doc_id").toArrow().sort_by([("doc_id", "ascending"), *((k, "ascending") for k in STATISTICS)])
     if not len(got):
         return fit(np.zeros((0, len(STATISTICS))), np.zeros(0))
     return fit(np.stack([got[k].to_numpy() for k in STATISTICS], axis=1), (got["y"].to_numpy() >= 0.5).astype(float))

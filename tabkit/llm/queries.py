@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontam import contamination
 from .frames import documents
 from .langid import language_id
-from .license_scan import license_scan
+from .license_scan import license_scan, scan_sql
 from .media import as_media, audio_features, media_columns
 from .ngram_join import ngram_join
 from .packing import best_fit_packing
@@ -68,5 +68,35 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in ops}
 
 
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_BLANK, _ALNUM = "'[^\\x20\\x09-\\x0D]+'", "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'"
+
+_OP1 = f"""with recursive d as (select doc_id, coalesce(regexp_extract_all({_LOWER}, {_BLANK}), []) as w from documents),
+s as (select distinct doc_id, g from (select doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as g from d)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+o as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by all),
+e as (select a, b from o join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 80 * (x.n + y.n - c)),
+r as (select doc_id as a, doc_id as b from documents union select r.a, e.b from r join e on e.a = r.b)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, k.component_id from d left join n on n.doc_id = d.doc_id join (select a, min(b) as component_id from r group by a) k on k.a = d.doc_id"""
+
+_OP8 = f"""with d as (select doc_id, coalesce(regexp_extract_all({_LOWER}, {_ALNUM}), []) as w from documents),
+i as (select item_id, regexp_extract_all({_LOWER}, {_ALNUM}) as w from benchmark where text is not null),
+v as (select distinct item_id, least(13, len(w)) as n, array_to_string(w[k:k + least(13, len(w)) - 1], ' ') as g from (select item_id, w, unnest(range(1, greatest(len(w) - 11, 2))) as k from i where len(w) > 0)),
+p as (select doc_id, n, k, array_to_string(w[k:k + n - 1], ' ') as g from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as k from d, (select distinct n from v))),
+h as (select p.doc_id, p.n, p.k, v.item_id from p join v on v.n = p.n and v.g = p.g),
+c as (select doc_id, count(distinct pos) as n_hit from (select doc_id, unnest(range(k, k + n)) as pos from h) group by doc_id),
+m as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, cast(item_id as varchar) as item from h) group by doc_id)
+select d.doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated from d left join c on c.doc_id = d.doc_id left join m on m.doc_id = d.doc_id"""
+
+_OP10 = f"""with d as (select doc_id, coalesce(regexp_extract_all(text, {_BLANK}), []) as w from documents),
+p as (select doc_id, k, md5(array_to_string(w[k:k + 49], ' ')) as g from (select doc_id, w, unnest(range(1, len(w) - 48)) as k from d)),
+f as (select g, min(doc_id) as least from p group by g having count(*) > 1),
+x as (select distinct doc_id, unnest(range(k, k + 50)) as pos from (select p.doc_id, p.k from p join f on f.g = p.g where f.least < p.doc_id)),
+o as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as pos from d),
+y as (select o.doc_id, count(*) as n, string_agg(word, ' ' order by o.pos) as kept from o anti join x on x.doc_id = o.doc_id and x.pos = o.pos group by o.doc_id)
+select d.doc_id, len(w) as n_words, len(w) - coalesce(y.n, 0) as n_removed, sha256(coalesce(y.kept, '')) as kept_sha256 from d left join y on y.doc_id = d.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Of the others, byte strings, models, packing and features are not SQL; tests compare with brute force."""
+    return {"op1_ngram_join": _OP1, "op3_license_scan": scan_sql(), "op8_decontamination": _OP8, "op10_substring_dedup": _OP10}

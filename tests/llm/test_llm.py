@@ -297,6 +297,69 @@ def test_license_scan(spark, empty):
     assert license_scan.license_scan(empty).count() == 0
 
 
+def test_license_texts(spark):
+    """Whole wordings with their regions filled; a text that lacks a mandatory word is none."""
+    def text(markup, wide):
+        full = re.sub(r"<<.*?>>", "some words" if wide else "one", re.sub(r"\[\[(.*?)\]\]", r"\1" if wide else "", markup))
+        return " ".join(full.split())
+
+    rows, want = [], []
+    for k, (label, markup) in enumerate(license_scan.TEMPLATES.items()):
+        full = text(markup, k % 2)
+        rows += [(2 * k, f"Foo. {full.upper()} bar"), (2 * k + 1, full.replace(" the ", " a ").rsplit(" ", 2)[0])]
+        want.append(label)
+    got = {r.doc_id: r.labels.split(",") for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(label in got[2 * k] and label not in got[2 * k + 1] for k, label in enumerate(want))
+    assert all(re.search(" " + license_scan.pattern(m), f" {text(m, k % 2)} ") for k, m in enumerate(license_scan.TEMPLATES.values()))
+
+
+def test_queries_against_sql(spark):
+    """The SQL of the corpus queries gives their rows."""
+    import duckdb
+
+    from tabkit.llm import queries
+
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.sql(f"create view {name} as select * from read_parquet('/root/testdata/sf0.001/{name}.parquet')")
+    for name, sql in queries.oracle_sql().items():
+        got, want = queries.queries()[name](spark, "/root/testdata/sf0.001"), con.sql(sql)
+        assert sorted(got.columns) == sorted(want.columns)
+        assert rows_of(got, *want.columns) == sorted(want.fetchall(), key=repr), name
+
+
+ODD = ["lang_pred", "n_shingles", "component_id", "label", "part", "unit", "body", "row", "tag", "piece", "length", "a.b", "hashes"]
+
+
+def test_odd_tables(spark):
+    """A text of a megabyte, columns with any names, and n_chars of another type."""
+    r = random.Random(8)
+    long = " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(170_000))
+    half = " ".join(long.split()[:87_000])
+    rows = [(1, long, 3, *ODD), (2, half, 3, *ODD), (3, None, 3, *ODD), (4, long, None, *ODD)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars int, " + ", ".join(f"`{c}` string" for c in ODD))
+    assert [x.component_id for x in ngram_join.ngram_join(df).orderBy("doc_id").collect()] == [1, 2, 3, 1]
+    assert ngram_join.one_of_each(df).columns == df.columns and ngram_join.one_of_each(df).count() == 3
+    got = substring_dedup.cut_earlier_passages(df)
+    assert got.schema.simpleString() == df.schema.simpleString() and sorted(x.doc_id for x in got.collect()) == [1, 3]
+    assert {x.doc_id: x.n_removed for x in suffix_dedup.suffix_dedup(df).collect()} == {1: len(long), 2: len(half), 3: 0, 4: len(long)}
+    bench = spark.createDataFrame([(1, " ".join(long.split()[9:30]))], "item_id long, text string")
+    assert sum(x.n_hit for x in decontam.contamination(df, bench).collect()) == 63
+    assert decontam.decontaminated(df, bench, cut=True).columns == df.columns
+    assert license_scan.license_scan(df).agg({"n_words": "max"}).first()[0] == 170_000
+    assert packing.best_fit_packing(df).agg({"length": "max"}).first()[0] == 2048
+    assert token_counts.token_counts(df).count() == media.media_columns(df).count() == 4
+
+
+def test_decontamination_in_blocks(spark, docs, monkeypatch):
+    """A benchmark beyond a block is scanned block after block, with the same result."""
+    texts = [r.text for r in docs.select("text").collect() if r.text and len(r.text.split()) > 40]
+    bench = spark.createDataFrame([(i, t) for i, t in enumerate(texts[:6])], "item_id long, text string")
+    want = rows_of(decontam.contamination(docs, bench), "doc_id", "n_hit", "items_sha256")
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 1000)
+    assert rows_of(decontam.contamination(docs, bench), "doc_id", "n_hit", "items_sha256") == want
+
+
 def test_license_regions_have_their_own_length(spark):
     grant = "permission is hereby granted free of charge to any person obtaining a copy of {} to deal in the software without restriction"
     rows = [(k, grant.format("word " * k)) for k in (0, 12, 13, 200, 201)]
@@ -428,7 +491,7 @@ def test_tokenizers_agree():
     import public_tokenizers
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    encode = packing.encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, {"<|endoftext|>": 50256})
+    encode = packing.encoder(token_counts.vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN, {"<|endoftext|>": 50256})
     for s in ["", " ", "  a  b\n\nc ", "don't we'LL x", "éÀ ß  x", "a<|endoftext|>b", "12 345!? \t\n", "İ 日本 ² x\r\n y", "\nA\tB C\n"]:
         assert encode(s) == t.encode(s, add_special_tokens=False).ids
 
