@@ -658,7 +658,7 @@ def csv_quoted_columns(spark, d):
     """Chosen columns always quoted; every file has its header."""
     path = new_path(spark)
     delimited.write_delimited(_odd(spark, d).repartition(3), path, delimiter="|", quoted_columns=["segment"])
-    return delimited.read_delimited(spark, _only_file(spark, path, every=True), "|", multi_line=False)
+    return concat.concat_frames([(f, delimited.read_delimited(spark, f, "|")) for f in _files(spark, path)]).df
 
 
 @query(_ODD.replace("from customer", "from customer union all select cast(c_custkey as varchar) || 'b', c_name || chr(10) || 'second line', c_mktsegment from customer"))
@@ -716,11 +716,14 @@ def job_steps(spark, d):
     return JobSpec.from_json(JobSpec(steps).to_json()).apply(table(spark, d, "customer"))[0]
 
 
-def _only_file(spark, path, every=False):
-    """The one file that a writer left in a folder, or with ``every`` a pattern of all."""
+def _files(spark, path):
+    """The files that a writer left in a folder."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    names = [s.getPath().toString() for s in where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where) if s.getPath().getName().startswith("part-")]
-    return f"{path}/part-*" if every else names[0]
+    return [s.getPath().toString() for s in where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where) if s.getPath().getName().startswith("part-")]
+
+
+def _only_file(spark, path):
+    return _files(spark, path)[0]
 
 
 # dates
