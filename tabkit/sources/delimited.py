@@ -159,6 +159,8 @@ def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None,
     reader = spark.read.schema(schema).options(sep=p.delimiter, quote='"', escape='"', header=str(has_header).lower(), encoding=p.encoding, mode="DROPMALFORMED" if skip_malformed else "PERMISSIVE", enforceSchema="true", multiLine=str(multi_line).lower(), maxColumns=max(20480, len(p.header) + 1), ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false")
     if corrupt:
         reader = reader.option("columnNameOfCorruptRecord", corrupt)
+    if corrupt or skip_malformed:  # a parser of some columns alone does not see how wide a line is
+        reader = reader.option("columnPruning", "false")
     df = reader.csv(path)
     if ordinal:
         df = df.select("*", F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("row")).alias(ordinal))

@@ -187,6 +187,16 @@ def test_delimited(spark, tmp_path):
     assert delimited.quote_pattern('a,b\n"1",2', ",") == [True, False]
 
 
+def test_malformed_lines_whatever_columns_are_read(spark, tmp_path):
+    path = str(tmp_path / "widths.csv")
+    (tmp_path / "widths.csv").write_text("k,v\n1,a\n2,b,more\n3\n4,d\n")
+    kept = delimited.read_delimited(spark, path, skip_malformed=True)
+    assert kept.count() == 2 and [r.k for r in kept.select("k").collect()] == ["1", "4"] and [r.v for r in kept.select("v").collect()] == ["a", "d"]
+    flagged = delimited.read_delimited(spark, path, corrupt="bad")
+    assert [r.bad for r in flagged.select("k", "bad").collect()] == [None, "2,b,more", "3", None]
+    assert sorted(r.value for r in spark.read.text(delimited.write_rejects(flagged, path, "bad")).collect()) == ["2,b,more", "3"]
+
+
 def test_delimited_beyond_the_first_probe(spark, tmp_path):
     names = [f"column_{i:04d}" for i in range(400)]
     (tmp_path / "wide.csv").write_text(";".join(names) + "\n" + ";".join(str(i) for i in range(400)) + "\n")
