@@ -11,6 +11,7 @@ from .frames import documents
 from .langid import language_id
 from .license_scan import license_scan, scan_sql
 from .media import as_media, audio_features, media_columns
+from .mixing import mixing
 from .ngram_join import ngram_join
 from .packing import best_fit_packing
 from .quality import quality_scores
@@ -63,8 +64,12 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(documents(spark, sf_dir), digest=True)
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = [op1_ngram_join, op2_suffix_dedup, op3_license_scan, op4_best_fit_packing, op5_quality, op6_language_id, op7_media, op7_audio_features, op8_decontamination, op9_token_counts, op10_substring_dedup]
+    ops = [op1_ngram_join, op2_suffix_dedup, op3_license_scan, op4_best_fit_packing, op5_quality, op6_language_id, op7_media, op7_audio_features, op8_decontamination, op9_token_counts, op10_substring_dedup, op11_mixing]
     return {f.__name__: f for f in ops}
 
 
@@ -96,7 +101,15 @@ o as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as pos from
 y as (select o.doc_id, count(*) as n, string_agg(word, ' ' order by o.pos) as kept from o anti join x on x.doc_id = o.doc_id and x.pos = o.pos group by o.doc_id)
 select d.doc_id, len(w) as n_words, len(w) - coalesce(y.n, 0) as n_removed, sha256(coalesce(y.kept, '')) as kept_sha256 from d left join y on y.doc_id = d.doc_id"""
 
+_OP11 = f"""with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, {_BLANK})), 0) as size, md5('0:' || coalesce(cast(doc_id as varchar), '') || ':' || coalesce(text, '')) as key from documents),
+s as (select source, sum(size) as n, 2.0::double * sum(size)::double as cap, ([3.0, 1.0, 2.0]::double[])[(row_number() over (order by source is null, source) - 1) % 3 + 1] as w from d group by source),
+l as (select *, cap + coalesce(sum(cap) over a, 0) + cap / w * (sum(w) over () - w - coalesce(sum(w) over a, 0)) <= 1.5 * sum(n) over () as is_full, 1.5::double * sum(n) over () as whole from s window a as (order by cap / w, source is null, source rows between unbounded preceding and 1 preceding)),
+t as (select source, n, case when is_full then cap else least(cap, (whole - sum(case when is_full then cap else 0 end) over ()) * w / sum(case when is_full then 0 else w end) over ()) end as target from l),
+p as (select d.doc_id, d.size, t.n, t.target, floor(t.target + 0.5)::bigint as budget, coalesce(sum(d.size) over (partition by d.source order by d.key, d.doc_id, d.size rows between unbounded preceding and 1 preceding), 0)::bigint as earlier from d join t on d.source is not distinct from t.source),
+e as (select *, case when n > 0 then budget // n else 0 end::bigint as epochs from p)
+select doc_id, size, n::bigint as source_size, target, (epochs * size + least(size, greatest(0, budget - epochs * n - earlier)))::bigint as taken, epochs from e"""
+
 
 def oracle_sql() -> dict[str, str]:
     """Of the others, byte strings, models, packing and features are not SQL; tests compare with brute force."""
-    return {"op1_ngram_join": _OP1, "op3_license_scan": scan_sql(), "op8_decontamination": _OP8, "op10_substring_dedup": _OP10}
+    return {"op1_ngram_join": _OP1, "op3_license_scan": scan_sql(), "op8_decontamination": _OP8, "op10_substring_dedup": _OP10, "op11_mixing": _OP11}
