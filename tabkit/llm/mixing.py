@@ -41,12 +41,15 @@ def targets(sizes: DataFrame, weights: Sequence[float], share: float, most: floa
     numbered = prefix_sums(sizes.withColumn("one", F.lit(1).cast("long")), None, [F.col("source").isNull(), "source"], ["one"])
     full = numbered.select("source", "source_size", (F.col("source_size") * F.lit(float(most))).alias("cap"), F.element_at(weights[0], (F.col("before_one") % weights[1] + 1).cast("int")).alias("weight"))
     full = prefix_sums(full.withColumn("level", F.col("cap") / F.col("weight")), None, ["level", F.col("source").isNull(), "source"], ["cap", "weight"])
-    all_ = full.agg(F.sum("weight").alias("all_weight"), (F.sum("source_size") * F.lit(float(share))).alias("whole"))
+    full = written(full)
+    all_ = full.agg(F.sum("weight").alias("weight"), (F.sum("source_size") * F.lit(float(share))).alias("size")).first()
     # what all sources take when the water stands as high as this one is full
-    at_level = F.col("before_cap") + F.col("cap") + F.col("level") * (F.col("all_weight") - F.col("before_weight") - F.col("weight"))
-    full = written(full.join(F.broadcast(all_)).withColumn("is_full", at_level <= F.col("whole")))
-    level = full.agg((F.max("whole") - F.sum(F.when(F.col("is_full"), F.col("cap")).otherwise(0.0))).alias("rest"), F.sum(F.when(F.col("is_full"), 0.0).otherwise(F.col("weight"))).alias("open"))
-    return full.join(F.broadcast(level)).select("source", "source_size", F.when(F.col("is_full"), F.col("cap")).otherwise(F.least("cap", F.try_divide(F.col("rest") * F.col("weight"), "open"))).alias("target"))
+    at_level = F.col("before_cap") + F.col("cap") + F.col("level") * (F.lit(all_.weight) - F.col("before_weight") - F.col("weight"))
+    full = full.withColumn("is_full", at_level <= F.lit(all_.size))
+    level = full.where("not is_full").agg(F.sum("weight").alias("weight")).first()
+    rest = full.where("is_full").agg(F.coalesce(F.sum("cap"), F.lit(0.0)).alias("cap")).first()
+    share_of = F.least(F.col("cap"), F.lit((all_.size or 0.0) - rest.cap) * F.col("weight") / F.lit(level.weight))
+    return full.select("source", "source_size", F.when(F.col("is_full"), F.col("cap")).otherwise(share_of).alias("target"))
 
 
 def _mix(docs: DataFrame, weights: Sequence[float], share: float, most: float, seed: int, keep: bool) -> DataFrame:
