@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .conversation_trie import conversation_trie
 from .decontam import contamination
 from .frames import documents
 from .langid import language_id
@@ -68,8 +69,12 @@ def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing(documents(spark, sf_dir))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(documents(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = [op1_ngram_join, op2_suffix_dedup, op3_license_scan, op4_best_fit_packing, op5_quality, op6_language_id, op7_media, op7_audio_features, op8_decontamination, op9_token_counts, op10_substring_dedup, op11_mixing]
+    ops = [op1_ngram_join, op2_suffix_dedup, op3_license_scan, op4_best_fit_packing, op5_quality, op6_language_id, op7_media, op7_audio_features, op8_decontamination, op9_token_counts, op10_substring_dedup, op11_mixing, op13_conversation_trie]
     return {f.__name__: f for f in ops}
 
 
@@ -109,7 +114,22 @@ p as (select d.doc_id, d.size, t.n, t.target, floor(t.target + 0.5)::bigint as b
 e as (select *, case when n > 0 then budget // n else 0 end::bigint as epochs from p)
 select doc_id, size, n::bigint as source_size, target, (epochs * size + least(size, greatest(0, budget - epochs * n - earlier)))::bigint as taken, epochs from e"""
 
+_OP13 = """with recursive bits as (select i::bigint as i, 0 as k, i::bigint as c from range(256) r(i) union all select i, k + 1, case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end from bits where k < 8),
+ids as (select distinct conv_id from conversations where conv_id is not null),
+crc as (select conv_id, conv_id::varchar as s, 0 as k, 4294967295::bigint as c from ids union all select conv_id, s, crc.k + 1, xor(bits.c, crc.c >> 8) from crc join bits on bits.k = 8 and bits.i = xor(crc.c, ascii(s[crc.k + 1])) & 255 where crc.k < length(s)),
+heads as (select conv_id, xor(c, 4294967295) % 6 as h from crc where k = length(s)),
+o as (select conv_id, g, n, row_number() over (partition by conv_id order by turn nulls first, g) as k from (select conv_id, turn, sha256(length(coalesce(role, ''))::varchar || ':' || coalesce(role, '') || coalesce(text, '')) as g, length(coalesce(text, '')) as n from conversations where conv_id is not null)),
+r as (select c.conv_id, k, g, n from heads c join o on o.conv_id = c.conv_id - c.conv_id % 100 and k <= h union all select c.conv_id, k, g, n from heads c join o on o.conv_id = c.conv_id and k > h),
+m as (select conv_id, row_number() over w as depth, n, md5(string_agg(g, '') over w) as node from r window w as (partition by conv_id order by k) union all select conv_id, 0, 0, '' from ids),
+nodes as (select node, any_value(depth) as depth, any_value(n) as size, min(conv_id) as conv_id, count(*) as n_convs from m group by node),
+up as (select x.node, x.depth, x.n_convs, x.size, m.node as above, m.depth as above_depth from nodes x join m on m.conv_id = x.conv_id and m.depth <= x.depth),
+kids as (select above, count(*) as n_children from up where above_depth = depth - 1 group by above),
+below as (select up.above, sum((n_convs - 1) * size) as saved, sum((n_children is null)::int) as leaves from up left join kids on kids.above = up.node group by up.above),
+ends as (select node, sha256(string_agg(conv_id::varchar, ',' order by conv_id)) as ends from (select conv_id, arg_max(node, depth) as node from m group by conv_id) group by node)
+select x.conv_id, x.depth::bigint as depth, p.conv_id as parent_conv_id, x.n_convs, coalesce(k.n_children, 0) as n_children, b.leaves::bigint as n_leaves, b.saved::bigint as saved_tokens, coalesce(e.ends, sha256('')) as ends_sha256
+from nodes x join below b on b.above = x.node left join kids k on k.above = x.node left join ends e on e.node = x.node left join up on up.node = x.node and up.above_depth = x.depth - 1 left join nodes p on p.node = up.above"""
+
 
 def oracle_sql() -> dict[str, str]:
     """Of the others, byte strings, models, packing and features are not SQL; tests compare with brute force."""
-    return {"op1_ngram_join": _OP1, "op3_license_scan": scan_sql(), "op8_decontamination": _OP8, "op10_substring_dedup": _OP10, "op11_mixing": _OP11}
+    return {"op1_ngram_join": _OP1, "op3_license_scan": scan_sql(), "op8_decontamination": _OP8, "op10_substring_dedup": _OP10, "op11_mixing": _OP11, "op13_conversation_trie": _OP13}
