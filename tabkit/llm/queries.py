@@ -18,6 +18,7 @@ from .packing import best_fit_packing
 from .quality import quality_scores
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
+from .token_alignment import token_alignment
 from .token_counts import token_counts
 
 
@@ -69,12 +70,16 @@ def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing(documents(spark, sf_dir))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment(documents(spark, sf_dir))
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie(documents(spark, sf_dir, "conversations"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = [op1_ngram_join, op2_suffix_dedup, op3_license_scan, op4_best_fit_packing, op5_quality, op6_language_id, op7_media, op7_audio_features, op8_decontamination, op9_token_counts, op10_substring_dedup, op11_mixing, op13_conversation_trie]
+    ops = [op1_ngram_join, op2_suffix_dedup, op3_license_scan, op4_best_fit_packing, op5_quality, op6_language_id, op7_media, op7_audio_features, op8_decontamination, op9_token_counts, op10_substring_dedup, op11_mixing, op12_token_alignment, op13_conversation_trie]
     return {f.__name__: f for f in ops}
 
 
