@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from .bloom import bloom, has
 from .frames import discard, hot_join, partitions, plain_names, texts, written
 from .graph import components
-from .textbytes import SPACE_WORD, Prefix, Texts, Words, mix, signed, texts_of
+from .textbytes import SPACE_WORD, Texts, Words, mix, shingles, signed, texts_of
 
 WORDS = 5
 PERCENT = 80
@@ -67,8 +67,7 @@ class Sets:
         number = np.where(n >= words, n - words + 1, np.minimum(n, 1))
         self.doc = np.repeat(np.arange(len(n)), number)
         start = w.off[self.doc] + np.arange(len(self.doc)) - np.repeat(np.cumsum(number) - number, number)
-        end = start + np.minimum(n, words)[self.doc]
-        self.hash = Prefix(w.hashes()).spans(start, end)
+        self.hash = shingles(w.hashes(), start, np.minimum(n, words)[self.doc])
         by = np.lexsort((self.hash, self.doc))
         self.doc, self.hash = self.doc[by], self.hash[by]
         new = np.ones(len(by), bool)

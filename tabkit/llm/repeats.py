@@ -5,8 +5,9 @@ k-grams in it.  A maximal run of windows of one document with one anchor is a
 *stretch*.  Equal windows have equal anchors, so routing stretches by anchor
 brings equal windows together without shipping a window more than once, and
 anchors that occur once in all the corpus drop out before any text is moved.
-Equal stretches are merged before the shuffle, so a third of all rows being
-copies of one text costs one row a slice and stretch.
+Stretches are told apart by 128-bit digests of their content.  Equal ones are
+merged before the shuffle, so a third of all rows being copies of one text costs
+one row a task and stretch.
 
 An anchor that more than ``HOT_ROWS`` distinct stretches have is hot: a common
 line is in it, or very many near copies.  Windows with a hot anchor are keyed by
@@ -34,7 +35,7 @@ from pyspark.sql import types as T
 
 from .bloom import bloom, has
 from .frames import discard, partitions, written
-from .textbytes import SPACE_WORD, Prefix, Texts, Words, byte_values, covered, mix, signed, texts_of
+from .textbytes import SPACE_WORD, Prefix, Texts, Words, byte_values, covered, digests, mix, signed, texts_of
 
 #: Windows of one stretch at most, so that its length and a flag fit a byte.
 LONGEST = 127
@@ -56,6 +57,17 @@ class Unit:
             return w.hashes(), w.off, w
         return byte_values(texts.data), texts.off, None
 
+    def marks(self, texts: Texts, words: Words | None, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Both halves of a digest of the content of some spans; words are joined by one blank."""
+        if words is not None:
+            data, first, last = words.joined()
+            start, end = first[start], last[end - 1]
+        else:
+            data = texts.data
+        raw = data.tobytes()
+        out = digests(raw[a:z] for a, z in zip(start.tolist(), end.tolist(), strict=True))
+        return out[:, 0].astype(np.uint64), out[:, 1].astype(np.uint64)
+
 
 def _least(grams: np.ndarray, width: int) -> np.ndarray:
     """The least of each ``width`` neighbours."""
@@ -67,7 +79,7 @@ def _least(grams: np.ndarray, width: int) -> np.ndarray:
 
 
 class Stretches:
-    """The stretches of some texts: text ``doc``, ``start`` in units of the slice, ``windows``, ``anchor``, ``mark`` of the content.
+    """The stretches of some texts: text ``doc``, ``start`` in units of the slice, ``windows``, ``anchor``, ``mark`` and ``proof`` of the content.
 
     ``hot``: a filter of hot anchors; ``only_hot``: leave out the others.
     """
@@ -79,7 +91,7 @@ class Stretches:
         full = np.flatnonzero(lengths >= size)
         if not len(full):
             self.start = self.windows = self.doc = np.zeros(0, np.int64)
-            self.anchor = self.mark = np.zeros(0, np.uint64)
+            self.anchor = self.mark = self.proof = np.zeros(0, np.uint64)
             self.twice = np.zeros(0, bool)
             return
         prefix = Prefix(values)
@@ -109,7 +121,7 @@ class Stretches:
         left = np.zeros(len(low) + 1, np.int64)
         np.cumsum(((grams[: len(low)] == low) | is_hot)[:-1] & (low[1:] == low[:-1]), out=left[1:-1])
         self.twice = left[self.start + self.windows - 1] > left[self.start]
-        self.mark = prefix.spans(self.start, self.start + self.windows + size - 1)
+        self.mark, self.proof = unit.marks(texts, self.words, self.start, self.start + self.windows + size - 1)
 
 
 def text_tag(text: bytes) -> int:
@@ -128,12 +140,12 @@ def _found(unit: Unit, hot=None) -> Callable:
                 if not len(s.start):
                     continue
                 own = ids[texts.first + s.doc]
-                by = np.lexsort((s.start, own, s.mark))
-                mark, own, start = s.mark[by], own[by], (s.start - s.off[s.doc])[by]
-                head = np.flatnonzero(np.concatenate(([True], mark[1:] != mark[:-1])))
+                by = np.lexsort((s.start, own, s.proof, s.mark))
+                mark, proof, own, start = s.mark[by], s.proof[by], own[by], (s.start - s.off[s.doc])[by]
+                head = np.flatnonzero(np.concatenate(([True], (mark[1:] != mark[:-1]) | (proof[1:] != proof[:-1]))))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (signed(s.anchor[by][head]), signed(mark[head]), np.diff(np.append(head, len(mark))), own[head], start[head] * 256 + s.twice[by][head] * 128 + s.windows[by][head])],
-                    ["anchor", "mark", "n", "doc_id", "place"],
+                    [pa.array(x) for x in (signed(s.anchor[by][head]), signed(mark[head]), signed(proof[head]), np.diff(np.append(head, len(mark))), own[head], start[head] * 256 + s.twice[by][head] * 128 + s.windows[by][head])],
+                    ["anchor", "mark", "proof", "n", "doc_id", "place"],
                 )
 
     return work
@@ -146,23 +158,24 @@ def _contents(unit: Unit) -> Callable:
         for b in batches:
             want = b.column("want")
             flat, offsets = want.values, want.offsets.to_numpy()
-            place, mark = flat.field("place").to_numpy(), flat.field("mark").to_numpy()
+            place, mark, proof = (flat.field(c).to_numpy() for c in ("place", "mark", "proof"))
             rows = []
             for texts in texts_of(b.column("text")):
-                values, off, words = unit.values(texts)
-                prefix = Prefix(values)
+                words = Words(texts, SPACE_WORD, False) if unit.words else None
+                off = words.off if words else texts.off
                 a, z = offsets[texts.first], offsets[texts.first + len(texts)]
                 doc = np.repeat(np.arange(len(texts)), np.diff(offsets[texts.first : texts.first + len(texts) + 1]))
                 start = off[doc] + place[a:z] // 256
                 end = start + place[a:z] % 128 + unit.window - 1
                 ok = end <= off[doc + 1]
-                ok[ok] = signed(prefix.spans(start[ok], end[ok])) == mark[a:z][ok]
+                same = unit.marks(texts, words, start[ok], end[ok])
+                ok[ok] = (signed(same[0]) == mark[a:z][ok]) & (signed(same[1]) == proof[a:z][ok])
                 for i in np.flatnonzero(ok):
                     s, e = (words.start[start[i]], words.end[end[i] - 1]) if words else (start[i], end[i])
                     rows.append((a + i, texts.data[s:e].tobytes()))
             if rows:
                 take = pa.array([r[0] for r in rows])
-                yield pa.RecordBatch.from_arrays([flat.field(k).take(take) for k in ("anchor", "mark", "n", "least")] + [pa.array([r[1] for r in rows], pa.binary())], ["anchor", "mark", "n", "least", "content"])
+                yield pa.RecordBatch.from_arrays([flat.field(k).take(take) for k in ("anchor", "mark", "proof", "n", "least")] + [pa.array([r[1] for r in rows], pa.binary())], ["anchor", "mark", "proof", "n", "least", "content"])
 
     return work
 
@@ -172,11 +185,12 @@ def _shards(solve: Callable, unit: Unit) -> Callable:
 
     def block(rows: list) -> pa.RecordBatch | None:
         t = pa.Table.from_batches(rows)
-        mark = t["mark"].to_numpy()
-        head = np.sort(np.unique(mark, return_index=True)[1])
+        mark, proof = t["mark"].to_numpy(), t["proof"].to_numpy()
+        by = np.lexsort((proof, mark))
+        head = np.sort(by[np.concatenate(([True], (mark[by][1:] != mark[by][:-1]) | (proof[by][1:] != proof[by][:-1])))])
         t = t.take(head)
         where, start, end, in_least = solve(t["content"].to_pylist(), t["n"].to_numpy(), t["least"].to_numpy(), t["anchor"].to_numpy(), unit)
-        return pa.RecordBatch.from_arrays([pa.array(mark[head][where]), pa.array(start), pa.array(end), pa.array(t["least"].to_numpy()[where]), pa.array(in_least)], ["mark", "first", "last", "least", "in_least"])
+        return pa.RecordBatch.from_arrays([pa.array(mark[head][where]), pa.array(proof[head][where]), pa.array(start), pa.array(end), pa.array(t["least"].to_numpy()[where]), pa.array(in_least)], ["mark", "proof", "first", "last", "least", "in_least"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, size = [], 0
@@ -214,7 +228,7 @@ def _places(unit: Unit, repeated, hot) -> Callable:
                     tags = np.zeros(len(texts), np.int64)
                     for d in np.unique(doc):
                         tags[d] = text_tag(texts.bytes(d))
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (mark[at], ids[texts.first + doc], tags[doc], (s.start - s.off[s.doc])[at])], ["mark", "doc_id", "tag", "at"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (mark[at], signed(s.proof)[at], ids[texts.first + doc], tags[doc], (s.start - s.off[s.doc])[at])], ["mark", "proof", "doc_id", "tag", "at"])
 
     return work
 
@@ -236,11 +250,11 @@ def repeated_spans(docs: DataFrame, unit: Unit, solve: Callable, earlier: bool)
     docs = docs.where("text is not null and doc_id is not null" if earlier else "text is not null").select(by_row(docs).alias("doc_id"), "text")
 
     def distinct(hot=None) -> DataFrame:
-        found = docs.mapInArrow(_found(unit, hot), "anchor long, mark long, n long, doc_id long, place long")
-        each = found.repartition(shuffles, "anchor").groupBy("anchor", "mark").agg(F.sum("n").alias("n"), F.min(F.struct("doc_id", "place")).alias("rep"))
+        found = docs.mapInArrow(_found(unit, hot), "anchor long, mark long, proof long, n long, doc_id long, place long")
+        each = found.groupBy("anchor", "mark", "proof").agg(F.sum("n").alias("n"), F.min(F.struct("doc_id", "place")).alias("rep"))
         own = Window.partitionBy("anchor")
         each = each.withColumn("all", F.sum(F.col("n") + F.col("rep.place").bitwiseAND(128) / 128).over(own)).withColumn("stretches", F.count("*").over(own)).where("all > 1")
-        return written(each.select("anchor", "mark", "n", F.col("rep.doc_id").alias("doc_id"), F.col("rep.place").alias("place"), "stretches"))
+        return written(each.select("anchor", "mark", "proof", "n", F.col("rep.doc_id").alias("doc_id"), F.col("rep.place").alias("place"), "stretches"))
 
     each, hot = distinct(), None
     many = each.where(F.col("stretches") > HOT_ROWS).select("anchor").distinct()
@@ -253,7 +267,7 @@ def repeated_spans(docs: DataFrame, unit: Unit, solve: Callable, earlier: bool)
 
         each = written(each.mapInArrow(cool, each.schema).unionByName(distinct(hot)))
     # copies of one stretch that shares its anchor with no other are known to repeat as a whole, and nowhere else
-    sole = each.where("stretches = 1 and n > 1").select("mark", F.lit(0).alias("first"), (F.col("place") % 128).cast("int").alias("last"), F.col("doc_id").alias("least"), F.lit(not earlier).alias("in_least"))
+    sole = each.where("stretches = 1 and n > 1").select("mark", "proof", F.lit(0).alias("first"), (F.col("place") % 128).cast("int").alias("last"), F.col("doc_id").alias("least"), F.lit(not earlier).alias("in_least"))
     kept, each = each, each.where("stretches > 1" if earlier else "stretches > 1 or n = 1")
     total = each.agg(F.sum(F.col("place") % 128 + unit.window)).first()[0] or 0
     holders = spark.sparkContext.broadcast(bloom(each, "doc_id"))
@@ -262,15 +276,15 @@ def repeated_spans(docs: DataFrame, unit: Unit, solve: Callable, earlier: bool)
         for b in batches:
             yield b.filter(pa.array(has(holders.value, b.column("doc_id").to_numpy(zero_copy_only=False))))
 
-    want = each.groupBy("doc_id").agg(F.collect_list(F.struct("place", "mark", "anchor", "n", F.col("doc_id").alias("least"))).alias("want"))
-    contents = docs.mapInArrow(holds, docs.schema).join(want, "doc_id").select("text", "want").mapInArrow(_contents(unit), "anchor long, mark long, n long, least long, content binary")
+    want = each.groupBy("doc_id").agg(F.collect_list(F.struct("place", "mark", "proof", "anchor", "n", F.col("doc_id").alias("least"))).alias("want"))
+    contents = docs.mapInArrow(holds, docs.schema).join(want, "doc_id").select("text", "want").mapInArrow(_contents(unit), "anchor long, mark long, proof long, n long, least long, content binary")
     shards = max(1, min(100_000, math.ceil(total * (6 if unit.words else 1) / SHARD_BYTES)), min(shuffles, 48))
-    solved = contents.repartition(shards, "anchor").sortWithinPartitions("anchor").mapInArrow(_shards(solve, unit), "mark long, first int, last int, least long, in_least boolean")
+    solved = contents.repartition(shards, "anchor").sortWithinPartitions("anchor").mapInArrow(_shards(solve, unit), "mark long, proof long, first int, last int, least long, in_least boolean")
     solved = written(solved.union(sole))
     discard(kept)
     repeated = spark.sparkContext.broadcast(bloom(solved, "mark"))
-    places = docs.mapInArrow(_places(unit, repeated, hot), "mark long, doc_id long, tag long, at long")
-    hits = places.join(solved, "mark")
+    places = docs.mapInArrow(_places(unit, repeated, hot), "mark long, proof long, doc_id long, tag long, at long")
+    hits = places.join(solved, ["mark", "proof"])
     if earlier:
         hits = hits.where("least < doc_id or in_least and least = doc_id")
     return hits.select(F.col("doc_id").alias("row"), "tag", (F.col("at") + F.col("first")).alias("first"), (F.col("at") + F.col("last") + (unit.window - 1)).alias("last"))

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 SLICE = 1 << 19
 
@@ -53,22 +54,37 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Prefix:
-    """Polynomial prefix sums: the hash of any span in constant time."""
+    """Polynomial prefix sums: hashes of all spans of k values.
+
+    They only say where windows are brought together.  Structured spans can
+    clash modulo 2**64, so nothing is taken for equal by them.
+    """
 
     def __init__(self, values: np.ndarray):
         self.p, self.q = powers(len(values) + 1)
         self.c = np.zeros(len(values) + 1, np.uint64)
         np.cumsum(values * self.p[: len(values)], out=self.c[1:])
 
-    def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.c[end] - self.c[start]) * self.q[start] + (end - start).astype(np.uint64))
-
     def grams(self, k: int) -> np.ndarray:
         """The hashes of all spans of k values."""
         n = len(self.c) - k
         return mix((self.c[k:] - self.c[:n]) * self.q[:n]) if n > 0 else np.zeros(0, np.uint64)
 
 
+def digests(parts: Iterator[bytes]) -> np.ndarray:
+    """128-bit digests of byte strings, as two columns of 64 bits."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, parts)), "<u8").reshape(-1, 2)
+
+
+def shingles(hashes: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Hashes of spans of a few words, mixed in word by word."""
+    h = mix(length.astype(np.uint64))
+    for i in range(int(length.max()) if len(length) else 0):
+        more = mix(h * np.uint64(_P) + hashes[np.minimum(start + i, len(hashes) - 1)])
+        h = more if i < int(length.min()) else np.where(i < length, more, h)
+    return h
+
+
 class Texts:
     """Consecutive texts of a batch: bytes ``data`` and ``off``, one offset more than texts."""
 
@@ -119,12 +135,26 @@ class Words:
         self.start, self.end = np.flatnonzero(first), np.flatnonzero(last) + 1
         self.off = np.searchsorted(self.start, texts.off)
         self.data = LOWER[data] if lower else data
+        self.is_word = is_word
 
     def __len__(self) -> int:
         return len(self.start)
 
     def hashes(self) -> np.ndarray:
-        return Prefix(_TABLE[self.data]).spans(self.start, self.end) if len(self) else np.zeros(0, np.uint64)
+        """64 bits of a digest of each word's bytes; each distinct word is hashed once."""
+        off = np.zeros(len(self) + 1, np.int64)
+        np.cumsum(self.end - self.start, out=off[1:])
+        own = pa.Array.from_buffers(pa.large_binary(), len(self), [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(self.data[self.is_word]))])
+        known = own.dictionary_encode()
+        return digests(known.dictionary.to_pylist())[:, 0][known.indices.to_numpy()].astype(np.uint64)
+
+    def joined(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All words with one blank after each, and where each starts and ends there."""
+        size = self.end - self.start
+        start = np.cumsum(size + 1) - size - 1
+        out = np.full(int(size.sum()) + len(size), 0x20, np.uint8)
+        out[np.arange(int(size.sum())) + np.repeat(np.arange(len(size)), size)] = self.data[self.is_word]
+        return out, start, start + size
 
     def doc(self) -> np.ndarray:
         """The text that each word is in."""

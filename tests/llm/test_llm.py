@@ -320,7 +320,7 @@ def test_queries_against_sql(spark):
     from tabkit.llm import queries
 
     con = duckdb.connect()
-    for name in ("documents", "benchmark"):
+    for name in ("documents", "benchmark", "conversations"):
         con.sql(f"create view {name} as select * from read_parquet('/root/testdata/sf0.001/{name}.parquet')")
     for name, sql in queries.oracle_sql().items():
         got, want = queries.queries()[name](spark, "/root/testdata/sf0.001"), con.sql(sql)
@@ -580,9 +580,32 @@ def test_token_counts(docs, empty):
     assert token_counts.token_counts(empty).count() == 0
 
 
-def test_pipeline(spark):
+def test_pipeline(spark, monkeypatch):
+    import os
+
     import corpus_pipeline
 
+    gone, discard = [], corpus_pipeline.discard
+    monkeypatch.setattr(corpus_pipeline, "discard", lambda *t: (gone.extend(x._tabkit_path for x in t), discard(*t)))
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert len(gone) == len(corpus_pipeline.STAGES) - 1 and not any(os.path.exists(p.removeprefix("file:")) for p in gone)
+    assert os.path.exists(out._tabkit_path.removeprefix("file:"))
     assert out.count() > 100
     assert out.groupBy("sequence_id").sum("length").where("`sum(length)` > 2048").count() == 0
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """No documents at all, and a text of five megabytes."""
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(1, "some words")], "item_id long, text string").write.parquet(str(tmp_path / "none/benchmark.parquet"))
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "none/documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+    r = random.Random(5)
+    long = " ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(720_000))
+    rows = [(1, long, "en", "s", 1), (2, "hello world", "en", "s", 1), (3, "ein kurzer Satz", "de", "s", 1)]
+    spark.createDataFrame([(1, "some words")], "item_id long, text string").write.parquet(str(tmp_path / "long/benchmark.parquet"))
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "long/documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path / "long")).groupBy("doc_id").sum("length").collect()
+    assert {x[0] for x in got} == {1, 2, 3} and {x[0]: x[1] for x in got}[1] > 1_000_000
