@@ -17,7 +17,9 @@ def new_path(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + os.path.join(tempfile.gettempdir(), "tabkit-checkpoints")
     where = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/tabkit-{spark.sparkContext.applicationId}")
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(where)  # only what exists is marked for deletion
+    store.deleteOnExit(where)
     return f"{where.toString()}/{uuid.uuid4().hex}"
 
 
