@@ -6,12 +6,10 @@ before the next one reads it.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from tabkit.llm.decontam import decontaminated
-from tabkit.llm.frames import documents, shared_folder
+from tabkit.llm.frames import discard, documents, written
 from tabkit.llm.langid import with_language
 from tabkit.llm.ngram_join import one_of_each
 from tabkit.llm.packing import best_fit_packing
@@ -56,9 +54,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = documents(spark, sf_dir)
-    for name, stage in STAGES:
-        path = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}-{name}"
-        stage(spark, out, sf_dir).write.parquet(path)
-        out = spark.read.parquet(path)
+    """The packed pieces; a stage's table goes once the next one is written, and the last when the driver ends."""
+    out, before = documents(spark, sf_dir), None
+    for _, stage in STAGES:
+        out = written(stage(spark, out, sf_dir))
+        if before is not None:
+            discard(before)
+        before = out
     return out

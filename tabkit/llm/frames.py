@@ -24,7 +24,9 @@ def shared_folder(spark: SparkSession) -> str:
 def _table(spark: SparkSession) -> str:
     """A new path in this application's own part of the shared folder, which goes when the driver ends."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/tabkit-{spark.sparkContext.applicationId}")
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(folder)  # only what exists is marked for deletion
+    store.deleteOnExit(folder)
     return f"{folder.toString()}/{uuid.uuid4().hex}"
 
 
