@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 import xxhash
 
 SLICE = 1 << 19
+#: Bytes of a word, beyond which its hash is taken of it as a whole.
+LONG_WORD = 256
 
 #: Bytes 0x20 and 0x09-0x0D part words of the ``[^\\x20\\x09-\\x0D]+`` kind.
 SPACE_WORD = np.ones(256, bool)
@@ -141,12 +143,23 @@ class Words:
         return len(self.start)
 
     def hashes(self) -> np.ndarray:
-        """64 bits of a digest of each word's bytes; each distinct word is hashed once."""
-        off = np.zeros(len(self) + 1, np.int64)
-        np.cumsum(self.end - self.start, out=off[1:])
-        own = pa.Array.from_buffers(pa.large_binary(), len(self), [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(self.data[self.is_word]))])
-        known = own.dictionary_encode()
-        return digests(known.dictionary.to_pylist())[:, 0][known.indices.to_numpy()].astype(np.uint64)
+        """64-bit hashes: eight bytes after another are mixed in; of words of one length up to eight bytes, no two have one hash."""
+        size = self.end - self.start
+        h = mix(size.astype(np.uint64) + np.uint64(_P))
+        data = np.concatenate((self.data, np.zeros(8, np.uint8)))
+        of, at, left = np.arange(len(size)), self.start, size
+        for _ in range(LONG_WORD // 8):
+            if not len(of):
+                break
+            chunk = np.zeros(len(of), np.uint64)
+            for i in range(min(8, int(left.max()))):
+                chunk |= np.where(left > i, data[at + i], 0).astype(np.uint64) << np.uint64(8 * i)
+            h[of] = mix(h[of] * np.uint64(_P) + mix(chunk * np.uint64(0xD6E8FEB86659FD93)))
+            more = left > 8
+            of, at, left = of[more], at[more] + 8, left[more] - 8
+        for w in np.flatnonzero(size > LONG_WORD):
+            h[w] = xxhash.xxh3_64_intdigest(self.data[self.start[w] : self.end[w]].tobytes())
+        return h
 
     def joined(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All words with one blank after each, and where each starts and ends there."""
