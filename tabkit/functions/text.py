@@ -82,6 +82,30 @@ def number(c: Column | str) -> Column:
     return F.when(t.rlike(_NUMBER), t.try_cast("double"))
 
 
+def exact_order(c: Column | str) -> list[Column]:
+    """Keys that sort the numbers which cells spell by their exact value, however many digits they have: sign, place of the first digit, digits.
+
+    A number is 0.d1d2d3... times ten to a power; of negative ones the power is
+    negated and digits are taken from nine, with an end sign above all digits.
+    Infinities have the greatest power; a written power beyond 2**61 counts as that;
+    what is no number, and nan, has the sign 2.
+    """
+    t = F.lower(strip(c))
+    far, written = F.lit(1 << 62), F.regexp_extract(t, r"e([+-]?\d+)$", 1)
+    power = F.coalesce(F.when(written == "", F.lit(0)), F.greatest(F.least(written.try_cast("long"), far / F.lit(2)), -far / F.lit(2)).cast("long"), F.when(written.startswith("-"), -far / F.lit(2)).otherwise(far / F.lit(2)).cast("long"))
+    mantissa = F.regexp_replace(t, "^[+-]|e.*$", "")
+    whole, part = F.split_part(mantissa, F.lit("."), F.lit(1)), F.split_part(mantissa, F.lit("."), F.lit(2))
+    bare = F.ltrim(F.concat(whole, part), F.lit("0"))
+    digits = F.rtrim(bare, F.lit("0"))
+    place = power + F.length(whole) - (F.length(whole) + F.length(part) - F.length(bare))
+    endless, finite = t.rlike("^[+-]?inf"), t.rlike(_NUMBER) & ~t.rlike("n")
+    down = t.startswith("-")
+    sign = F.when(endless | (finite & (digits != "")), F.when(down, -1).otherwise(1)).when(finite, 0).otherwise(2)
+    place = F.when(endless, far).when(finite & (digits != ""), place.cast("long"))
+    text = F.when(finite & (digits != ""), F.when(down, F.concat(F.translate(digits, "0123456789", "9876543210"), F.lit("~"))).otherwise(digits))
+    return [sign, F.when(down, -place).otherwise(place), text]
+
+
 def integer_text(c: Column | str) -> Column:
     """An integer in canonical form, or null."""
     t = strip(c)

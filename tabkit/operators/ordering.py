@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import col, is_numeric, number, strip
+from ..functions.text import col, exact_order, is_numeric, number, strip
 from .checkpoints import written
 
 
 def sort_keys(fields: list[str], numeric_aware: bool = True, df: DataFrame | None = None) -> list[Column]:
-    """Blanks, then numbers by value, then text; or plain text with nulls last.  Numeric columns of ``df`` are their own keys."""
+    """Blanks, then numbers by their exact value, then text; or plain text with nulls last.  Numeric columns of ``df`` are their own keys."""
     if not numeric_aware:
         return [col(f).cast("string").asc_nulls_last() for f in fields]
     kinds = dict(df.dtypes) if df is not None else {}
@@ -21,7 +21,7 @@ def sort_keys(fields: list[str], numeric_aware: bool = True, df: DataFrame | Non
             continue
         t = strip(F.coalesce(col(f).cast("string"), F.lit("")))
         n = number(t)
-        out += [F.when(t == "", 0).when(n.isNotNull(), 1).otherwise(2), n, F.when(n.isNull(), t)]
+        out += [F.when(t == "", 0).when(n.isNotNull(), 1).otherwise(2), *(F.when(n.isNotNull(), k) for k in exact_order(t)), F.when(n.isNull(), t)]
     return out
 
 

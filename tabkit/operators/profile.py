@@ -109,8 +109,11 @@ def sign_styles(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def sample_head(df: DataFrame, rows: int, order_by: list[str] | None = None) -> DataFrame:
-    """The first rows in an order, all columns' by default, so that every reading gives the same."""
-    return df.orderBy(*map(col, order_by or df.columns)).limit(rows)
+    """The first rows in an order; without one, in the order in which the table is scanned, and no more is read than holds them.
+
+    The head of a file in its own order is ``sources.delimited.head``.
+    """
+    return (df.orderBy(*map(col, order_by)) if order_by else df).limit(rows)
 
 
 def build_profile(df: DataFrame, sample_rows: int | None = None, columns: list[str] | None = None, order_by: list[str] | None = None, strict: bool = False) -> Profile:

@@ -14,7 +14,7 @@ from .operators import columns as C
 from .operators import compare, concat, filtering, keyjoin, normalize, ordering, profile
 from .operators.checkpoints import new_path
 from .operators.profile import FieldProfile, Profile
-from .sources import delimited
+from .sources import delimited, records
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -343,6 +343,19 @@ def sort_numeric_aware(spark, d):
     return ordering.numbered(p, [*ordering.sort_keys(["size"]), F.col("p_partkey")]).select("p_partkey", "pos")
 
 
+_BIG = "case when o_orderkey % 3 = 0 then -1 else 1 end * (9007199254740992::hugeint + o_orderkey * case when o_orderkey % 2 = 0 then 1 else 100000000000000000000::hugeint end)"
+
+
+@query(f"select o_orderkey, row_number() over (order by {_BIG}, o_orderkey) as pos from orders")
+def sort_big_numbers(spark, d):
+    """Numbers in text of 16 to 28 digits, which a double cannot tell apart."""
+    k = F.col("o_orderkey")
+    n = F.lit("9007199254740992").cast("decimal(38,0)") + k.cast("decimal(12,0)") * F.when(k % 2 == 0, F.lit(1).cast("decimal(21,0)")).otherwise(F.lit("1" + "0" * 20).cast("decimal(21,0)"))
+    text = F.concat(F.when(k % 3 == 0, "-").otherwise(""), n.cast("string"))
+    o = table(spark, d, "orders").select("o_orderkey", text.alias("number"))
+    return ordering.numbered(o, [*ordering.sort_keys(["number"]), F.col("o_orderkey")]).select("o_orderkey", "pos")
+
+
 @query("select p_partkey, row_number() over (order by cast(p_size as varchar), p_partkey) as pos from part")
 def sort_lexicographic(spark, d):
     p = table(spark, d, "part").select("p_partkey", F.col("p_size").cast("string").alias("size"))
@@ -683,6 +696,44 @@ def csv_rejects(spark, d):
     return kept.unionAll(spark.read.text(rejects).select(F.lit("rejected"))).groupBy("what").agg(F.count("*").alias("n"))
 
 
+@query("select c_custkey, 'first' || chr(10) || chr(10) || c_name || ', \"x\"' || chr(10) as note, 3 + c_custkey % 2 as n_cells, md5(c_custkey || ',\"first' || chr(10) || chr(10) || c_name || ', \"\"x\"\"' || chr(10) || '\",' || c_mktsegment || case when c_custkey % 2 = 1 then ',more' else '' end) as raw from customer")
+def csv_records(spark, d):
+    """Records with line breaks in cells, of files that many tasks read: place, number of cells and raw text of each."""
+    path, c = new_path(spark), table(spark, d, "customer")
+    note = F.concat(F.lit("first\n\n"), "c_name", F.lit(', "x"\n'))
+    quoted = F.concat(F.lit('"'), F.replace(note, F.lit('"'), F.lit('""')), F.lit('"'))
+    line = F.concat_ws(",", F.col("c_custkey").cast("string"), quoted, "c_mktsegment", F.when(F.col("c_custkey") % 2 == 1, "more"))
+    c.select(line.alias("value")).write.text(path)
+    got = records.as_table(records.read_records(spark, path), ["key", "note"], False, width="n_cells", raw="raw")
+    return got.select(F.col("key").cast("long").alias("c_custkey"), "note", "n_cells", F.md5("raw").alias("raw"))
+
+
+@query("select case when s_suppkey % 4 = 0 then 'wrong width' when s_suppkey % 4 = 1 then 'blank row' when s_suppkey % 4 = 2 then 'too few cells' else 'kept' end as reason, count(*) as n, sum(s_suppkey) as keys from supplier where s_suppkey % 4 <> 1 group by 1 union all select 'blank row', count(*), 0 from supplier where s_suppkey % 4 = 1")
+def csv_ragged(spark, d):
+    """Rows of a wrong width found while a file is read; dropped ones are written with their reason."""
+    path, k = new_path(spark), F.col("s_suppkey") % 4
+    text = F.col("s_suppkey").cast("string")
+    line = F.when(k == 0, F.concat_ws(",", text, "s_name", F.lit("a"), F.lit("b"))).when(k == 1, ",,").when(k == 2, F.concat(text, F.lit(",,"))).otherwise(F.concat_ws(",", text, "s_name", F.lit('"a\nb"')))
+    table(spark, d, "supplier").select(line.alias("value")).write.text(f"{path}/in")
+    rows = records.as_table(records.read_records(spark, f"{path}/in"), ["key", "name", "note"], False, width="cells")
+    kept, dropped = concat.hygiene(rows, width="cells")
+    delimited.write_dropped(dropped, f"{path}/out.csv")
+    again = spark.read.option("header", True).csv(f"{path}/out_DROPPED_RECORDS.csv").select("key", F.col("drop_reason").alias("reason"))
+    both = again.unionAll(kept.select("key", F.lit("kept").alias("reason")))
+    return both.groupBy("reason").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.try_to_number("key", F.lit("999999999999")).cast("long"), F.lit(0))).alias("keys"))
+
+
+@query("select 'id' as field, 'int' as kind, 1 as length union all select 'name', 'str', max(length(c_name)) from customer where c_custkey = (select max(c_custkey) from customer)")
+def profile_first_row(spark, d):
+    """The profile of a file's first row in its own order, which is not the least one: only that row is read."""
+    path, c = new_path(spark), table(spark, d, "customer")
+    first = F.col("c_custkey") == F.lit(c.agg(F.max("c_custkey")).first()[0])
+    rows = c.select(F.when(first, "9").otherwise(F.concat(F.lit("x"), F.col("c_custkey").cast("string"))).alias("id"), F.when(first, F.col("c_name")).otherwise("a\nb").alias("name"), (~first).alias("late"))
+    delimited.write_file(rows.orderBy("late").drop("late"), f"{path}/in.csv")
+    got = profile.build_profile(delimited.head(spark, f"{path}/in.csv", 1))
+    return spark.createDataFrame([(f.name, f.kind, f.length) for f in got.fields], "field string, kind string, length long")
+
+
 @query("select n_nationkey % 3 as part, count(*) as n from nation group by 1")
 def csv_folder(spark, d):
     """The files of a folder, in natural order, as one table; one of another header is left out."""

@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from ..functions.fields import natural_key, synthetic_header, unique_header
 from ..functions.text import col
 from ..operators.keyjoin import lookup_table
+from .records import as_table, read_records
 
 DELIMITERS = [",", ";", "\t", "|"]
 PROBE = 4096
@@ -148,15 +149,20 @@ def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None,
 
     ``corrupt`` names a column for rows of a wrong width, ``skip_malformed``
     leaves them out; ``ordinal`` names a column that follows file order.  A
-    file is read in parts unless a cell of it has line breaks (``multi_line``,
-    looked up where it is not given).
+    file whose cells have line breaks (``multi_line``, looked up where it is not
+    given) is read by ``read_records``, in parts as well.
     """
     p = preview(spark, path, delimiter, has_header)
     multi_line = breaks_in_cells(spark, path) if multi_line is None else multi_line
+    if multi_line:
+        df = as_table(read_records(spark, path, p.delimiter, p.encoding), p.header, has_header, "__width", "__raw", ordinal)
+        wrong = F.col("__width") != len(p.header)
+        df = df.where(~wrong) if skip_malformed else df
+        return df.select(*map(col, p.header), *([F.when(wrong, F.col("__raw")).alias(corrupt)] if corrupt else []), *([col(ordinal)] if ordinal else []))
     schema = T.StructType([T.StructField(n, T.StringType()) for n in p.header] + ([T.StructField(corrupt, T.StringType())] if corrupt else []))
     if p.encoding == "windows-1252":
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    reader = spark.read.schema(schema).options(sep=p.delimiter, quote='"', escape='"', header=str(has_header).lower(), encoding=p.encoding, mode="DROPMALFORMED" if skip_malformed else "PERMISSIVE", enforceSchema="true", multiLine=str(multi_line).lower(), maxColumns=max(20480, len(p.header) + 1), ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false")
+    reader = spark.read.schema(schema).options(sep=p.delimiter, quote='"', escape='"', header=str(has_header).lower(), encoding=p.encoding, mode="DROPMALFORMED" if skip_malformed else "PERMISSIVE", enforceSchema="true", maxColumns=max(20480, len(p.header) + 1), ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false")
     if corrupt:
         reader = reader.option("columnNameOfCorruptRecord", corrupt)
     if corrupt or skip_malformed:  # a parser of some columns alone does not see how wide a line is
@@ -167,6 +173,23 @@ def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None,
     return df.select(*(F.coalesce(col(n), F.lit("")).alias(n) for n in p.header), *(col(x) for x in (corrupt, ordinal) if x))
 
 
+def head(spark: SparkSession, path: str, rows: int, delimiter: str | None = None, has_header: bool = True) -> DataFrame:
+    """The first records of a file, in its order: as many bytes are read as hold them."""
+    p, n = preview(spark, path, delimiter, has_header), PROBE
+    while True:
+        data = head_bytes(spark, path, n)
+        source, ended = io.StringIO(decode(data, p.encoding), newline=""), []
+        lines = (x for x in source if x.endswith(("\n", "\r")) or len(data) < n or ended.append(True))  # a last line may be cut short
+        got = [r for r in csv.reader(lines, delimiter=p.delimiter) if r]
+        if len(data) < n or len(got) > rows + has_header:  # the last one may be half a record
+            break
+        n *= 4
+    if has_header:
+        got = got[next((i + 1 for i, r in enumerate(got) if any(c.strip() for c in r)), 0) :]
+    cells = [(r + [""] * len(p.header))[: len(p.header)] for r in got[:rows]]
+    return spark.createDataFrame(cells, T.StructType([T.StructField(c, T.StringType()) for c in p.header]))
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
