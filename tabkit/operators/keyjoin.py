@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fields import UnknownField, unique_name
 from ..functions.text import clean_cell, col, is_digits, is_whole, strip, zero_fill_digits
 from .columns import drop_blank_rows
+from .ordering import numbered_within
 
 
 @dataclass(frozen=True)
@@ -111,7 +112,6 @@ def lookup(main: DataFrame, table: DataFrame, on: list[tuple[str, str]], append:
         style = replace(style, widths=tuple(map(max, *both)))
     m, t, names = _sides(main, table, on, style)
     new = {a: unique_name(a, main.columns) for a in append}
-    order = Window.partitionBy(*names).orderBy(*map(col, order_by))
     t = t.select(*names, *map(col, dict.fromkeys(order_by)), *(col(a).alias(f"__a{i}") for i, a in enumerate(append)))
     out = [col(c) for c in main.columns]
     added = [F.col(f"__a{i}").alias(new[a]) for i, a in enumerate(append)]
@@ -123,8 +123,8 @@ def lookup(main: DataFrame, table: DataFrame, on: list[tuple[str, str]], append:
     if mode == "all":
         t = t.select(*names, *(f"__a{i}" for i in range(len(append))), F.lit(True).alias("__hit"))
         return m.join(t, names, "left").select(*out, *added, F.coalesce("__hit", F.lit(False)).alias(unique_name("matched", [*main.columns, *new.values()])))
-    t = t.select(*names, *(f"__a{i}" for i in range(len(append))), F.row_number().over(order).alias("__n"))
-    m = m.withColumn("__n", F.row_number().over(Window.partitionBy(*names).orderBy(*map(col, main_order or order_by))))
+    t = numbered_within(t, names, [*map(col, order_by)], "__n").select(*names, *(f"__a{i}" for i in range(len(append))), "__n")
+    m = numbered_within(m, names, [*map(col, main_order or order_by)], "__n")
     return m.join(t, [*names, "__n"], "left").select(*out, *added)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -117,3 +119,15 @@ def numbered(df: DataFrame, order_by: list[Column], name: str = "pos") -> DataFr
     table = df.sparkSession.createDataFrame(rows or [(-1, 0)], "__p int, __shift long")
     return parts.join(F.broadcast(table), "__p").select(*map(col, df.columns), (F.col("__m") + F.col("__shift") + 1).alias(name))
 
+
+def numbered_within(df: DataFrame, keys: list[str], order_by: list[Column], name: str = "pos") -> DataFrame:
+    """A dense number within each key, in a total order.
+
+    All rows are numbered by key and order, and each key's least number is
+    taken off, so a key that holds a third of the rows lies in a third of the
+    parts and no task sees it whole.  Null keys are one key.
+    """
+    all_ = numbered(df, [*map(col, keys), *order_by], "__pos")
+    first = all_.groupBy(*(col(k).alias(f"__f{i}") for i, k in enumerate(keys))).agg(F.min("__pos").alias("__first"))
+    same = reduce(lambda a, b: a & b, (col(k).eqNullSafe(F.col(f"__f{i}")) for i, k in enumerate(keys)))
+    return all_.join(first, same).select(*map(col, df.columns), (F.col("__pos") - F.col("__first") + 1).alias(name))

@@ -264,3 +264,18 @@ def test_numbered_is_dense(spark):
     got = ordering.numbered(df, [F.col("v")])
     assert got.where("v + 1 <> pos").count() == 0 and got.count() == 1000
     assert ordering.numbered(df.limit(0), [F.col("v")]).count() == 0
+
+
+def test_fifo_lookup_of_a_hot_key(spark):
+    """A key with a third of all rows, and null keys, are numbered in parts: no window sees a key whole."""
+    main = spark.range(9000).selectExpr("if(id % 3 = 0, 'hot', if(id % 50 = 1, null, cast(id % 700 as string))) as k", "id as n").repartition(5)
+    table = spark.range(5000).selectExpr("if(id % 2 = 0, 'Hot', cast(id % 900 as string)) as k", "10000 - id as v")
+    out = keyjoin.lookup(main, table, [("k", "k")], ["v"], ["v"], "fifo", main_order=["n"])
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+    queues = {}
+    for r in sorted(table.collect(), key=lambda r: r.v):
+        queues.setdefault(r.k.lower(), []).append(r.v)
+    want = [(r.k, r.n, queues[r.k].pop(0) if queues.get(r.k) else None) for r in sorted(main.collect(), key=lambda r: r.n)]
+    assert sorted(map(tuple, out.collect()), key=lambda r: r[1]) == want
+    within = ordering.numbered_within(main, ["k"], [main["n"]])
+    assert within.where("k is null").agg({"pos": "max"}).first()[0] == main.where("k is null").count()
