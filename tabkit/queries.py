@@ -662,8 +662,8 @@ _ODD = """select cast(c_custkey as varchar) as id, case c_custkey % 5 when 0 the
 def csv_round_trip(spark, d):
     """Written as delimited text and read again, probed from the files."""
     path = new_path(spark)
-    delimited.write_delimited(_odd(spark, d), path, single_file=True)
-    return delimited.read_delimited(spark, _only_file(spark, path))
+    delimited.write_file(_odd(spark, d).repartition(4), f"{path}/x.csv")
+    return delimited.read_delimited(spark, f"{path}/x.csv")
 
 
 @query(_ODD)
@@ -688,9 +688,8 @@ def csv_rejects(spark, d):
     """Lines of a wrong width are written apart; a reading that skips them has the rest."""
     path = new_path(spark)
     line = F.concat_ws(",", F.col("n_nationkey").cast("string"), "n_name", F.when(F.col("n_nationkey") % 4 == 0, "too much"))
-    head = spark.range(1).select(F.lit("key,name").alias("value"))
-    head.unionAll(table(spark, d, "nation").select(line.alias("value"))).coalesce(1).write.text(path)
-    name = _only_file(spark, path)
+    name = f"{path}/x.csv"
+    delimited.write_lines(table(spark, d, "nation").repartition(3).select(line.alias("value")), name, "key,name")
     rejects = delimited.write_rejects(delimited.read_delimited(spark, name, corrupt="bad"), name, "bad")
     kept = delimited.read_delimited(spark, name, skip_malformed=True).select(F.lit("kept").alias("what"))
     return kept.unionAll(spark.read.text(rejects).select(F.lit("rejected"))).groupBy("what").agg(F.count("*").alias("n"))
@@ -742,7 +741,7 @@ def csv_folder(spark, d):
         delimited.write_file(n.where(F.col("key").cast("int") % 3 == k), f"{path}/file{k * 5}.csv")
     delimited.write_file(n.withColumnRenamed("key", "id"), f"{path}/file99.csv")
     used, _ = delimited.scan_directory(spark, path, "csv")
-    out = concat.concat_frames([(p.path.rsplit("/", 1)[-1], delimited.read_delimited(spark, p.path)) for p in used], source="file").df
+    out = delimited.read_files(spark, used, source="file").df
     place = F.regexp_extract("file", "([0-9]+)", 1).cast("int") / 5
     return out.groupBy(place.cast("int").alias("part")).agg(F.count("*").alias("n"))
 
@@ -773,10 +772,6 @@ def _files(spark, path):
     return [s.getPath().toString() for s in where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where) if s.getPath().getName().startswith("part-")]
 
 
-def _only_file(spark, path):
-    return _files(spark, path)[0]
-
-
 # dates
 
 

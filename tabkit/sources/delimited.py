@@ -10,8 +10,12 @@ import codecs
 import csv
 import fnmatch
 import io
+import os
 import re
+import sys
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -20,8 +24,9 @@ from pyspark.sql import types as T
 
 from ..functions.fields import natural_key, synthetic_header, unique_header
 from ..functions.text import col
+from ..operators.concat import STRICT, Concatenation, same_header
 from ..operators.keyjoin import lookup_table
-from .records import as_table, read_records
+from .records import as_table, read_records, splits
 
 DELIMITERS = [",", ";", "\t", "|"]
 PROBE = 4096
@@ -112,6 +117,7 @@ class Preview:
     encoding: str = "UTF-8"
     quoted: list[bool] = field(default_factory=list)
     size: int = 0
+    breaks: bool = False
 
     @property
     def empty(self) -> bool:
@@ -211,11 +217,86 @@ def is_hidden(name: str) -> bool:
     return name.startswith((".", "~", "_")) or name.lower() in ("desktop.ini", "thumbs.db")
 
 
+#: Beyond this many bytes the head of a file is looked at by a probe of its own.
+LONGEST_HEAD = 1 << 20
+
+
+def _plain(path: str) -> str:
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
+
+
+def _enough(data: bytes, delimiter: str | None) -> bool:
+    """Whether a file's first lines hold its first record and a line after it; delimiters, quotes and breaks are the same bytes in every encoding."""
+    text = data.decode("latin-1")
+    return len(data) >= PROBE and first_record(text, delimiter or sniff_delimiter(text))[1]
+
+
+def _probes(delimiter: str | None):
+    """Of each split and batch: bytes that are no UTF-8 or no cp1252, lines with a cell that may go on; and the head, of the first split."""
+    kinds = [pa.string(), pa.bool_(), pa.bool_(), pa.bool_(), pa.binary()]
+
+    def row(*cells) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(cells, kinds, strict=True)], ["file", "invalid", "latin", "odd", "head"])
+
+    def work(batches):
+        csv.field_size_limit(sys.maxsize)
+        head, file, size, next_look = None, None, 0, 0
+
+        def closed():
+            return row(file, False, False, False, b"\n".join(head))
+
+        for name, start, lines, first in splits(batches):
+            if first:
+                if head is not None:
+                    yield closed()
+                file, head, size, next_look = name, [] if start == 0 else None, 0, PROBE
+            values = lines.to_pylist()
+            bad = [v for v in values if not v.isascii() and probe_encoding(v, True) != "UTF-8"]
+            latin = any(probe_encoding(v, True) == "ISO-8859-1" for v in bad)
+            yield row(name, bool(bad), latin, any(v.count(b'"') % 2 for v in values), None)
+            for v in values if head is not None else ():
+                head.append(v)
+                size += len(v) + 1
+                if size > LONGEST_HEAD:  # left to a probe of its own
+                    head = None
+                    break
+                if size >= next_look:
+                    next_look *= 2
+                    if _enough(b"\n".join([*head, b""]), delimiter):
+                        yield closed()
+                        head = None
+                        break
+        if head is not None:
+            yield closed()
+
+    return work
+
+
+def _headers(delimiter: str | None):
+    """Of each file: first record, delimiter and quotes by its head, null if that is not known."""
+
+    def work(batches):
+        csv.field_size_limit(sys.maxsize)
+        for b in batches:
+            for r in b.to_pylist():
+                header, d, quoted = None, None, None
+                if r["head"] is not None:
+                    text = decode(r["head"], r["encoding"])
+                    d = delimiter or sniff_delimiter(text)
+                    header, quoted = first_record(text, d)[0], quote_pattern(text, d)
+                yield pa.RecordBatch.from_arrays([pa.array([r["file"]]), pa.array([r["encoding"]]), pa.array([r["odd"]]), pa.array([header], pa.list_(pa.string())), pa.array([d], pa.string()), pa.array([quoted], pa.list_(pa.bool_()))], ["file", "encoding", "odd", "header", "delimiter", "quoted"])
+
+    return work
+
+
 def scan_directory(spark: SparkSession, path: str, patterns: str = "*.csv;*.txt", delimiter: str | None = None) -> tuple[list[Preview], list[tuple[str, str]]]:
-    """Files in natural order, and those left out with a reason."""
+    """Files in natural order, and those left out with a reason; one scan looks into all files.
+
+    The driver holds one row a file: name, header and how it is written.
+    """
     jvm = spark._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
-    used, skipped, globs = [], [], extension_patterns(patterns)
+    sizes, skipped, globs, used = {}, [], extension_patterns(patterns), []
     for s in sorted(where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where), key=lambda s: natural_key(s.getPath().getName())):
         name = s.getPath().getName()
         if s.isDirectory():
@@ -224,12 +305,75 @@ def scan_directory(spark: SparkSession, path: str, patterns: str = "*.csv;*.txt"
             skipped.append((name, "hidden"))
         elif not any(fnmatch.fnmatch(name.lower(), g.lower()) for g in globs):
             skipped.append((name, "extension"))
-        elif s.getLen() == 0 or (p := preview(spark, s.getPath().toString(), delimiter)).empty:
+        elif s.getLen() == 0:
             skipped.append((name, "empty"))
         else:
-            p.size = s.getLen()
-            used.append(p)
-    return used, skipped
+            sizes[s.getPath().toString()] = s.getLen()
+    if not sizes:
+        return [], skipped
+    lines = spark.read.text([_plain(p) for p in sizes]).select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    seen = lines.mapInArrow(_probes(delimiter), "file string, invalid boolean, latin boolean, odd boolean, head binary").groupBy("file")
+    encoding = F.when(~F.bool_or("invalid"), "UTF-8").when(F.bool_or("latin"), "ISO-8859-1").otherwise("windows-1252")
+    seen = seen.agg(encoding.alias("encoding"), F.bool_or("odd").alias("odd"), F.max("head").alias("head"))
+    seen = seen.mapInArrow(_headers(delimiter), "file string, encoding string, odd boolean, header array<string>, delimiter string, quoted array<boolean>")
+    found = {jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(r.file)).toUri().getPath(): r for r in seen.toLocalIterator()}
+    for file, size in sizes.items():
+        r = found.get(jvm.org.apache.hadoop.fs.Path(file).toUri().getPath())
+        if r and r.header is None:
+            p = preview(spark, file, delimiter)
+        else:
+            first = [c.strip() for c in r.header] if r else []
+            p = Preview(file, unique_header(first), r.delimiter, r.encoding, r.quoted) if first else Preview(file)
+        if p.empty:
+            skipped.append((file.rsplit("/", 1)[1], "empty"))
+            continue
+        p.size, p.breaks = size, bool(r and r.odd)
+        used.append(p)
+    place = {name: i for i, name in enumerate(sorted({n for n, _ in skipped}, key=natural_key))}
+    return used, sorted(skipped, key=lambda x: place[x[0]])
+
+
+def read_files(spark: SparkSession, previews: list[Preview], mode: str = STRICT, on_mismatch: str = "skip", source: str | None = None, ordinal: str | None = None) -> Concatenation:
+    """All rows of scanned files, by place, under the first one's header, as ``concat_frames`` of the files gives them.
+
+    One reader for each way of writing (encoding, delimiter, breaks in cells),
+    however many files there are.  ``source`` names a column for the file's
+    name, ``ordinal`` one by which rows have the order of the files given.
+    """
+    out, ways = Concatenation(), {}
+    for place, p in enumerate(previews):
+        name = p.path.rsplit("/", 1)[1]
+        if len(p.header) != len(previews[0].header) or not same_header(previews[0].header, p.header, mode):
+            out.skipped.append((name, "header differs"))
+            if on_mismatch == "abort":
+                break
+            continue
+        ways.setdefault((p.encoding, p.delimiter, p.breaks), []).append((p, place))
+        out.used.append(name)
+    header, frames = previews[0].header if previews else [], []
+    for (encoding, delimiter, breaks), files in ways.items():
+        paths = [p.path for p, _ in files]
+        if breaks:
+            df = as_table(read_records(spark, paths, delimiter, encoding), header, ordinal="__at").withColumn("__file", F.col("__at.file")).withColumn("__at", F.struct(F.col("__at.start"), F.col("__at.row")))
+        else:
+            if encoding == "windows-1252":
+                spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+            schema = T.StructType([T.StructField(n, T.StringType()) for n in header])
+            df = spark.read.schema(schema).options(sep=delimiter, quote='"', escape='"', header="true", encoding=encoding, enforceSchema="true", maxColumns=max(20480, len(header) + 1), ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").csv([_plain(p) for p in paths])
+            df = df.select(*(F.coalesce(col(n), F.lit("")).alias(n) for n in header), F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row")).alias("__at"), F.col("_metadata.file_path").alias("__file"))
+        if source or ordinal:
+            df = df.withColumn("__name", F.element_at(F.split("__file", "/"), -1))
+        frames.append(df)
+    if not frames:
+        return out
+    df = reduce(DataFrame.unionAll, frames)
+    if source or ordinal:
+        jvm = spark._jvm
+        rows = [(jvm.java.net.URI(None, None, "/" + p.path.rsplit("/", 1)[1], None).getRawPath()[1:], p.path.rsplit("/", 1)[1], i) for files in ways.values() for p, i in files]
+        df = df.join(spark.createDataFrame(rows, "__name string, __source string, __place int"), "__name")
+    more = {source: F.col("__source") if source else None, ordinal: F.struct("__place", "__at") if ordinal else None}
+    out.df = df.select(*map(col, header), *(c.alias(n) for n, c in more.items() if n))
+    return out
 
 
 def write_delimited(df: DataFrame, path: str, delimiter: str = ",", header: bool = True, quoted_columns: list[str] | None = None, quote_all: bool = False, quoting: bool = True, single_file: bool = False) -> None:
@@ -268,16 +412,91 @@ def write_delimited(df: DataFrame, path: str, delimiter: str = ",", header: bool
 
 
 def write_file(df: DataFrame, path: str, **options) -> None:
-    """One delimited file of that very name, by one task."""
-    folder = f"{path}.parts"
-    write_delimited(df, folder, single_file=True, **options)
-    jvm, spark = df.sparkSession._jvm, df.sparkSession
-    where, to = jvm.org.apache.hadoop.fs.Path(folder), jvm.org.apache.hadoop.fs.Path(path)
-    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    part = next(s.getPath() for s in fs.listStatus(where) if s.getPath().getName().startswith("part-"))
-    fs.delete(to, True)
-    fs.rename(part, to)
-    fs.delete(where, True)
+    """One delimited file of that very name, its rows in the frame's order; options are those of ``write_delimited``.
+
+    Parts are written by as many tasks as the frame has partitions, and put together as ``write_lines`` says.
+    """
+    header = options.pop("header", True)
+    names = io.StringIO()
+    if options.get("quoted_columns") is None and options.get("quoting", True):
+        csv.writer(names, delimiter=options.get("delimiter", ","), quoting=csv.QUOTE_ALL if options.get("quote_all") else csv.QUOTE_MINIMAL, lineterminator="\n").writerow(df.columns)
+    else:
+        names.write(options.get("delimiter", ",").join(df.columns) + "\n")
+    _one_file(df.sparkSession, path, names.getvalue() if header else "", lambda folder: write_delimited(df, folder, header=False, **options), lambda folder: write_delimited(df, folder, header=header, single_file=True, **options))
+
+
+def write_lines(df: DataFrame, path: str, head: str | None = None) -> None:
+    """One text file of that very name from a frame of one text column; ``head`` is its first line.
+
+    In a store of plain paths (``file:``, on a cluster a folder that all
+    executors share) each task copies its parts to their places in the file.  A
+    store that joins files itself (HDFS) is told to.  In others one task writes
+    the file.  It has its name only once it is whole.
+    """
+    _one_file(df.sparkSession, path, "" if head is None else head + "\n", lambda folder: df.write.mode("overwrite").text(folder), df)
+
+
+def _copy(folder: str, to: str):
+    """Copies parts to their places; to do so twice does no harm."""
+
+    def work(batches):
+        for b in batches:
+            for name, at in zip(b.column("name").to_pylist(), b.column("at").to_pylist(), strict=True):
+                with open(f"{folder}/{name}", "rb") as part, open(to, "r+b") as out:
+                    out.seek(at)
+                    while block := part.read(1 << 22):
+                        out.write(block)
+                    out.flush()
+                    os.fsync(out.fileno())
+            yield pa.RecordBatch.from_pydict({"done": pa.array([len(b)], pa.int64())})
+
+    return work
+
+
+def _one_file(spark: SparkSession, path: str, head: str, parts: Callable[[str], None], alone: Callable[[str], None]) -> None:
+    """``parts`` writes a folder of parts in order, ``alone`` one of a single part with its head."""
+    jvm, first = spark._jvm, head.encode()
+    to = jvm.org.apache.hadoop.fs.Path(path)
+    fs = to.getFileSystem(spark._jsc.hadoopConfiguration())
+    to = fs.makeQualified(to)
+    folder = jvm.org.apache.hadoop.fs.Path(f"{to.toString()}.parts")
+    plain, joins = to.toUri().getScheme() == "file", fs.hasPathCapability(to.getParent(), "fs.capability.paths.concat")
+    (parts if plain or joins else alone)(folder.toString())
+    found = sorted((s.getPath().getName(), s.getLen()) for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-"))
+    if plain:
+        whole, rows, at = f"{to.toUri().getPath()}.whole", [], len(first)
+        for name, size in found:
+            if size:
+                rows.append((name, at))
+            at += size
+        with open(whole, "wb") as out:
+            out.write(first)
+            out.truncate(at)
+        if rows:
+            places = spark.createDataFrame(rows, "name string, at long").repartition(min(len(rows), 1000), "name")
+            done = places.mapInArrow(_copy(folder.toUri().getPath(), whole), "done long").agg(F.sum("done")).first()[0]
+            if done != len(rows):
+                raise OSError(f"{done} of {len(rows)} parts of {path!r} copied")
+        fs.delete(to, True)
+        os.replace(whole, to.toUri().getPath())
+    else:
+        whole, paths = jvm.org.apache.hadoop.fs.Path(folder, "whole"), [jvm.org.apache.hadoop.fs.Path(folder, name) for name, size in found if size or not joins]
+        if first and joins:
+            out = fs.create(whole)
+            out.write(bytearray(first))
+            out.close()
+        elif paths:
+            fs.rename(paths.pop(0), whole)
+        else:
+            fs.create(whole).close()
+        if paths:
+            array = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Path, len(paths))
+            for i, x in enumerate(paths):
+                array[i] = x
+            fs.concat(whole, array)
+        fs.delete(to, True)
+        fs.rename(whole, to)
+    fs.delete(folder, True)
 
 
 def write_like(df: DataFrame, path: str, source: Preview) -> None:

@@ -49,7 +49,7 @@ def ends_inside(line: bytes, inside: bool, opener: re.Pattern[bytes]) -> bool:
         at += inside
 
 
-def _splits(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, pa.Array, bool]]:
+def splits(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, pa.Array, bool]]:
     """The lines of each split and batch, and whether the split's first are among them."""
     last = None
     for b in batches:
@@ -73,7 +73,7 @@ def _ends(delimiter: str):
         def row():
             return pa.RecordBatch.from_arrays([pa.array([x]) for x in (*key, *state)], ["file", "start", "outside", "inside"])
 
-        for file, start, lines, first in _splits(batches):
+        for file, start, lines, first in splits(batches):
             if first:
                 if key:
                     yield row()
@@ -104,7 +104,7 @@ def _pieces(delimiter: str, encoding: str, starts, whole: bool):
             raw = b"\n".join(kept).decode(encoding, "replace")
             return pa.RecordBatch.from_arrays([pa.array([x]) for x in (*at, first_line, began, ended, raw, began and at[1] == 0 and not headed)], ["file", "start", "row", "began", "ended", "raw", "header"])
 
-        for file, start, lines, first in _splits(batches):
+        for file, start, lines, first in splits(batches):
             if first:
                 if kept and not whole:
                     yield pieces(False)
@@ -150,15 +150,15 @@ def _batch(files, starts, rows, raws, headers, delimiter: str, closed: bool) ->
     return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], ["file", "start", "row", "header", "n_cells", "cells", "raw"])
 
 
-def read_records(spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "UTF-8") -> DataFrame:
+def read_records(spark: SparkSession, path: str | list[str], delimiter: str = ",", encoding: str = "UTF-8") -> DataFrame:
     """file, start and row (the place, in file order), n_cells, cells and raw text of every record, and ``header``: it is its file's first that is not blank.
 
-    Blank lines are records of no cells.  ``path`` is a file or a folder of
-    files of one delimiter and encoding.  Two passes read the files, a third one
+    Blank lines are records of no cells.  ``path`` is a file, a folder or a list
+    of files, of one delimiter and encoding.  Two passes read the files, a third one
     if a record crosses splits; what the driver sees is one name and place of
     each split that starts or ends inside a cell.
     """
-    lines = spark.read.option("lineSep", "\n").text(re.sub(r"([\\{}\[\]*?])", r"\\\1", path))
+    lines = spark.read.option("lineSep", "\n").text([re.sub(r"([\\{}\[\]*?])", r"\\\1", p) for p in ([path] if isinstance(path, str) else path)])
     lines = lines.select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
     ends = lines.mapInArrow(_ends(delimiter), "file string, start long, outside boolean, inside boolean")
     # a split that ends alike whatever it starts with sets the state anew; after it, those that turn it are counted

@@ -85,3 +85,55 @@ def test_exact_order_of_numbers(spark):
     assert got[:2] == ["", " "] and got[2 + len(numbers) :] == ["nan", "1d", "text"]
     down = [x.v for x in ordering.sort_records(spark.createDataFrame(rows[: len(numbers)], "i int, v string"), ["v"], ordinal=["i"], descending=True).collect()]
     assert [Decimal(x) for x in down] == sorted((Decimal(x) for x in numbers), reverse=True)
+
+
+def test_one_file_by_many_tasks(spark, tmp_path):
+    df = spark.range(0, 5000, 1, 7).selectExpr("cast(id as string) id", "concat('\"', id, '\n,', repeat('x', cast(id % 90 as int))) `a,b`")
+    want = [["id", "a,b"], *([str(i), f'"{i}\n,{"x" * (i % 90)}'] for i in range(5000))]
+    out = tmp_path / "one file.csv"
+    for _ in range(2):  # the second time it is there
+        delimited.write_file(df, str(out))
+        with open(out, newline="") as f:
+            assert list(csv.reader(f)) == want
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["one file.csv"]
+    assert delimited.read_delimited(spark, str(out)).count() == 5000
+    delimited.write_file(df.orderBy("`a,b`"), str(out), quoted_columns=["id"], delimiter=";", header=False)
+    with open(out, newline="") as f:
+        assert list(csv.reader(f, delimiter=";")) == sorted(want[1:], key=lambda x: x[1])
+    delimited.write_file(df.limit(0), str(out))
+    assert out.read_text() == 'id,"a,b"\n'
+    lines = spark.range(0, 100, 1, 9).selectExpr("concat('l', id) value")
+    delimited.write_lines(lines, str(out), "é")
+    assert out.read_text("utf-8").splitlines() == ["é", *(f"l{i}" for i in range(100))]
+    delimited.write_lines(lines.where("value = 'none'"), str(out))
+    assert out.read_text() == ""
+
+
+def test_folder_in_one_scan(spark, tmp_path):
+    r, want, plans = random.Random(4), [], {}
+    for n in (20, 200):
+        folder = tmp_path / str(n)
+        folder.mkdir()
+        want = []
+        for i in range(n):
+            d, breaks, encoding = ",;"[i % 2], i % 3 == 0, "cp1252" if i % 5 == 0 else "utf-8"
+            rows = [[str(k), f"é{i}" + "\nnext" * breaks, f"c{d}{r.random()}"] for k in range(r.randint(1, 4))]
+            out = io.StringIO(newline="")
+            csv.writer(out, delimiter=d, lineterminator="\n").writerows([["id", "na me", "z"], *rows])
+            (folder / f"file {i}.csv").write_bytes(("\n" * (i % 2) + out.getvalue()).encode(encoding))
+            want += [(*x, f"file {i}.csv") for x in rows]
+        (folder / "other.csv").write_text("id,x,z\n1,2,3\n")
+        (folder / "narrow.csv").write_text("id;x\n1;2\n")
+        (folder / "blank.csv").write_text("\n \n")
+        (folder / "long.csv").write_text("id,na me,z\n")
+        used, skipped = delimited.scan_directory(spark, str(folder))
+        assert skipped == [("blank.csv", "empty")] and len(used) == n + 3
+        got = delimited.read_files(spark, used, source="from", ordinal="at")
+        assert got.skipped == [("narrow.csv", "header differs"), ("other.csv", "header differs")]
+        assert [tuple(x) for x in got.df.orderBy("at").drop("at").collect()] == want
+        plans[n] = got.df._jdf.queryExecution().optimizedPlan().toString().count("\n")
+    assert plans[20] == plans[200]
+    assert delimited.read_files(spark, used, on_mismatch="abort").df.count() == len(want)
+    each = {p.path: delimited.preview(spark, p.path) for p in used[:6]}
+    assert all((p.header, p.delimiter, p.encoding, p.quoted) == (q.header, q.delimiter, q.encoding, q.quoted) for p in used[:6] for q in [each[p.path]])
+    assert delimited.read_files(spark, []).df is None
