@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions.rules import Flags, RuleSet, rule
 from ..operators import columns, compare, concat, filtering, keyjoin, normalize, ordering, profile
+from ..operators.checkpoints import written
+from ..sources import delimited
+from .reports import Totals, control_report
 
 STEPS: dict[str, Callable] = {}
 
@@ -41,6 +44,19 @@ class Outcome:
     errors: list[str]
 
 
+@dataclass
+class JobReport:
+    """What a job wrote: its fields, totals by name and warnings."""
+
+    path: str
+    fields: list[str]
+    totals: dict[str, int]
+    warnings: list[str]
+
+    def text(self, title: str, paths: dict[str, str] | None = None) -> str:
+        return control_report(title, {**(paths or {}), "output": self.path}, self.totals, self.fields, self.warnings)
+
+
 @dataclass
 class JobSpec:
     """steps: dicts with ``op`` and its options, run in order; each step sees what the one before made."""
@@ -84,6 +100,28 @@ class JobSpec:
                 out.errors.append(f"step {k + 1}, {s['op']}: {e}")
         return out
 
+    def write(self, df: DataFrame, path: str, tables: dict[str, DataFrame] | None = None, read_only: list[str] = (), **options) -> JobReport:
+        """The result as a folder of delimited files (``options`` as in ``write_delimited``) and a report whose totals come from that write.
+
+        Rows are counted as read, after each step and as written.  Steps that
+        read their input more than once (sorts, duplicates, first-in first-out lookups,
+        built profiles, comparisons) get a written table, so that no row is
+        counted, or made, twice.  ``read_only`` names the columns to read.
+        """
+        if bad := self.check():
+            raise JobError(bad)
+        totals, warnings = Totals(), []
+        df = totals.rows(df.select(*(F.col(f"`{c}`") for c in read_only)) if read_only else df, "rows read")
+        for k, s in enumerate(self.steps):
+            if s["op"] in ("sort", "top", "compare", "duplicates", "dedupe_by_mode") or s.get("mode") == "fifo" or s["op"] == "normalize" and not s.get("fields") or s["op"] == "lookup" and (s.get("style") or {}).get("zero_pad"):
+                df = written(df)
+            df, new = JobSpec([s]).apply(df, tables)
+            df = totals.rows(df, f"after {k + 1} {s['op']}")
+            warnings += new
+        df = totals.rows(df, "rows written")
+        delimited.write_delimited(df, path, options.pop("delimiter", self.delimiter), **options)
+        return JobReport(path, df.columns, totals.get(), warnings)
+
     def preview(self, df: DataFrame, tables: dict[str, DataFrame] | None = None, rows: int = 10) -> list[dict]:
         """Some rows of the result."""
         return [r.asDict() for r in self.apply(df, tables)[0].limit(rows).collect()]

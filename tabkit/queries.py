@@ -766,6 +766,23 @@ def job_steps(spark, d):
     return JobSpec.from_json(JobSpec(steps).to_json()).apply(table(spark, d, "customer"))[0]
 
 
+@query("""with a as (select * from orders where o_orderstatus = 'F'), b as (select * from a where o_totalprice > 250000),
+c as (select b.*, c_name from b join customer on c_custkey = o_custkey where c_mktsegment = 'BUILDING')
+select 'rows read' as total, count(*) as n from orders union all select 'after 1 filter_select', count(*) from a union all select 'after 2 filter_omit', count(*) from b
+union all select 'after 3 lookup', count(*) from c union all select 'after 4 sort', count(*) from c union all select 'after 5 choose', count(*) from c
+union all select 'rows written', count(*) from c union all select 'rows in the files', count(*) from c""")
+def job_report(spark, d):
+    """Totals of a job's control report, counted while it writes."""
+    from .plans.job import JobSpec
+
+    path, building = new_path(spark), table(spark, d, "customer").where("c_mktsegment = 'BUILDING'")
+    over = [{"kind": "numeric", "field": "o_totalprice", "operator": "less_than_or_equal", "value": 250000}]
+    steps = [{"op": "filter_select", "rules": [{"kind": "text", "field": "o_orderstatus", "operator": "equals", "values": "f"}]}, {"op": "filter_omit", "rules": over}, {"op": "lookup", "table": "c", "on": [["o_custkey", "c_custkey"]], "append": ["c_name"], "order_by": ["c_custkey"]}, {"op": "sort", "fields": ["o_totalprice"]}, {"op": "choose", "fields": ["o_orderkey", "c_name"]}]
+    report = JobSpec(steps).write(table(spark, d, "orders"), path, {"c": building}, read_only=["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"])
+    files = spark.read.option("header", True).csv(path).select(F.lit("rows in the files").alias("total")).groupBy("total").agg(F.count("*").alias("n"))
+    return spark.createDataFrame(list(report.totals.items()), "total string, n long").unionAll(files)
+
+
 def _files(spark, path):
     """The files that a writer left in a folder."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -6,6 +6,7 @@ import random
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from tabkit.operators import ordering, profile
 from tabkit.sources import delimited, records
@@ -137,3 +138,28 @@ def test_folder_in_one_scan(spark, tmp_path):
     each = {p.path: delimited.preview(spark, p.path) for p in used[:6]}
     assert all((p.header, p.delimiter, p.encoding, p.quoted) == (q.header, q.delimiter, q.encoding, q.quoted) for p in used[:6] for q in [each[p.path]])
     assert delimited.read_files(spark, []).df is None
+
+
+def test_totals_of_a_write(spark, tmp_path):
+    from tabkit.plans.job import JobError, JobSpec
+    from tabkit.plans.reports import Totals, balanced
+
+    df = spark.range(0, 1000, 1, 4).selectExpr("cast(id as string) id", "cast(id % 10 as string) k", "'' note")
+    steps = [{"op": "filter_select", "rules": [{"kind": "text", "field": "k", "operator": "equals", "values": ["3", "4"]}]}, {"op": "dedupe", "fields": ["k"], "order_by": ["id"]}, {"op": "sort", "fields": ["id"]}]
+    report = JobSpec(steps, delimiter=";").write(df, str(tmp_path / "out"))
+    assert report.totals == {"rows read": 1000, "after 1 filter_select": 200, "after 2 dedupe": 2, "after 3 sort": 2, "rows written": 2}
+    assert [tuple(r) for r in spark.read.csv(str(tmp_path / "out"), sep=";", header=True).orderBy("id").collect()] == [("103", "3", None), ("104", "4", None)]
+    text = report.text("Control", {"input": "x"})
+    assert "rows read:" in text and "1,000" in text and "fields: id, k, note" in text and str(tmp_path / "out") in text
+    none = JobSpec([{"op": "filter_select", "rules": [{"kind": "text", "field": "k", "operator": "equals", "values": "none"}]}]).write(df, str(tmp_path / "none"))
+    assert list(none.totals.values()) == [1000, 0, 0]
+    empty = JobSpec([]).write(df.where("false"), str(tmp_path / "empty"))
+    assert empty.totals == {"rows read": 0, "rows written": 0}
+    with pytest.raises(JobError):
+        JobSpec([{"op": "nothing"}]).write(df, str(tmp_path / "bad"))
+    totals, three = Totals(), F.col("k") == "3"
+    seen = totals.watch(df, read=F.count("*"), matched=F.count_if(three), nonmatched=F.count_if(~three)).where(three)
+    plan = seen._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("CollectMetrics") == 1 and plan.count("Range") == 1
+    seen.write.parquet(str(tmp_path / "three"))
+    assert totals.get() == {"read": 1000, "matched": 100, "nonmatched": 900} and balanced(totals.get(), "read", ["matched", "nonmatched"])
