@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -116,29 +117,51 @@ def sample_head(df: DataFrame, rows: int, order_by: list[str] | None = None) ->
     return (df.orderBy(*map(col, order_by)) if order_by else df).limit(rows)
 
 
-def build_profile(df: DataFrame, sample_rows: int | None = None, columns: list[str] | None = None, order_by: list[str] | None = None, strict: bool = False) -> Profile:
-    """A profile of every field, by majority over all rows or a head of them (1: the first row alone), in one aggregate.
+_STATE = _LENGTHS | {f"t {k}": v for k, v in _votes(guessed_type, TYPES).items()} | {f"s {k}": v for k, v in _votes(sign_style, SIGNS).items()}
+
+
+def profile_state(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """What a profile is made of, one row a field: place, longest text, most decimals and votes for types and signs.
+
+    It may be stored, and merged with the states of other rows, so that new
+    files are read alone.
+    """
+    columns = columns or df.columns
+    place = F.array_position(F.array(*map(F.lit, columns)), F.col("field"))
+    return _in_one(df, columns, _STATE).select(place.alias("place"), "*")
+
+
+def merge_states(*states: DataFrame) -> DataFrame:
+    """The state of all rows together; a field that only some have keeps its least place."""
+    all_ = reduce(DataFrame.unionByName, states)
+    votes = [F.sum(f"`{k}`").alias(k) for k in _STATE if k not in _LENGTHS]
+    return all_.groupBy("field").agg(F.min("place").alias("place"), *(F.max(k).alias(k) for k in _LENGTHS), *votes).select("place", "field", *(f"`{k}`" for k in _STATE))
+
+
+def profile_of(state: DataFrame, strict: bool = False) -> Profile:
+    """A profile of every field of a state, by majority.
 
     Floats are only padded, as integers of a name that hints at a year may be
     blank; ``strict`` formats floats to the precision found.
     """
-    columns = columns or df.columns
-    rows = sample_head(df, sample_rows, order_by) if sample_rows else df
-    votes = {f"t {k}": v for k, v in _votes(guessed_type, TYPES).items()} | {f"s {k}": v for k, v in _votes(sign_style, SIGNS).items()}
-    got = {r["field"]: r for r in _in_one(rows, columns, _LENGTHS | votes).collect()}
     out = []
-    for c in columns:
-        r = got[c]
+    for r in sorted(state.collect(), key=lambda r: (r["place"], r["field"])):
         kind = max(TYPES, key=lambda k: r[f"t {k}"]) if any(r[f"t {k}"] for k in TYPES) else "str"
         sign = max(SIGNS, key=lambda k: r[f"s {k}"]) if any(r[f"s {k}"] for k in SIGNS) else "none"
-        known = hint(c)
+        known = hint(r["field"])
         kind = known[0] if known else kind
         precision = r["max_decimals"] or 0
         flag = known[1] if known and known[1] else default_flag(kind, precision if strict else 0)
-        out.append(FieldProfile(c, kind, r["max_length"] or 0, precision, sign, flag))
+        out.append(FieldProfile(r["field"], kind, r["max_length"] or 0, precision, sign, flag))
     return Profile(out)
 
 
+def build_profile(df: DataFrame, sample_rows: int | None = None, columns: list[str] | None = None, order_by: list[str] | None = None, strict: bool = False) -> Profile:
+    """``profile_of`` all rows or a head of them (1: the first row alone), in one aggregate."""
+    rows = sample_head(df, sample_rows, order_by) if sample_rows else df
+    return profile_of(profile_state(rows, columns), strict)
+
+
 def blank_profile(columns: list[str]) -> Profile:
     """A template to be filled in: every field is text that is left as it is."""
     return Profile([FieldProfile(c, flag=SKIP) for c in columns])

@@ -15,6 +15,7 @@ from .operators import compare, concat, filtering, keyjoin, normalize, ordering,
 from .operators.checkpoints import new_path
 from .operators.profile import FieldProfile, Profile
 from .sources import delimited, records
+from .streaming import files
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -540,6 +541,47 @@ def profile_built(spark, d):
     return spark.createDataFrame([(f.name, f.kind, f.length, f.precision) for f in got.fields], "field string, kind string, length long, precision long")
 
 
+@query(_SQL["profile_built"])
+def profile_merged(spark, d):
+    """The same profile from the stored states of two parts of the table."""
+    p = table(spark, d, "part").select("p_partkey", F.col("p_retailprice").cast("decimal(18,2)").cast("string").alias("p_retailprice"), "p_type")
+    path = new_path(spark)
+    for k in range(2):
+        profile.profile_state(p.where(F.col("p_partkey") % 2 == k).drop("p_partkey")).write.parquet(f"{path}/{k}")
+    got = profile.profile_of(profile.merge_states(*(spark.read.parquet(f"{path}/{k}") for k in range(2))), strict=True)
+    return spark.createDataFrame([(f.name, f.kind, f.length, f.precision) for f in got.fields], "field string, kind string, length long, precision long")
+
+
+# streams
+
+
+@query(_SQL["lookup_fifo"])
+def stream_lookup_fifo(spark, d):
+    """A lookup that uses rows up, on a stream that arrives in two parts, the second after a restart: equal to the batch result."""
+    e, path = table(spark, d, "events").select("event_id", "user_id", "event_type"), new_path(spark)
+    views = e.where("event_type = 'view'").select("user_id", F.col("event_id").alias("view_id"))
+    clicks = e.where("event_type = 'click'").drop("event_type")
+    middle = clicks.agg(((F.min("event_id") + F.max("event_id")) / 2).alias("m")).first().m
+    for part in (F.col("event_id") <= middle, F.col("event_id") > middle):
+        clicks.where(part).write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema(clicks.schema).parquet(f"{path}/in")
+        files.lookup_fifo(stream, views, [("user_id", "user_id")], ["view_id"], ["view_id"], ["event_id"], f"{path}/out", f"{path}/check", f"{path}/state").awaitTermination()
+    return spark.read.parquet(f"{path}/out").drop("batch")
+
+
+@query("select c_custkey, c_nationkey in (select n_nationkey from nation where n_regionkey = 1) as matched from customer")
+def stream_split(spark, d):
+    """A stream parted by the keys of a table."""
+    c, path = table(spark, d, "customer").select("c_custkey", "c_nationkey"), new_path(spark)
+    key = table(spark, d, "nation").where("n_regionkey = 1")
+    c.write.parquet(f"{path}/in")
+    for side, name in ((keyjoin.keep_matching, "hit"), (keyjoin.keep_nonmatching, "miss")):
+        stream = spark.readStream.schema(c.schema).parquet(f"{path}/in")
+        files.run_available(stream, f"{path}/{name}", f"{path}/check-{name}", lambda df, side=side: side(df, key, [("c_nationkey", "n_nationkey")])).awaitTermination()
+    both = [spark.read.schema(c.schema).parquet(f"{path}/{n}").select("c_custkey", F.lit(n == "hit").alias("matched")) for n in ("hit", "miss")]
+    return both[0].unionAll(both[1])
+
+
 # more of keys, order and columns
 
 
