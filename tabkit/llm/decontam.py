@@ -6,9 +6,11 @@ length matched so far tell which windows end at each word.  Words that no item
 has break every match, so only runs of known words are streamed.
 
 The benchmark is broadcast in blocks of about ``BLOCK_BYTES`` of text, whose
-automaton takes about a hundred times that in a worker.  A larger benchmark is
-scanned block after block, with what was found written in between, so that a
-worker holds one automaton.
+automaton takes about a hundred times that in a worker.  With a larger
+benchmark the texts are read once for each block, by tasks that hold one
+automaton; only what is found is written, by the text's digest, and joined back.
+The corpus is never written again, and shuffled once if what is found is more
+than Spark broadcasts.
 
 Defined results: a null or empty text has no words and is clean; an item of
 fewer words than a window is one window, an item of none has none; repeated
@@ -21,19 +23,22 @@ other columns, whatever their names, are ignored or carried along.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import plain_names, small_batches, texts, written
+from .frames import discard, plain_names, small_batches, texts, written
 from .textbytes import ALNUM_WORD, LOWER, Words, covered, texts_of
 
 WINDOW = 13
 #: A document is contaminated from this share of its words on: 1 in 20.
 SHARE = 20
 BLOCK_BYTES = 1 << 20
+#: Blocks that one job scans; their items pass the driver together.
+AT_ONCE = 16
 
 _FOLD = bytes(int(LOWER[i]) if ALNUM_WORD[i] else 0x20 for i in range(256))
 
@@ -156,6 +161,61 @@ def _scan(block, window: int, names: list[str]):
     return work
 
 
+def _found(block, number: int, window: int):
+    """Of each text that the block hits: what ``_scan`` finds."""
+
+    def work(batches):
+        automaton = SuffixAutomaton([(i, words_of(t.encode())) for i, t in block.value], window)
+        for b in batches:
+            for t in texts_of(b.column("text")):
+                keys, rows = b.column("__key").slice(t.first, len(t)).to_pylist(), []
+                for i in range(len(t)):
+                    starts, ends, items = automaton.scan(words_of(t.bytes(i)))
+                    if starts:
+                        rows.append((keys[i], number, starts, ends, [x for x in items if x is not None]))
+                if rows:
+                    kinds = [pa.string(), pa.int32(), *[pa.list_(pa.int64())] * 3]
+                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["__key", "block", "starts", "ends", "items"])
+
+    return work
+
+
+def _counted(names: list[str]):
+    """Put n_words beside the columns."""
+
+    def work(batches):
+        for b in batches:
+            n = [len(words_of(t.bytes(i))) for t in texts_of(b.column("text")) for i in range(len(t))]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in names), pa.array(n, pa.int64()), *(b.column(k) for k in ("starts", "ends", "items"))], [*names, "n_words", "starts", "ends", "items"])
+
+    return work
+
+
+def _by_blocks(docs: DataFrame, items: DataFrame, blocks: int, window: int) -> DataFrame:
+    spark, names = docs.sparkSession, docs.columns
+    keyed = docs.withColumn("__key", F.coalesce(F.sha2("text", 256), F.col("doc_id").cast("string")))
+    some = keyed.where("text is not null").select("__key", "text")
+    tables = []
+    for first in range(0, blocks, AT_ONCE):
+        sent, parts = [], []
+        for k in range(first, min(first + AT_ONCE, blocks)):
+            rows = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).collect()
+            sent.append(spark.sparkContext.broadcast([(r.item_id, r.text) for r in rows]))
+            parts.append(some.mapInArrow(_found(sent[-1], k, window), "__key string, block int, starts array<bigint>, ends array<bigint>, items array<bigint>"))
+        # copies of a text are hit alike: one row a text and block, merged before any shuffle
+        found = reduce(DataFrame.unionAll, parts).groupBy("__key", "block").agg(*(F.first(c).alias(c) for c in ("starts", "ends", "items")))
+        tables.append(written(found))
+        for x in sent:
+            x.unpersist()
+    found = reduce(DataFrame.unionAll, tables).groupBy("__key").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends", "items")))
+    found = written(found)
+    discard(*tables)
+    empty = F.array().cast("array<bigint>")
+    both = keyed.join(found, "__key", "left").select(*(F.col(f"`{c}`") for c in names), *(F.coalesce(c, empty).alias(c) for c in ("starts", "ends", "items")))
+    schema = docs.select("*", F.lit(0).cast("long").alias("n_words"), *(empty.alias(c) for c in ("starts", "ends", "items"))).schema
+    return both.mapInArrow(_counted(names), schema)
+
+
 def scanned(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents with n_words and the starts, ends and items of all windows found."""
     spark, names = docs.sparkSession, docs.columns
@@ -163,15 +223,12 @@ def scanned(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Data
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
+    if blocks > 1:
+        return _by_blocks(docs, items, blocks, window)
     empty = F.array().cast("array<bigint>")
     found = docs.select(*(F.col(f"`{c}`") for c in names), F.lit(0).cast("long").alias("n_words"), empty.alias("starts"), empty.alias("ends"), empty.alias("items"))
-    for k in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).collect()
-        block = spark.sparkContext.broadcast([(r.item_id, r.text) for r in rows])
-        found = found.mapInArrow(_scan(block, window, names), found.schema)
-        if k < blocks - 1:
-            found = written(found)
-    return found
+    block = spark.sparkContext.broadcast([(r.item_id, r.text) for r in items.collect()])
+    return found.mapInArrow(_scan(block, window, names), found.schema)
 
 
 def _judged(batches):

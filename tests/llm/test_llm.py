@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tabkit.llm import decontam, langid, license_scan, media, ngram_join, packing, quality, repeats, sais, substring_dedup, suffix_dedup, token_counts
+from tabkit.llm import decontam, frames, langid, license_scan, media, ngram_join, packing, quality, repeats, sais, substring_dedup, suffix_dedup, token_counts
 from tabkit.llm.fmindex import FMIndex
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, tag string, first string"
@@ -356,8 +356,16 @@ def test_decontamination_in_blocks(spark, docs, monkeypatch):
     texts = [r.text for r in docs.select("text").collect() if r.text and len(r.text.split()) > 40]
     bench = spark.createDataFrame([(i, t) for i, t in enumerate(texts[:6])], "item_id long, text string")
     want = rows_of(decontam.contamination(docs, bench), "doc_id", "n_hit", "items_sha256")
+    cut = rows_of(decontam.decontaminated(docs, bench, cut=True), "doc_id", "text")
     monkeypatch.setattr(decontam, "BLOCK_BYTES", 1000)
+    monkeypatch.setattr(decontam, "AT_ONCE", 2)
+    tables = []
+    monkeypatch.setattr(decontam, "written", lambda df: tables.append(df.columns) or frames.written(df))
     assert rows_of(decontam.contamination(docs, bench), "doc_id", "n_hit", "items_sha256") == want
+    assert tables and all("text" not in c for c in tables)  # the corpus is not written again
+    assert rows_of(decontam.decontaminated(docs, bench, cut=True), "doc_id", "text") == cut
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, None), (None, None)], "doc_id long, text string").unionAll(docs.where("text is not null").select("doc_id", "text").limit(5))
+    assert decontam.contamination(odd.unionAll(odd), bench).count() == 2 * odd.count()
 
 
 def test_license_regions_have_their_own_length(spark):
