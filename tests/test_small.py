@@ -13,7 +13,7 @@ def lines(spark, path):
 def test_writers(spark, tmp_path):
     df, path = spark.createDataFrame([("1", "a;b"), ("2", "c\\")], "id string, t string").coalesce(1), str(tmp_path / "x")
     delimited.write_delimited(df, path, ";", quoting=False)
-    assert lines(spark, path) == ["1;a\;b", "2;c\\\\", "id;t"]
+    assert lines(spark, path) == ["1;a\\;b", "2;c\\\\", "id;t"]
     delimited.write_like(df, path, delimited.Preview("s", ["id", "t"], "|", quoted=[True, False]))
     assert lines(spark, path) == ['"1"|a;b', '"2"|c\\', "id|t"]
     assert [r.value for r in delimited.read_lines(spark, path).collect()][0] == "id|t"
