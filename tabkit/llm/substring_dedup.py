@@ -74,7 +74,11 @@ def earlier_windows(contents: list[bytes], counts: np.ndarray, least: np.ndarray
         if not go.any():
             break
         own, start, end, group, later = own[go], start[go], end[go], group[go], (number > top // 2)[go]
-        index = FMIndex(text[_places(start[~later], end[~later] + 1) if len(start) else []], w)
+        # a piece may end within a content, where a word follows and no 1
+        size = np.where(later, 0, end - start + 1)
+        indexed = text[_places(start, start + size)]
+        indexed[np.cumsum(size)[~later] - 1] = 1
+        index = FMIndex(indexed, w)
         a, z = start[later], end[later]
         at = _places(a, z)
         found = np.zeros(len(at), bool)
