@@ -7,7 +7,8 @@ search over the wavelet matrix gives matching statistics, and intervals of 50
 words or more that match are reported.  Which contents are indexed halves from
 pass to pass: of the contents that share an anchor, the half of smaller doc_ids
 is indexed and the other half streamed; then both halves are parted again, the
-second without what it was found to hold, until a part has one doc_id.  Equal
+second without what it was found to hold, until a part has one doc_id.  Only
+windows whose 10-grams all occur on the other side are indexed or streamed.  Equal
 contents are one, with their least doc_id; other documents that hold it lose it.
 
 Defined results: a null or empty text has no words; windows are judged on the
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from .fmindex import FMIndex
 from .frames import plain_names, texts
 from .repeats import Unit, cut_documents, repeated_spans
-from .textbytes import SPACE_WORD, Words, covered, runs
+from .textbytes import SPACE_WORD, Prefix, Words, covered, mix, runs
 
 WORDS = 50
 GRAM = 10
@@ -42,6 +43,16 @@ def _places(start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.repeat(start, size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
 
 
+def _pieces(start: np.ndarray, end: np.ndarray, keep: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows to ``keep`` in some spans: of which span, start and end."""
+    size = end - start - w + 1
+    at, of = _places(start, end - w + 1), np.repeat(np.arange(len(start)), size)
+    at, of = at[keep[at]], of[keep[at]]
+    new = np.concatenate(([True], (at[1:] != at[:-1] + 1) | (of[1:] != of[:-1]), [True]))
+    first, last = np.flatnonzero(new[:-1])[: len(at)], np.flatnonzero(new[1:])[: len(at)]
+    return of[first], at[first], at[last] + w
+
+
 def earlier_windows(contents: list[bytes], counts: np.ndarray, least: np.ndarray, anchor: np.ndarray, unit: Unit):
     """Runs of windows (content, first, last, whether they count in the content's least document too).
 
@@ -57,6 +68,16 @@ def earlier_windows(contents: list[bytes], counts: np.ndarray, least: np.ndarray
     base = np.cumsum(sizes + 1) - sizes - 1
     text[_places(base, base + sizes)] = [known.setdefault(x, len(known) + 2) for words in split for x in words]
     held = np.zeros(len(text), bool)
+    grams = np.unique(Prefix(mix(text.astype(np.uint64))).grams(unit.gram), return_inverse=True)[1]
+
+    def possible(start, end, other_start, other_end):
+        """What of some spans holds only windows whose grams all occur in the others."""
+        occurs = np.zeros(len(grams), bool)
+        occurs[grams[_places(other_start, other_end - unit.gram + 1)]] = True
+        lacking = np.concatenate(([0], np.cumsum(~occurs[grams])))
+        width = w - unit.gram + 1
+        return _pieces(start, end, lacking[width:] == lacking[:-width], w)[1:]
+
     # pieces of contents, from where to where, and the group of each
     own, start, end = np.arange(len(contents)), base, base + sizes
     group = np.unique(anchor, return_inverse=True)[1]
@@ -74,27 +95,23 @@ def earlier_windows(contents: list[bytes], counts: np.ndarray, least: np.ndarray
         if not go.any():
             break
         own, start, end, group, later = own[go], start[go], end[go], group[go], (number > top // 2)[go]
-        # a piece may end within a content, where a word follows and no 1
-        size = np.where(later, 0, end - start + 1)
-        indexed = text[_places(start, start + size)]
-        indexed[np.cumsum(size)[~later] - 1] = 1
-        index = FMIndex(indexed, w)
-        a, z = start[later], end[later]
-        at = _places(a, z)
-        found = np.zeros(len(at), bool)
-        inner = np.cumsum(z - a) - (z - a)
-        found = index.matching(text[at], inner, inner + z - a) >= w
-        held[at[found]] = True
+        # a window occurs on the other side only if all its grams do
+        a, z = possible(start[later], end[later], start[~later], end[~later])
+        found = np.zeros(len(text), bool)
+        first, last = possible(start[~later], end[~later], a, z)
+        if len(first):
+            # a piece may end within a content, where a word follows and no 1
+            indexed = text[_places(first, last + 1)]
+            indexed[np.cumsum(last + 1 - first) - 1] = 1
+            at, inner = _places(a, z), np.cumsum(z - a) - (z - a)
+            found[at[FMIndex(indexed, w).matching(text[at], inner, inner + z - a) >= w]] = True
+            held |= found
         # what is left of the later ones: runs of windows that were not found
-        open_ = ~found & (at <= np.repeat(z - w, z - a))
-        edge = np.zeros(len(at) + 1, bool)
-        edge[inner] = True
-        whose = np.repeat(np.flatnonzero(later), z - a)
-        first = np.flatnonzero(open_ & (edge[:-1] | ~np.concatenate(([False], open_[:-1]))))
-        last = np.flatnonzero(open_ & (edge[1:] | ~np.append(open_[1:], False)))
-        own = np.concatenate((own[~later], own[whose[first]]))
-        start, end = np.concatenate((start[~later], at[first])), np.concatenate((end[~later], at[last] + w))
-        group = np.unique(np.concatenate((2 * group[~later], 2 * group[whose[first]] + 1)), return_inverse=True)[1]
+        whose, first, last = _pieces(start[later], end[later], ~found, w)
+        whose = np.flatnonzero(later)[whose]
+        own = np.concatenate((own[~later], own[whose]))
+        start, end = np.concatenate((start[~later], first)), np.concatenate((end[~later], last))
+        group = np.unique(np.concatenate((2 * group[~later], 2 * group[whose] + 1)), return_inverse=True)[1]
     owner = np.repeat(np.arange(len(contents)), sizes + 1)
     window = np.arange(len(text)) - base[owner] <= sizes[owner] - w
     out = []
