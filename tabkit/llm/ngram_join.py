@@ -33,6 +33,7 @@ table gives an empty one; other columns, whatever their names, are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,8 @@ PERCENT = 80
 GROUPS = 2048
 #: Children of a node of an R-tree.
 FAN = 8
+#: Points that go down an R-tree together, and pairs of points and nodes that are compared at a time.
+TOGETHER, PAIRS = 64, 64
 #: Sets and shingles of a unit at most; an R-tree holds several units of fewer than ``SOME`` sets.
 SETS, SHINGLES, SOME = 1024, 1 << 22, 256
 #: Sets of a block of what is larger.
@@ -230,24 +233,43 @@ class RTree:
             at = np.arange(0, len(upper), FAN)
             self.levels.append((np.maximum.reduceat(upper, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)))
         self.visited = [0] * len(self.levels)
+        #: No sum of minima is above a point's own sum.
+        self.kind = np.uint16 if points.dtype == np.uint16 and points.sum(axis=1, dtype=np.int64).max(initial=0) < 1 << 16 else np.int64
 
     def before(self, q: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
         """The points before q whose summed minima with it allow the overlap that is needed, and how much they have to spare."""
+        return next(self.all_before(q, q + 1, percent))
+
+    def all_before(self, first: int, end: int, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """``before`` of each point of a range; they go down the tree together."""
         points, n, _ = self.levels[0]
-        cells = np.flatnonzero(points[q])
-        own, size = points[q, cells].astype(np.int64), n[q]
-        node = np.arange(len(self.levels[-1][0]))
+        top = len(self.levels[-1][0])
+        q, node = np.repeat(np.arange(first, end), top), np.tile(np.arange(top), end - first)
         for depth in range(len(self.levels) - 1, -1, -1):
             upper, low, high = self.levels[depth]
-            node = node[node <= q // FAN**depth] if depth else node[node < q]
-            node = node[(100 * high[node] >= percent * size) & (percent * low[node] <= 100 * size)]
+            size, least = n[q], low[node]
+            ok = (node <= q // FAN**depth if depth else node < q) & (100 * high[node] >= percent * size) & (percent * least <= 100 * size)
+            q, node, size, least = q[ok], node[ok], size[ok], least[ok]
             self.visited[depth] += len(node)
-            spare = np.minimum(upper[np.ix_(node, cells)], own).sum(axis=1) - _needed(size, np.maximum(low[node], -(-percent * size // 100)), percent)
-            node, spare = node[spare >= 0], spare[spare >= 0]
+            spare = self._minima(upper, node, q) - _needed(size, np.maximum(least, -(-percent * size // 100)), percent)
+            ok = spare >= 0
+            q, node, spare = q[ok], node[ok], spare[ok]
             if depth:
-                node = (node[:, None] * FAN + np.arange(FAN)).ravel()
-                node = node[node < len(self.levels[depth - 1][0])]
-        return node, spare
+                q, node = np.repeat(q, FAN), (node[:, None] * FAN + np.arange(FAN)).ravel()
+                ok = node < len(self.levels[depth - 1][0])
+                q, node = q[ok], node[ok]
+        at = np.searchsorted(q, np.arange(first, end + 1))
+        for a, z in zip(at[:-1], at[1:], strict=True):
+            yield node[a:z], spare[a:z]
+
+    def _minima(self, upper: np.ndarray, node: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """The summed minima of some nodes' corners and points, a few at a time that fit a cache."""
+        points, out = self.levels[0][0], np.empty(len(node), np.int64)
+        for i in range(0, len(node), PAIRS):
+            own = points[q[i : i + PAIRS]]
+            np.minimum(own, upper[node[i : i + PAIRS]], out=own)
+            out[i : i + PAIRS] = own.sum(axis=1, dtype=self.kind)
+        return out
 
 
 def _needed(n, m, percent: int):
@@ -270,8 +292,8 @@ def links(points: np.ndarray, n: np.ndarray, part: np.ndarray, percent: int, set
             i = above[i]
         return i
 
-    for q in range(1, len(n)):
-        near, spare = tree.before(q, percent)
+    found = chain.from_iterable(tree.all_before(i, min(i + TOGETHER, len(n)), percent) for i in range(0, len(n), TOGETHER))
+    for q, (near, spare) in enumerate(found):
         near = near[np.argsort(-spare, kind="stable")]
         for at in range(0, len(near), 16):  # the likeliest first, as they may settle the others
             some = [p for p in near[at : at + 16].tolist() if root(p) != root(q)]
